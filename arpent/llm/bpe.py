@@ -19,6 +19,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -232,7 +233,7 @@ def codec(path: str, pattern: str) -> Codec:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
-        sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(text)).to_pylist()], np.int64)
+        sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(text)).to_pylist()], np.int64)
         part = np.cumsum(sizes) // most if len(sizes) else sizes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):

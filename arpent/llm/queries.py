@@ -21,3 +21,10 @@ def op9_byte_bpe(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op6_quartile_digest(spark, sf_dir):
+    from arpent.llm import quartile_digest
+
+    return quartile_digest.compare_with_next(table(spark, sf_dir, "documents"))
