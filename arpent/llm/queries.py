@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from arpent.llm import url_reputation
 from arpent.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +29,46 @@ def op6_quartile_digest(spark, sf_dir):
     from arpent.llm import quartile_digest
 
     return quartile_digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sum_of_squares(spark, sf_dir):
+    from arpent.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_warc(spark, sf_dir):
+    from arpent.llm import warc
+    from arpent.llm.common import scratch
+
+    return warc.write_and_read(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+r AS (SELECT payload_digest, max(page_id) AS response_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, payload_bytes, p.payload_digest,
+  CASE WHEN p.page_id < response_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < response_id THEN response_id END AS refers_to
+FROM p LEFT JOIN r ON p.payload_digest = r.payload_digest AND payload_bytes >= 1000
+"""
+
+
+@query
+def op3_url_reputation(spark, sf_dir):
+    from arpent.llm import url_reputation
+
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op3_url_reputation"] = url_reputation.oracle()
+
+
+@query
+def op4_pseudonyms(spark, sf_dir):
+    from arpent.llm import pseudonyms
+
+    found = pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", found["_replaced"].alias("n_replaced"))
