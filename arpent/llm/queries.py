@@ -72,3 +72,10 @@ def op4_pseudonyms(spark, sf_dir):
 
     found = pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", found["_replaced"].alias("n_replaced"))
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    from arpent.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
