@@ -79,3 +79,10 @@ def op10_embedding_dedup(spark, sf_dir):
     from arpent.llm import embedding_dedup
 
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_ngram_jaccard(spark, sf_dir):
+    from arpent.llm import ngram_jaccard
+
+    return ngram_jaccard.linked(table(spark, sf_dir, "documents"))
