@@ -86,3 +86,15 @@ def op7_ngram_jaccard(spark, sf_dir):
     from arpent.llm import ngram_jaccard
 
     return ngram_jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from arpent.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs, labels, fold != 1)
+    return toxicity.scored(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
