@@ -63,3 +63,12 @@ class Memo(dict):
     def room(self, n: int = 0) -> None:
         if len(self) + n > self.most:
             self.clear()
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files behind a frame from stored()."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

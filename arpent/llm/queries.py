@@ -98,3 +98,10 @@ def op5_toxicity(spark, sf_dir):
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = toxicity.train(docs, labels, fold != 1)
     return toxicity.scored(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_pitman_yor(spark, sf_dir):
+    from arpent.llm import pitman_yor
+
+    return pitman_yor.scored(table(spark, sf_dir, "documents"))
