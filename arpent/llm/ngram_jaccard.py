@@ -232,11 +232,12 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
     return placed.groupBy("tile").applyInArrow(run, "cls long, root long")
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """key, n_shingles, component_id: a row for each document."""
+def _classes(docs: DataFrame, key: str, text: str, words: int, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with row_key; (key, row_key, n_shingles, cls) for each of them; (cls, row_key, least_id, component) for each class."""
     bands = Bands(least)
-    docs = docs.select(F.col(key).cast("long").alias(key), text).withColumn("row_key", F.coalesce(key, F.xxhash64(text)))
-    sets = stored(_sets(docs, key, text, words, bands), "shingle-sets")
+    docs = docs.withColumn("row_key", F.coalesce(F.col(key).cast("long"), F.xxhash64(text)))
+    bare = docs.select(F.col(key).cast("long").alias(key), text, "row_key")
+    sets = stored(_sets(bare, key, text, words, bands), "shingle-sets")
     plain = sets.select(key, "row_key", "n_shingles", "cls", "band")
     clusters = stored(_clusters(sets), "clusters")
     names = plain.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(key).alias("least_id"), F.min("row_key").alias("row_key"), F.max("band").alias("band"))
@@ -244,12 +245,28 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     in_band = sized.groupBy("cluster", "band").agg(F.count("*").alias("n"))
     many = in_band.groupBy("cluster").agg(F.sum("n").alias("many"), F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("in_band"))
     wanted = sized.join(many, "cluster").select("row_key", "cls", "cluster", "band", "many", "in_band")
-    members = docs.select("row_key", text).join(wanted, "row_key").select("cluster", "cls", "band", "many", "in_band", text)
+    members = bare.select("row_key", text).join(wanted, "row_key").select("cluster", "cls", "band", "many", "in_band", text)
     links = stored(_tiles(members, bands, words, text, least), "links")
     found = components(links, "cls", "root").select(F.col("node").alias("cls"), "component")
-    named = names.join(found, "cls", "left").select("cls", "least_id", F.coalesce("component", "cls").alias("component"))
-    named = stored(named, "classes")
+    named = names.join(found, "cls", "left").select("cls", "row_key", "least_id", F.coalesce("component", "cls").alias("component"))
+    return docs, plain, stored(named, "classes")
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """key, n_shingles, component_id: a row for each document."""
+    _, plain, named = _classes(docs.select(key, text), key, text, words, least)
     least_id = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = named.join(least_id, "component").select("cls", "component_id")
     result = plain.join(by_class, "cls", "left")
     return result.select(key, "n_shingles", F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs without all but one document of each component: that of the smallest id stays. Documents without
+    shingles stay. Rows of equal id and text count as one document."""
+    keyed, plain, named = _classes(docs, key, text, words, least)
+    first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "row_key"))
+    chosen = named.groupBy("component").agg(first.alias("x")).select("x.row_key")
+    stay = chosen.unionByName(plain.filter("cls IS NULL").select("row_key")).distinct()
+    kept = keyed.join(stay, "row_key", "left_semi").withColumn("_text_key", F.xxhash64(text))
+    return kept.dropDuplicates(["row_key", "_text_key"]).select(*docs.columns)
