@@ -2,5 +2,377 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from arpent.functions.columns import cleaned_id, district, geopoint
+from arpent.operators import analytics, energy, market, quality
+from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+Y0, Y1 = SALES_POLICY.first_year, SALES_POLICY.last_year
+E0, E1 = ENERGY_POLICY.first_year, ENERGY_POLICY.last_year
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def sales(spark, sf_dir):
+    return market.curated(raw_sales(spark, sf_dir))
+
+
+def diagnostics(spark, sf_dir):
+    return energy.curated(raw_diagnostics(spark, sf_dir), ENERGY_POLICY)
+
+
+def r2(x: str) -> str:
+    return f"(sign({x}) * floor(abs({x}) * 100 + 0.5) / 100)"
+
+
+def pct(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN floor({part} * 1.0 / {whole} * 100 * 100 + 0.5) / 100 ELSE 0.0 END"
+
+
+M = "is_price_per_m2_eligible AND price_per_m2_raw BETWEEN 1000 AND 50000"
+
+
+def price(q: float) -> str:
+    return f"quantile_cont(price_per_m2_raw, {q}) FILTER (WHERE {M})"
+
+
+def overview_sql(where: str) -> str:
+    return f"""SELECT *, eligible_count - market_count AS excluded_count, {r2("median - raw_median")} AS sensitivity, false AS includes_partial_year,
+  CASE WHEN total_count = 0 THEN 'no sales in this scope' WHEN market_count = 0 AND eligible_count > 0 THEN 'all eligible prices lie outside the band' ELSE '' END AS warnings
+FROM (SELECT count(*) AS total_count, count(*) FILTER (WHERE is_price_per_m2_eligible) AS eligible_count, count(*) FILTER (WHERE {M}) AS market_count,
+  {r2("quantile_cont(price_per_m2_raw, 0.5) FILTER (WHERE is_price_per_m2_eligible)")} AS raw_median,
+  {r2(price(0.5))} AS median, {r2(price(0.25))} AS p25, {r2(price(0.75))} AS p75, {r2("quantile_cont(residential_surface, 0.5)")} AS median_surface
+  FROM mut WHERE source_year BETWEEN {Y0} AND {Y1}{where}) z"""
+
+
+# --- the market -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SALES_SQL} {overview_sql('')}")
+def market_overview(spark, sf_dir):
+    return analytics.market_overview(sales(spark, sf_dir), policy=SALES_POLICY)
+
+
+@query(f"WITH {SALES_SQL} {overview_sql(' AND arrondissement = 15')}")
+def market_overview_area(spark, sf_dir):
+    return analytics.market_overview(sales(spark, sf_dir), area=15, policy=SALES_POLICY)
+
+
+@query(f"""WITH {SALES_SQL}, y AS (SELECT source_year, count(*) AS n, count(*) FILTER (WHERE {M}) AS m, {price(0.5)} AS p50, {price(0.25)} AS q1, {price(0.75)} AS q3
+  FROM mut WHERE source_year BETWEEN {Y0} AND {Y1} GROUP BY source_year),
+s AS (SELECT CAST(r.range AS INTEGER) AS source_year, n, m, p50, q1, q3 FROM range({Y0}, {Y1 + 1}) r LEFT JOIN y ON y.source_year = r.range),
+l AS (SELECT *, lag(p50) OVER (ORDER BY source_year) AS b FROM s)
+SELECT source_year, coalesce(n, 0) AS transaction_count, coalesce(m, 0) AS market_count, {r2("p50")} AS median, {r2("q1")} AS p25, {r2("q3")} AS p75,
+  CASE WHEN b <> 0 THEN {r2(f"(({r2('p50')} - b) / b * 100)")} END AS yoy_change_pct FROM l""")
+def price_trend(spark, sf_dir):
+    return analytics.price_trend(sales(spark, sf_dir), policy=SALES_POLICY)
+
+
+BY_AREA = f"""SELECT arrondissement, count(*) AS n, count(*) FILTER (WHERE {M}) AS m, {price(0.5)} AS p50, {price(0.25)} AS q1, {price(0.75)} AS q3,
+  quantile_cont(residential_surface, 0.5) AS surface FROM mut WHERE source_year BETWEEN {Y0} AND {Y1} AND arrondissement IS NOT NULL GROUP BY arrondissement"""
+
+
+@query(f"""WITH {SALES_SQL}, a AS ({BY_AREA}), asked AS (SELECT * FROM (VALUES (0, 13), (1, 20), (2, 5)) t(position, arrondissement))
+SELECT position, asked.arrondissement, coalesce(n, 0) AS transaction_count, coalesce(m, 0) AS market_count, {r2("p50")} AS median, {r2("q1")} AS p25, {r2("q3")} AS p75,
+  {r2("surface")} AS median_surface FROM asked LEFT JOIN a ON a.arrondissement = asked.arrondissement""")
+def compare_areas(spark, sf_dir):
+    return analytics.compare_areas(sales(spark, sf_dir), [13, 20, 13, 5], policy=SALES_POLICY)
+
+
+def _rank_sql(metric: str) -> str:
+    return f"""WITH {SALES_SQL}, a AS ({BY_AREA}), k AS (SELECT arrondissement, {r2("p50")} AS median, {r2("surface")} AS median_surface, m AS sample_size FROM a WHERE m >= 30)
+SELECT *, CAST(row_number() OVER (ORDER BY {metric} DESC, arrondissement) AS INTEGER) AS rank FROM k WHERE {metric} IS NOT NULL"""
+
+
+@query(_rank_sql("median"))
+def rank_by_price(spark, sf_dir):
+    return analytics.ranking(sales(spark, sf_dir), "median", policy=SALES_POLICY)
+
+
+@query(_rank_sql("sample_size"))
+def rank_by_volume(spark, sf_dir):
+    return analytics.ranking(sales(spark, sf_dir), "sample_size", policy=SALES_POLICY)
+
+
+@query(_rank_sql("median_surface"))
+def rank_by_surface(spark, sf_dir):
+    return analytics.ranking(sales(spark, sf_dir), "median_surface", policy=SALES_POLICY)
+
+
+@query(f"WITH {SALES_SQL}, a AS ({BY_AREA}) SELECT arrondissement, m AS sample_size FROM a WHERE m < 30")
+def small_samples(spark, sf_dir):
+    return analytics.small_samples(sales(spark, sf_dir), policy=SALES_POLICY)
+
+
+# --- diagnostics ----------------------------------------------------------------------------------------------------
+
+LABELS = f"""lab AS (SELECT l.label, count(d.etiquette_dpe_norm) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F'), ('G')) l(label)
+  LEFT JOIN (SELECT * FROM diag WHERE is_label_analysis_eligible AND analysis_population = 'dwelling_unit' AND diagnostic_year BETWEEN {E0} AND {E1}) d ON d.etiquette_dpe_norm = l.label GROUP BY l.label)"""
+
+
+@query(f"WITH {ENERGY_SQL}, {LABELS}, t AS (SELECT sum(n) AS total FROM lab) SELECT label, n, {pct('n', 'total')} AS pct FROM lab, t")
+def label_distribution(spark, sf_dir):
+    return analytics.label_distribution(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
+
+
+@query(f"""WITH {ENERGY_SQL}, {LABELS}, t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE label = 'F') AS BIGINT) AS f_count,
+  CAST(sum(n) FILTER (WHERE label = 'G') AS BIGINT) AS g_count FROM lab)
+SELECT total, f_count, g_count, f_count + g_count AS fg_count, {pct("(f_count + g_count)", "total")} AS fg_pct FROM t""")
+def poor_label_share(spark, sf_dir):
+    return analytics.poor_labels(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
+
+
+def _intensity_sql(where: str = "") -> str:
+    q = lambda c, x: r2(f"quantile_cont({c}, {x})")
+    return f"""SELECT count(*) AS n, {q("conso", 0.5)} AS consumption_median, {q("conso", 0.25)} AS consumption_p25, {q("conso", 0.75)} AS consumption_p75,
+  {q("emission", 0.5)} AS emission_median, {q("emission", 0.25)} AS emission_p25, {q("emission", 0.75)} AS emission_p75, {q("surface", 0.5)} AS median_surface
+FROM diag WHERE intensity_exclusion_reason IS NULL AND analysis_population = 'dwelling_unit' AND diagnostic_year BETWEEN {E0} AND {E1}{where}"""
+
+
+@query(f"WITH {ENERGY_SQL} {_intensity_sql()}")
+def intensity_summary(spark, sf_dir):
+    return analytics.intensity_summary(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
+
+
+PROFILE_YEARS = (1995, 2000, 2021, 2025)
+
+
+@query(f"""WITH {SALES_SQL}, {ENERGY_SQL},
+m AS ({overview_sql(" AND arrondissement = 15")}), i AS ({_intensity_sql(" AND arrondissement = 15")})
+SELECT 15 AS arrondissement, m.total_count AS market_total_count, m.market_count AS market_market_count, m.median AS market_median, i.n AS intensity_n,
+  i.consumption_median AS intensity_consumption_median, i.emission_median AS intensity_emission_median FROM m, i""")
+def area_profile(spark, sf_dir):
+    """The test tables' two facts cover different years, so the profile is joined from answers of each one's period."""
+    p = SALES_POLICY
+    found = analytics.market_overview(sales(spark, sf_dir), area=15, policy=p).select(
+        F.lit(15).alias("arrondissement"), F.col("total_count").alias("market_total_count"), F.col("market_count").alias("market_market_count"), F.col("median").alias("market_median")
+    )
+    other = analytics.intensity_summary(diagnostics(spark, sf_dir), area=15, policy=ENERGY_POLICY).select(
+        F.col("n").alias("intensity_n"), F.col("consumption_median").alias("intensity_consumption_median"), F.col("emission_median").alias("intensity_emission_median")
+    )
+    return found.crossJoin(F.broadcast(other))
+
+
+# --- curating sales -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SALES_SQL} SELECT id_mutation, source_year, type_local, surface_reelle_bati, arrondissement, count(*) AS n FROM sales WHERE res GROUP BY ALL")
+def components(spark, sf_dir):
+    found = market.components(market.without_duplicates(raw_sales(spark, sf_dir)))
+    return found.groupBy("id_mutation", "source_year", "type_local", "surface_reelle_bati", "arrondissement").agg(F.count("*").alias("n"))
+
+
+MUTATION = (
+    "source_year, id_mutation, residential_unit_count, apartment_count, house_count, dependency_count, commercial_unit_count, total_component_count, "
+    "distinct_parcel_count, mutation_value, mutation_date, value_consistent, geo_consistent, arrondissement, residential_property_type, residential_surface, residential_rooms, longitude, latitude"
+)
+
+
+@query(f"WITH {SALES_SQL} SELECT {MUTATION} FROM mut")
+def mutations(spark, sf_dir):
+    return sales(spark, sf_dir).select(*MUTATION.replace(" ", "").split(","))
+
+
+@query(f"WITH {SALES_SQL} SELECT source_year, id_mutation, is_price_per_m2_eligible, price_ineligibility_reason, price_per_m2_raw FROM mut")
+def price_eligibility(spark, sf_dir):
+    return sales(spark, sf_dir).select("source_year", "id_mutation", "is_price_per_m2_eligible", "price_ineligibility_reason", "price_per_m2_raw")
+
+
+@query(f"WITH {SALES_SQL} SELECT price_ineligibility_reason AS value, count(*) AS n FROM mut GROUP BY 1")
+def ineligibility_counts(spark, sf_dir):
+    return quality.value_counts(sales(spark, sf_dir), "price_ineligibility_reason")
+
+
+@query("SELECT count(*) - count(DISTINCT (lang, source, text)) AS exact_duplicates, count(*) AS n FROM documents")
+def exact_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("sha"))
+    groups = docs.groupBy("lang", "source", "sha").agg(F.count("*").alias("n"))
+    return groups.agg((F.sum("n") - F.count("*")).alias("exact_duplicates"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {ENERGY_SQL} SELECT numero_dpe, _id, date_etablissement_dpe FROM dnew")
+def dedup_newest(spark, sf_dir):
+    return energy.newest(raw_diagnostics(spark, sf_dir)).select("numero_dpe", "_id", "date_etablissement_dpe")
+
+
+@query(f"""WITH {ENERGY_SQL} SELECT count(*) AS rows_before, 0::BIGINT AS exact_duplicates, 0::BIGINT AS missing_key,
+  (SELECT count(*) FROM (SELECT numero_dpe FROM draw0 GROUP BY 1 HAVING count(*) > 1) z) AS conflicting, count(DISTINCT numero_dpe) AS unique_keys, count(DISTINCT numero_dpe) AS rows_after FROM draw0""")
+def conflicting_keys(spark, sf_dir):
+    return energy.duplicate_counts(raw_diagnostics(spark, sf_dir))
+
+
+@query(f"WITH {ENERGY_SQL} SELECT arrondissement, arrondissement_source, count(*) AS n FROM d1 GROUP BY ALL")
+def district_primary_fallback(spark, sf_dir):
+    return diagnostics(spark, sf_dir).groupBy("arrondissement", "arrondissement_source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ENERGY_SQL} SELECT is_geography_consistent, count(*) AS n FROM d1 GROUP BY 1")
+def geo_consistency(spark, sf_dir):
+    return diagnostics(spark, sf_dir).groupBy("is_geography_consistent").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ENERGY_SQL} SELECT etiquette_dpe, etiquette_dpe_norm, etiquette_ges, etiquette_ges_norm, count(*) AS n FROM d1 GROUP BY ALL")
+def label_normalise(spark, sf_dir):
+    return diagnostics(spark, sf_dir).groupBy("etiquette_dpe", "etiquette_dpe_norm", "etiquette_ges", "etiquette_ges_norm").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ENERGY_SQL} SELECT type_norm AS type_batiment_norm, analysis_population, count(*) AS n FROM d1 GROUP BY ALL")
+def population_map(spark, sf_dir):
+    return diagnostics(spark, sf_dir).groupBy("type_batiment_norm", "analysis_population").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ENERGY_SQL} SELECT numero_dpe, diagnostic_year, arrondissement IS NOT NULL AS is_valid_arrondissement, etiquette_dpe_norm IS NOT NULL AS is_valid_dpe_label,
+  etiquette_ges_norm IS NOT NULL AS is_valid_ges_label, coalesce(surface > 0, false) AS is_valid_surface, coalesce(conso >= 0, false) AS is_valid_consumption,
+  coalesce(emission >= 0, false) AS is_valid_emission, coalesce(diagnostic_year BETWEEN 2021 AND 2025, false) AS is_complete_analysis_year,
+  coalesce(diagnostic_year = 2026, false) AS is_partial_year FROM d1""")
+def quality_flags(spark, sf_dir):
+    return diagnostics(spark, sf_dir).select(
+        "numero_dpe", "diagnostic_year", "is_valid_arrondissement", "is_valid_dpe_label", "is_valid_ges_label", "is_valid_surface", "is_valid_consumption", "is_valid_emission",
+        "is_complete_analysis_year", "is_partial_year",
+    )
+
+
+@query(f"WITH {ENERGY_SQL} SELECT label_exclusion_reason, intensity_exclusion_reason, count(*) AS n FROM diag GROUP BY ALL")
+def exclusion_reasons(spark, sf_dir):
+    return diagnostics(spark, sf_dir).groupBy("label_exclusion_reason", "intensity_exclusion_reason").agg(F.count("*").alias("n"))
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+
+YEAR_SQL = f"""WITH {SALES_SQL},
+ra AS (SELECT source_year, count(*) AS raw_rows FROM raw GROUP BY ROLLUP (source_year)),
+ym AS (SELECT source_year, id_mutation, count(*) AS n, count(*) FILTER (WHERE nature_mutation = 'Vente' AND code_commune NOT LIKE '751%') AS bad, count(*) FILTER (WHERE nature_mutation <> 'Vente') AS other FROM dd GROUP BY ALL),
+cl AS (SELECT source_year, CAST(sum(n) AS BIGINT) AS deduplicated_rows, count(id_mutation) AS unique_mutations, CAST(sum(bad) AS BIGINT) AS invalid_paris_codes, CAST(sum(other) AS BIGINT) AS excluded_nature_rows FROM ym GROUP BY ROLLUP (source_year)),
+un AS (SELECT source_year, count(*) AS residential_units, count(*) FILTER (WHERE NOT coalesce(surface_reelle_bati > 0, false)) AS invalid_or_missing_surfaces FROM sales WHERE res GROUP BY ROLLUP (source_year)),
+so AS (SELECT source_year, count(*) AS residential_mutations, count(*) FILTER (WHERE residential_unit_count = 1) AS single_unit_mutations, count(*) FILTER (WHERE residential_unit_count > 1) AS multi_unit_mutations,
+  CAST(sum(apartment_count) AS BIGINT) AS apartment_count, CAST(sum(house_count) AS BIGINT) AS house_count, count(*) FILTER (WHERE NOT value_consistent) AS inconsistent_mutation_values,
+  count(*) FILTER (WHERE NOT geo_consistent) AS ambiguous_geography, count(*) FILTER (WHERE is_price_per_m2_eligible) AS price_eligible_count FROM mut GROUP BY ROLLUP (source_year))"""
+
+
+@query(f"""{YEAR_SQL} SELECT ra.source_year, raw_rows, deduplicated_rows, raw_rows - deduplicated_rows AS exact_duplicates, unique_mutations, invalid_paris_codes, excluded_nature_rows, residential_units,
+  invalid_or_missing_surfaces, residential_mutations, single_unit_mutations, multi_unit_mutations, apartment_count, house_count, inconsistent_mutation_values, ambiguous_geography, price_eligible_count,
+  {pct("price_eligible_count", "residential_mutations")} AS price_eligibility_rate_pct, 100.0 AS coordinate_coverage_pct
+FROM ra JOIN cl ON ra.source_year IS NOT DISTINCT FROM cl.source_year JOIN un ON ra.source_year IS NOT DISTINCT FROM un.source_year JOIN so ON ra.source_year IS NOT DISTINCT FROM so.source_year""")
+def year_metrics(spark, sf_dir):
+    return quality.year_metrics(raw_sales(spark, sf_dir))
+
+
+def _quantile_sql(column: str, source: str, at: dict[str, float]) -> str:
+    return f"SELECT count({column}) AS count, {r2(f'min({column})')} AS min, {r2(f'max({column})')} AS max, " + ", ".join(f"{r2(f'quantile_cont({column}, {q})')} AS {n}" for n, q in at.items()) + f" FROM {source}"
+
+
+@query(f"WITH {SALES_SQL} {_quantile_sql('price_per_m2_raw', 'mut WHERE is_price_per_m2_eligible', quality.PRICE_QUANTILES)}")
+def price_distribution(spark, sf_dir):
+    return quality.price_distribution(sales(spark, sf_dir))
+
+
+@query(f"WITH {ENERGY_SQL} {_quantile_sql('conso', 'diag', quality.SUMMARY_QUANTILES)}")
+def quantile_summary(spark, sf_dir):
+    return quality.quantiles(diagnostics(spark, sf_dir), "conso_5_usages_par_m2_ep", quality.SUMMARY_QUANTILES)
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return quality.value_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 30")
+def top_value_counts(spark, sf_dir):
+    return quality.top_values(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query(f"WITH {SALES_SQL} SELECT v.value, count(dd.nature_mutation) AS n FROM (VALUES {', '.join('(' + repr(n).replace(chr(34), chr(39)).replace(chr(39) + 'Vente en l' + chr(39) + 'état futur d' + chr(39) + 'achèvement' + chr(39), chr(39) + 'Vente en l' + chr(39) * 2 + 'état futur d' + chr(39) * 2 + 'achèvement' + chr(39)) + ')' for n in quality.EXCLUDED_NATURES)}) v(value) LEFT JOIN dd ON dd.nature_mutation = v.value GROUP BY 1")
+def excluded_natures(spark, sf_dir):
+    return quality.counts_of(market.without_duplicates(raw_sales(spark, sf_dir)), "nature_mutation", quality.EXCLUDED_NATURES)
+
+
+@query(f"""WITH {SALES_SQL} SELECT 'type_local' AS "column", count(*) FILTER (WHERE type_local IS NULL) AS n_missing, {pct("count(*) FILTER (WHERE type_local IS NULL)", "count(*)")} AS pct_missing FROM dd
+UNION ALL SELECT 'surface_reelle_bati', count(*) FILTER (WHERE surface_reelle_bati IS NULL), {pct("count(*) FILTER (WHERE surface_reelle_bati IS NULL)", "count(*)")} FROM dd""")
+def missing_counts(spark, sf_dir):
+    return quality.missing(market.without_duplicates(raw_sales(spark, sf_dir)), "type_local", "surface_reelle_bati")
+
+
+@query(f"""WITH {ENERGY_SQL} SELECT 'surface_habitable_logement' AS "column", count(*) FILTER (WHERE surface IS NULL) AS n_missing, {pct("count(*) FILTER (WHERE surface IS NULL)", "count(*)")} AS pct_missing FROM diag
+UNION ALL SELECT 'arrondissement', count(*) FILTER (WHERE arrondissement IS NULL), {pct("count(*) FILTER (WHERE arrondissement IS NULL)", "count(*)")} FROM diag""")
+def null_rates(spark, sf_dir):
+    return quality.missing(diagnostics(spark, sf_dir), "surface_habitable_logement", "arrondissement")
+
+
+@query(f"WITH {SALES_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE longitude IS NOT NULL AND latitude IS NOT NULL) AS n_covered, {pct('count(*) FILTER (WHERE longitude IS NOT NULL AND latitude IS NOT NULL)', 'count(*)')} AS coverage_pct FROM mut")
+def coverage(spark, sf_dir):
+    return quality.coverage(sales(spark, sf_dir), "longitude", "latitude")
+
+
+@query(f"""SELECT count(*) AS count, {r2("avg(l_extendedprice)")} AS mean, {r2("stddev_samp(l_extendedprice)")} AS std, min(l_extendedprice) AS min, {r2("quantile_cont(l_extendedprice, 0.25)")} AS p25,
+  {r2("quantile_cont(l_extendedprice, 0.5)")} AS p50, {r2("quantile_cont(l_extendedprice, 0.75)")} AS p75, max(l_extendedprice) AS max FROM lineitem""")
+def describe_numeric(spark, sf_dir):
+    return quality.describe(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+
+
+@query(f"""WITH {SALES_SQL}, k AS (SELECT id_mutation, count(*) AS n, min(valeur_fonciere) < max(valeur_fonciere) AS a, min(type_local) < max(type_local) AS b FROM raw GROUP BY 1)
+SELECT count(*) AS n_keys, {r2("avg(n)")} AS mean_rows, max(n) AS max_rows, {pct("count(*) FILTER (WHERE n > 1)", "count(*)")} AS multi_row_pct, count(*) FILTER (WHERE a) AS n_mixed_value, count(*) FILTER (WHERE b) AS n_mixed_kind FROM k""")
+def rows_per_key(spark, sf_dir):
+    return quality.rows_per_key(raw_sales(spark, sf_dir), "id_mutation", "valeur_fonciere", "type_local")
+
+
+@query("SELECT count(*) AS n_orphans FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL AND l_orderkey IS NOT NULL")
+def orphan_fk(spark, sf_dir):
+    from arpent.operators.loading import orphans
+
+    return orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey").agg(F.count("*").alias("n_orphans"))
+
+
+@query("SELECT count(*) AS n, count(*) - count(DISTINCT o_orderkey) AS n_repeated FROM orders")
+def pk_uniqueness(spark, sf_dir):
+    from arpent.operators.loading import repeated_keys
+
+    return repeated_keys(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query(f"WITH {SALES_SQL} SELECT count(*) FILTER (WHERE nature_mutation = 'Vente' AND code_commune NOT LIKE '751%') AS n_invalid FROM dd")
+def invalid_codes(spark, sf_dir):
+    return quality.invalid_codes(market.without_duplicates(raw_sales(spark, sf_dir)))
+
+
+@query(f"WITH {SALES_SQL} SELECT CAST(count(DISTINCT arrondissement) AS INTEGER) AS n_covered, '' AS missing FROM mut")
+def district_coverage(spark, sf_dir):
+    return quality.district_coverage(sales(spark, sf_dir))
+
+
+@query(f"""WITH {ENERGY_SQL} SELECT count(*) AS processed_rows, count(*) FILTER (WHERE is_label_analysis_eligible) AS label_eligible_rows, count(*) FILTER (WHERE intensity_exclusion_reason IS NULL) AS intensity_eligible_rows,
+  count(*) FILTER (WHERE type_norm = 'appartement') AS appartement_count, count(*) FILTER (WHERE type_norm = 'maison') AS maison_count, count(*) FILTER (WHERE type_norm = 'immeuble') AS immeuble_count,
+  CAST(min(date_etablissement_dpe) AS VARCHAR) AS date_min, CAST(max(date_etablissement_dpe) AS VARCHAR) AS date_max, count(*) FILTER (WHERE diagnostic_year BETWEEN 2021 AND 2025) AS complete_year_count,
+  count(*) FILTER (WHERE diagnostic_year = 2026) AS partial_year_count, count(*) FILTER (WHERE NOT is_geography_consistent) AS geography_inconsistencies, {pct("count(_geopoint)", "count(*)")} AS coordinate_coverage_pct FROM diag""")
+def energy_report(spark, sf_dir):
+    return quality.energy_report(diagnostics(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, CASE WHEN k - 5 BETWEEN -90 AND 90 AND k * 3 BETWEEN -180 AND 180 THEN CAST(k - 5 AS DOUBLE) END AS latitude,
+  CASE WHEN k - 5 BETWEEN -90 AND 90 AND k * 3 BETWEEN -180 AND 180 THEN CAST(k * 3 AS DOUBLE) END AS longitude FROM k""")
+def geopoint_parse(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    point = geopoint(F.concat_ws(",", (k - 5).cast("string"), (k * 3).cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", point.alias("p")).select("event_id", "p.latitude", "p.longitude")
+
+
+@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, CAST(k AS VARCHAR) AS cleaned, CASE WHEN k BETWEEN 1 AND 20 THEN k END AS district FROM k""")
+def district_codes(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    code = F.concat(F.lit("751"), F.lpad(k, 2, "0"))
+    return table(spark, sf_dir, "events").select("event_id", cleaned_id(F.concat(k, F.lit(".0"))).alias("cleaned"), district(code).alias("district"))
+
+
