@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 _TO_BLANK = {0xA0: " ", 0x202F: " ", 0xAD: None}
 
@@ -32,12 +33,12 @@ def searchable(text: str | None) -> str:
     return re.sub(r"[^a-z0-9]+", " ", "".join(c for c in plain if not unicodedata.combining(c))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_text(x: pd.Series) -> pd.Series:
     return x.map(clean)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_text(x: pd.Series) -> pd.Series:
     return x.map(searchable)
 
@@ -45,7 +46,7 @@ def search_text(x: pd.Series) -> pd.Series:
 def likeness(candidates: tuple[str, ...]):
     """A UDF: the best ratio of matching blocks with any of the candidates."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def best(x: pd.Series) -> pd.Series:
         return x.map(lambda t: max((difflib.SequenceMatcher(None, t or "", c).ratio() for c in candidates), default=0.0))
 

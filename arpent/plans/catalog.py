@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arpent.functions.columns import cleaned_id, district, geopoint
-from arpent.operators import analytics, energy, market, quality
+from arpent.functions import text
+from arpent.functions.columns import cleaned_id, district, geopoint, rounded
+from arpent.functions.html_elements import page_elements
+from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, vectors
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
 QUERIES: dict = {}
@@ -329,16 +331,12 @@ def rows_per_key(spark, sf_dir):
 
 @query("SELECT count(*) AS n_orphans FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL AND l_orderkey IS NOT NULL")
 def orphan_fk(spark, sf_dir):
-    from arpent.operators.loading import orphans
-
-    return orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey").agg(F.count("*").alias("n_orphans"))
+    return loading.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey").agg(F.count("*").alias("n_orphans"))
 
 
 @query("SELECT count(*) AS n, count(*) - count(DISTINCT o_orderkey) AS n_repeated FROM orders")
 def pk_uniqueness(spark, sf_dir):
-    from arpent.operators.loading import repeated_keys
-
-    return repeated_keys(table(spark, sf_dir, "orders"), "o_orderkey")
+    return loading.repeated_keys(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query(f"WITH {SALES_SQL} SELECT count(*) FILTER (WHERE nature_mutation = 'Vente' AND code_commune NOT LIKE '751%') AS n_invalid FROM dd")
@@ -376,3 +374,160 @@ def district_codes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", cleaned_id(F.concat(k, F.lit(".0"))).alias("cleaned"), district(code).alias("district"))
 
 
+
+
+# --- vectors and the index ------------------------------------------------------------------------------------------
+
+QUERY_ID, TOP = 7, 5
+COSINE = "greatest(-1.0, least(1.0, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
+TOP_SQL = f"""hits AS (SELECT e.vec_id, e.label, {COSINE} AS similarity, CAST(row_number() OVER (ORDER BY {COSINE} DESC, e.vec_id) AS INTEGER) AS rank
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_ID}) q"""
+ROUND6 = "sign(similarity) * floor(abs(similarity) * 1000000 + 0.5) / 1000000 AS similarity"
+
+
+def _query_vector(spark, sf_dir) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_ID).select("embedding").first()[0])
+
+
+def _top(spark, sf_dir, only=None):
+    found = table(spark, sf_dir, "embeddings")
+    found = found if only is None else found.filter(F.col("label").isin(only))
+    return vectors.top_k(found, _query_vector(spark, sf_dir), TOP)
+
+
+@query(f"WITH {TOP_SQL}) SELECT vec_id, rank, {ROUND6} FROM hits WHERE rank <= {TOP}")
+def cosine_topk(spark, sf_dir):
+    return _top(spark, sf_dir).select("vec_id", "rank", rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+@query(f"WITH {TOP_SQL} WHERE e.label IN (1, 3)) SELECT vec_id, label, rank, {ROUND6} FROM hits WHERE rank <= {TOP}")
+def cosine_topk_filtered(spark, sf_dir):
+    return _top(spark, sf_dir, [1, 3]).select("vec_id", "label", "rank", rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+@query(f"WITH {TOP_SQL} WHERE e.vec_id <> {QUERY_ID}) SELECT vec_id, rank FROM hits WHERE rank <= {TOP} AND (SELECT max(similarity) FROM hits) >= 0.42")
+def similarity_abstain(spark, sf_dir):
+    found = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") != QUERY_ID)
+    return vectors.or_abstain(vectors.top_k(found, _query_vector(spark, sf_dir), TOP)).select("vec_id", "rank")
+
+
+def _index(spark, sf_dir):
+    """The documents as a corpus, and an index of an older state of it: every fifth is missing, every seventh changed,
+    and the first of each hundred stands for one that the corpus no longer has."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_id"), F.sha2("text", 256).alias("content_sha256"), "doc_id")
+    known = chunks.filter("doc_id % 5 <> 0 OR doc_id % 100 = 0")
+    known = known.select(
+        F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("old-"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), "source_id",
+        F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(F.col("content_sha256")).alias("content_sha256"), F.lit("m1").alias("model"), F.lit(64).alias("dimensions"),
+    )
+    return chunks.drop("doc_id"), known
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def needs_embedding(spark, sf_dir):
+    chunks, known = _index(spark, sf_dir)
+    return loading.needs_embedding(chunks, known, "m1", 64).select("chunk_id")
+
+
+@query("SELECT 'old-' || CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id % 100 = 0")
+def stale_chunks(spark, sf_dir):
+    chunks, known = _index(spark, sf_dir)
+    sources = [r[0] for r in chunks.select("source_id").distinct().limit(1000).collect()]
+    return loading.stale_chunks(known, chunks, sources).select("chunk_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def manifest_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    old, new = docs.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old")), docs.filter("doc_id % 3 = 0").withColumn("origin", F.lit("new"))
+    return loading.merge_manifest(old, new, "doc_id")
+
+
+@query("SELECT CAST(n AS INTEGER) AS arrondissement_number, '751' || lpad(CAST(n AS VARCHAR), 2, '0') AS insee_code, '750' || lpad(CAST(n AS VARCHAR), 2, '0') AS postal_code, 'Paris ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN 'er' ELSE 'e' END AS name FROM range(1, 21) t(n)")
+def district_dimension(spark, sf_dir):
+    return loading.dimension(spark)
+
+
+@query("""SELECT 'quantity' AS rule, count(*) FILTER (WHERE NOT (l_quantity BETWEEN 1 AND 45)) AS n_broken FROM lineitem
+UNION ALL SELECT 'discount', count(*) FILTER (WHERE NOT (l_discount >= 0)) FROM lineitem""")
+def constraint_checks(spark, sf_dir):
+    rules = [loading.Rule("quantity", "l_quantity BETWEEN 1 AND 45"), loading.Rule("discount", "l_discount >= 0")]
+    return loading.broken_rules(table(spark, sf_dir, "lineitem"), rules)
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CAST(length(text) AS INTEGER) AS n_characters, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words, sha256(text) AS sha FROM documents""")
+def text_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_characters"), text.word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("sha"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256(text)")
+def content_hash_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("sha")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) < 200")
+def short_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(F.length("text") < 200).select("doc_id")
+
+
+@query("""SELECT doc_id, 'S' || CAST(doc_id % 4 AS VARCHAR) AS first_source, doc_id % 4 BETWEEN 1 AND 2 AS valid FROM documents""")
+def citation_refs(spark, sf_dir):
+    made = F.concat(F.lit("See [S"), F.col("doc_id") % 4, F.lit("] and again [S"), F.col("doc_id") % 4, F.lit("]."))
+    answers = table(spark, sf_dir, "documents").select("doc_id", made.alias("answer"), F.lit(2).alias("n_hits"))
+    found = vectors.citations(answers, "answer", "n_hits")
+    return found.select("doc_id", F.concat(F.lit("S"), F.get("cited", F.lit(0)).cast("string")).alias("first_source"), "valid")
+
+
+@query("""SELECT doc_id, left(regexp_replace(text, '(?i)\\b(api[_-]?key|token|password|secret)(\\s*[=:]\\s*)"?[^\\s",;]+"?', '\\1\\2***', 'g'), 500) AS redacted
+FROM documents WHERE NOT regexp_matches(text, '(?i)bearer|sk-|postgres')""")
+def redact_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("(?i)bearer|sk-|postgres"))
+    return docs.select("doc_id", text.redacted(F.col("text")).alias("redacted"))
+
+
+@query()
+def search_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.search_text(F.col("text")).alias("normalised"))
+
+
+@query()
+def html_elements(spark, sf_dir):
+    return page_elements(table(spark, sf_dir, "pages"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    found = chunking.chunk_elements(chunking.text_elements(table(spark, sf_dir, "documents")))
+    return found.withColumns({c: F.array_join(c, "|") for c in ("heading_path", "quality_flags")})
+
+
+@query()
+def chunk_size_stats(spark, sf_dir):
+    return chunking.size_stats(chunking.chunk_elements(chunking.text_elements(table(spark, sf_dir, "documents"))))
+
+
+# --- conversations --------------------------------------------------------------------------------------------------
+
+
+@query()
+def route_messages(spark, sf_dir):
+    turns = conversation.user_turns(table(spark, sf_dir, "conversations"))
+    return conversation.with_routes(turns).select("conv_id", "turn", "route")
+
+
+@query()
+def tool_policy(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return conversation.with_tools(turns).select("conv_id", "turn", "allowed_tools")
+
+
+@query(f"""SELECT count(*) AS cases, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS passed_cases, {pct("count(*) FILTER (WHERE quality = 1 AND toxic = 0)", "count(*)")} AS passed_pct,
+  {pct("count(*) FILTER (WHERE quality = 1)", "count(*)")} AS route_correct_pct, {pct("count(*) FILTER (WHERE toxic = 0)", "count(*)")} AS tools_correct_pct, round(avg(doc_id % 100), 2) AS mean_latency_ms FROM labels""")
+def eval_summary(spark, sf_dir):
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    results = table(spark, sf_dir, "labels").select(good.alias("route_correct"), clean.alias("tools_correct"), (good & clean).alias("passed"), (F.col("doc_id") % 100).alias("latency_ms"))
+    return conversation.summary(results)
