@@ -54,13 +54,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dictionary that forgets everything once it holds too many keys, so that a worker's memory stays bounded."""
+    """A dictionary that forgets everything once it holds too many keys. Workers outlive tasks and serve one operator
+    after another, so the memo that makes room also clears the one that was used before it."""
+
+    _used: Memo | None = None
 
     def __init__(self, most: int):
         super().__init__()
         self.most = most
 
     def room(self, n: int = 0) -> None:
+        if Memo._used is not self:
+            if Memo._used is not None:
+                Memo._used.clear()
+            Memo._used = self
         if len(self) + n > self.most:
             self.clear()
 

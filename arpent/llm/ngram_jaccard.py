@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> Dat
     sets), band, keys. A task gives the keys of a class once, which keeps large groups of copies out of the shuffle."""
 
     def run(batches):
-        seen = Memo(1_000_000)
+        seen = set()
         for batch in slices(batches, text):
             sizes, cls, band, made = [], [], [], []
             for t in batch.column(text).to_pylist():
@@ -169,8 +169,9 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> Dat
                 cls.append(c)
                 band.append(bands.of(len(s)) if len(s) else None)
                 made.append(None if c is None or c in seen else keys(s, bands).view(np.int64).tolist())
-                seen.room(1)
-                seen[c] = True
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(c)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
                 names=[key, "row_key", "n_shingles", "cls", "band", "keys"],
@@ -194,15 +195,16 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
     many (of the cluster), in_band, text."""
 
     def place(batches):
-        seen = Memo(1_000_000)
+        seen = set()
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("cluster", "cls", "band", "many", "in_band")]
             out = []
             for row, (cluster, cls, own, many, in_band) in enumerate(zip(*cols, strict=True)):
                 if cls in seen:
                     continue  # a repeated row
-                seen.room(1)
-                seen[cls] = True
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(cls)
                 if many <= TILE:
                     out.append((f"{cluster}", row, 0))
                     continue

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arpent.llm.bpe import slices
 from arpent.llm.common import stored
 
 #: Payloads of fewer bytes are never revisits.
@@ -83,7 +84,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_fs(folder)
         out, size, count, path = None, 0, 0, ""
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
                 if out is None:
                     task = TaskContext.get()
