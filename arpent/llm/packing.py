@@ -26,8 +26,8 @@ from arpent.llm.bpe import slices
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
 REMEMBERED = 500_000
-#: A character that is a token by itself; it stands between chunks that are encoded together.
-MARK = "~"
+#: Signs that are tokens by themselves after a letter or digit.
+STOPS = ".,"
 
 
 class ChunkEncoder:
@@ -40,21 +40,39 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.stop = {c: self._ids(c) for c in STOPS}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.is_end[ends] = True
         self.memo = Memo(REMEMBERED)
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if MARK not in c] if len(self.mark) == 1 else []
-        for lo in range(0, len(plain), 8192):
-            part = plain[lo : lo + 8192]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            starts = np.concatenate([[0], ends + 1])
-            for chunk, a, b in zip(part, starts, [*ends, len(ids)], strict=True):
-                self.memo[chunk] = ids[a:b].tobytes()
-        rest = [c for c in chunks if c not in self.memo]
+        """Encode chunks that are not known: a stop behind a letter or digit apart from what it follows, and chunks of
+        letters alone, which are one token sequence up to an end-of-word token, joined into one text."""
+        stopped = [c for c in chunks if len(c) > 1 and c[-1] in STOPS and c[-2].isalnum()]
+        bare = {c[:-1] for c in stopped if c[:-1] not in self.memo}
+        bare.update(set(chunks).difference(stopped))
+        letters = [c for c in bare if c.isalpha()]
+        rest = [c for c in bare if c and not c.isalpha()]
+        for lo in range(0, len(letters), 8192):
+            part = letters[lo : lo + 8192]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.is_end[ids]) + 1
+            if len(cuts) != len(part):  # some letter does not stay one
+                rest += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for chunk, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.memo[chunk] = raw[at:end]
+                at = end
         for chunk, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.memo[chunk] = np.array(found.ids, "<u4").tobytes()
+        self.memo[""] = b""
+        for c in stopped:
+            self.memo[c] = self.memo[c[:-1]] + self.stop[c[-1]]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids, four bytes each, without an end id."""
