@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal numbers, dates and mail names, in DataFrame functions alone.
 
-Found and validated: card numbers (Luhn), IBANs (remainder 97), telephone numbers (8 to 15 digits after a plus), IPv4
-addresses, social security numbers (valid areas, groups and serials), calendar dates, and the names in mail addresses.
+Found and validated: card numbers (Luhn), IBANs (remainder 97), telephone numbers (8 to 15 digits after a plus, or ten
+in groups), IPv4 addresses, social security numbers (valid areas, groups and serials), calendar dates, and the names in
+mail addresses.
 Each is permuted within its format by a keyed Feistel network, so equal values get equal pseudonyms in all documents
 and different values different ones. Check digits are made anew, so pseudonyms are valid too.
 
@@ -27,12 +28,13 @@ KEY = "arpent-demonstration-key"
 #: The formats.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])"
+NATIONAL = r"(?<![0-9A-Za-z(+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DAY = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9A-Za-z])"
-ANY = "|".join((MAIL, PHONE, IBAN, IPV4, DAY, SOCIAL, CARD))
+ANY = "|".join((MAIL, PHONE, NATIONAL, IBAN, IPV4, DAY, SOCIAL, CARD))
 
 
 def _digits(x: Column) -> Column:
@@ -124,6 +126,7 @@ def _classified(m: Column) -> Column:
     kind = (
         F.when(m.contains("@"), "mail")
         .when(m.startswith("+"), F.when(F.length(digits).between(8, 15), "phone"))
+        .when(whole(r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}"), "phone")
         .when(m.rlike("^[A-Z]"), F.when(_remainder97(solid) == 1, "iban"))
         .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.when(F.forall(octets, lambda x: x.cast("int") <= 255), "ipv4"))
         .when(
@@ -135,6 +138,7 @@ def _classified(m: Column) -> Column:
     )
     land = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0), F.lit("")), F.substring(m, 1, 3))
     n = F.length(m)
+    land = F.when(m.startswith("+"), land).otherwise("")
     head = F.when(kind == "phone", land).when(kind == "iban", F.substring(m, 1, 2)).otherwise("")
     tail = F.when(kind == "mail", F.regexp_extract(m, "@.*$", 0)).otherwise("")
     core = (
