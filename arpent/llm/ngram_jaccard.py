@@ -36,7 +36,7 @@ WORDS, LEAST = 4, (85, 100)
 SMALL = 32
 #: Classes from one band in a tile, and 64-bit words of a bitmap.
 TILE, BITMAP = 128, 16
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _words = Memo(REMEMBERED)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,6 +176,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> Dat
                 [batch.column(key), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
                 names=[key, "row_key", "n_shingles", "cls", "band", "keys"],
             )
+        _words.clear()  # cheap to fill again; idle workers should hold little while Spark sorts the keys
 
     return docs.select(key, "row_key", text).mapInArrow(run, f"{key} long, row_key long, n_shingles long, cls long, band int, keys array<long>")
 

@@ -25,7 +25,7 @@ from arpent.llm.bpe import slices
 
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Signs that are tokens by themselves after a letter or digit.
 STOPS = ".,"
 
@@ -105,24 +105,27 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: key, piece, start, length, ids_crc32 and, if asked for, its ids."""
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """A row for each piece: key, piece, start, length, ids_crc32 and, if asked for, its ids. One pass, so that a task
+    needs one Python worker."""
+    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        for batch in batches:
-            keys, out = batch.column(key).to_pylist(), []
-            for k, ids in zip(keys, batch.column("ids").to_pylist(), strict=True):
+        for batch in slices(batches, text):
+            out = []
+            for k, ids in zip(batch.column(key).to_pylist(), encoder(path).encode(batch.column(text).to_pylist()), strict=True):
+                ids += end
                 for i, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
-                    out.append((k, i, lo // 4, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
+                    out.append((k, i, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            cols = list(zip(*out, strict=True))
             kinds = [batch.column(key).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
 
     names = [key, "piece", "start", "length", "ids_crc32", "ids"]
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return tokenized(docs, path, key, text).mapInArrow(run, schema + ", ids binary" * with_ids)
+    return docs.select(key, text).mapInArrow(run, schema + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
