@@ -53,6 +53,17 @@ def likeness(candidates: tuple[str, ...]):
     return best
 
 
+def token_likeness(candidates: tuple[str, ...]):
+    """A UDF: the best ratio that any single word of a text has with any of the candidates."""
+
+    @F.pandas_udf(DoubleType())
+    def best(x: pd.Series) -> pd.Series:
+        ratio = lambda w: max(difflib.SequenceMatcher(None, w, c).ratio() for c in candidates)
+        return x.map(lambda t: max(map(ratio, (t or "").split()), default=0.0))
+
+    return best
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != ""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import percent
-from arpent.functions.text import likeness, search_text
+from arpent.functions.text import likeness, search_text, token_likeness
 
 # Fixed values from here to the end of the lists.
 GREETINGS = (
@@ -107,7 +107,7 @@ def with_routes(messages: DataFrame, text: str = "text", before: str = "previous
     one = (words(F.col("_t")) == 1) & (F.length("_t") >= 4)
     messages = messages.withColumns({
         "_typo": F.when(one, likeness(GREETING_WORDS)(F.when(one, F.col("_t")).otherwise(""))).otherwise(0.0),
-        "_language": F.exists(F.split("_t", " "), lambda w: w.isin(*LANGUAGES)),
+        "_language": token_likeness(LANGUAGES)(F.when(words(F.col("_t")) <= 12, F.col("_t")).otherwise("")) >= 0.8,
     })
     t, b = F.col("_t"), F.coalesce(F.col("_b"), F.lit(""))
     topical = in_scope(b)
