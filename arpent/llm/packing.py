@@ -12,6 +12,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterable
 
@@ -25,9 +27,9 @@ from arpent.llm.bpe import slices
 
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
-REMEMBERED = 400_000
-#: Signs that are tokens by themselves after a letter or digit.
-STOPS = ".,"
+REMEMBERED = 800_000
+#: Signs that make token runs of their own after a letter or digit: ASCII punctuation.
+MARKS = string.punctuation
 
 
 class ChunkEncoder:
@@ -40,39 +42,46 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.stop = {c: self._ids(c) for c in STOPS}
+        self.closed: dict[str, bool] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
         self.memo = Memo(REMEMBERED)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _closed(self, sign: str) -> bool:
+        """Whether marks behind this sign are a token run of their own: it stays a letter or digit when normalized."""
+        found = self.closed.get(sign)
+        if found is None:
+            found = self.closed[sign] = unicodedata.normalize("NFC", sign) == sign and sign.isalnum() and sign.lower().isalnum()
+        return found
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not known: a stop behind a letter or digit apart from what it follows, and chunks of
+        """Encode chunks that are not known: marks behind a letter or digit apart from what they follow, and chunks of
         letters alone, which are one token sequence up to an end-of-word token, joined into one text."""
-        stopped = [c for c in chunks if len(c) > 1 and c[-1] in STOPS and c[-2].isalnum()]
-        bare = {c[:-1] for c in stopped if c[:-1] not in self.memo}
-        bare.update(set(chunks).difference(stopped))
+        memo, marked = self.memo, []
+        bare, batch = set(), self.tokenizer.encode_batch_fast
+        for c in chunks:
+            head = c.rstrip(MARKS)
+            if len(head) < len(c) and head and self._closed(head[-1]):
+                marked.append((c, head, c[len(head) :]))
+            else:
+                bare.add(c)
+        bare.update([x for _, *both in marked for x in both if x not in memo])
         letters = [c for c in bare if c.isalpha()]
         rest = [c for c in bare if c and not c.isalpha()]
         for lo in range(0, len(letters), 8192):
             part = letters[lo : lo + 8192]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.is_end[ids]) + 1
             if len(cuts) != len(part):  # some letter does not stay one
                 rest += part
                 continue
-            raw, at = ids.tobytes(), 0
-            for chunk, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self.memo[chunk] = raw[at:end]
-                at = end
-        for chunk, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(found.ids, "<u4").tobytes()
-        self.memo[""] = b""
-        for c in stopped:
-            self.memo[c] = self.memo[c[:-1]] + self.stop[c[-1]]
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            memo.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        for chunk, found in zip(rest, batch(rest, add_special_tokens=False), strict=True):
+            memo[chunk] = np.array(found.ids, "<u4").tobytes()
+        memo[""] = b""
+        memo.update([(c, memo[head] + memo[tail]) for c, head, tail in marked])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids, four bytes each, without an end id."""
