@@ -230,15 +230,22 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about `most` bytes each, or one row."""
+    part = np.cumsum(sizes) // most if len(sizes) else sizes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo]
+
+
+def text_bytes(batch: pa.RecordBatch, text: str) -> np.ndarray:
+    return pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
-        sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(text)).to_pylist()], np.int64)
-        part = np.cumsum(sizes) // most if len(sizes) else sizes
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi > lo:
-                yield batch.slice(lo, hi - lo)
+        for lo, hi in spans(text_bytes(batch, text), most):
+            yield batch.slice(lo, hi - lo)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

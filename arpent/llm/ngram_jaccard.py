@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arpent.llm.bpe import slices
+from arpent.llm.bpe import slices, spans, text_bytes
 from arpent.llm.common import Memo, mix64, stored
 from arpent.llm.graph import components
 
@@ -36,6 +36,8 @@ WORDS, LEAST = 4, (85, 100)
 SMALL = 32
 #: Classes from one band in a tile, and 64-bit words of a bitmap.
 TILE, BITMAP = 128, 16
+#: Bytes of text that are sent to tiles at a time.
+PLACED = 4_000_000
 REMEMBERED = 250_000
 _words = Memo(REMEMBERED)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -197,7 +199,7 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
 
     def place(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches, text):
             cols = [batch.column(c).to_pylist() for c in ("cluster", "cls", "band", "many", "in_band")]
             out = []
             for row, (cluster, cls, own, many, in_band) in enumerate(zip(*cols, strict=True)):
@@ -218,8 +220,10 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
             if not out:
                 continue
             tile, row, side = zip(*out, strict=True)
-            kept = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(side, pa.int32()), kept.column("cls"), kept.column(text)], names=["tile", "side", "cls", text])
+            row = np.array(row)
+            for lo, hi in spans(text_bytes(batch, text)[row], PLACED):  # a text goes to many tiles, so its copies are cut too
+                kept = batch.take(pa.array(row[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array(tile[lo:hi]), pa.array(side[lo:hi], pa.int32()), kept.column("cls"), kept.column(text)], names=["tile", "side", "cls", text])
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
