@@ -6,7 +6,9 @@
    its key brings them together. Small sets, and those with so many empty segments that this can fail, use a prefix of
    their sorted hashes instead, of the length that linked sets must share a hash in. Keys only make clusters of classes
    that may link, through edges to the least class of a key; no pairs are made.
-3. Clusters are compared in tiles by bands of size, at most TILE classes from each of two bands. In a tile, hashed
+3. Clusters are compared in tiles by bands of size, from each of two bands as many classes as hold about TILE shingles,
+   1024 at most: a text goes to every tile of its band and the two beside it, so few large tiles keep the shuffle small
+   and their size bounds a task's memory. In a tile, hashed
    bitmaps bound the overlap of two sets from above by the number of differing bits; what passes is verified by exact
    intersection of the sorted hashes. Pairs that links have already joined need no comparison.
 4. Links make components; the component's name is its smallest document id.
@@ -34,8 +36,8 @@ from arpent.llm.graph import components
 WORDS, LEAST = 4, (85, 100)
 #: Sets of fewer shingles use prefix keys alone.
 SMALL = 32
-#: Classes from one band in a tile, and 64-bit words of a bitmap.
-TILE, BITMAP = 128, 16
+#: Shingles from one band in a tile, and 64-bit words of a bitmap.
+TILE, BITMAP = 1 << 20, 16
 #: Bytes of text that are sent to tiles at a time.
 PLACED = 4_000_000
 REMEMBERED = 250_000
@@ -98,6 +100,10 @@ class Bands:
         d = self.most_apart(band) + 1
         return d + d // 32 + 2
 
+    def in_tile(self, band: int) -> int:
+        """Classes of this band that go to one tile."""
+        return max(1, min(1024, TILE // int(self.starts[band])))
+
     def keyed(self, n: int) -> list[int]:
         """The bands of the smaller set for which a set of this size makes keys: its own and those of smaller partners."""
         return list(range(self.of(-(-n * self.p // self.q)), self.of(n) + 1))
@@ -208,13 +214,13 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(cls)
-                if many <= TILE:
+                counts = dict(in_band)
+                if many <= bands.in_tile(max(counts)):
                     out.append((f"{cluster}", row, 0))
                     continue
-                counts = dict(in_band)
-                chunk = cls % -(-counts[own] // TILE)
+                chunk = cls % -(-counts[own] // bands.in_tile(own))
                 for other in range(max(0, own - 1), own + 2):
-                    for c in range(-(-counts.get(other, 0) // TILE)):
+                    for c in range(-(-counts.get(other, 0) // bands.in_tile(other))):
                         a, b = sorted([(own, chunk), (other, c)])
                         out.append((f"{cluster} {a[0]} {a[1]} {b[0]} {b[1]}", row, 0 if (own, chunk) == a else 1))
             if not out:
