@@ -160,3 +160,18 @@ def test_files(spark, tmp_path):
     assert [r.problem for r in files.registry(spark, str(tmp_path / "r.json"), ["x.fr"]).orderBy("source_id").collect()] == ["source_id", None, "not https"]
     p = {r.column: r for r in files.profile(spark.createDataFrame([(1, None), (2, "x")], "k long, v string"), "k").collect()}
     assert p["k"].is_unique_key and p["v"].n_null == 1
+
+
+def test_redact_secrets_takes_all_documents(spark, tmp_path):
+    from arpent.plans import catalog
+
+    given = [
+        (1, "a postgres://me:hidden@host/db b"), (2, "Authorization: Bearer abc.def-1"), (3, "key sk-abcdefgh12 end"), (4, 'api_key = "xyz"; token: t1'),
+        (5, "risk-free task-list of postgres"), (6, None), (7, "y" * 600), (8, "x" * 480 + " password=abcdef " + "z" * 100),
+    ]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.redacted for r in catalog.QUERIES["redact_secrets"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: "a postgres://me:***@host/db b", 2: "Authorization: Bearer ***", 3: "key *** end", 4: "api_key = ***; token: ***",
+        5: "risk-free task-list of postgres", 6: None, 7: "y" * 500, 8: "x" * 480 + " password=*** zzzzzz",
+    }
