@@ -37,8 +37,6 @@ REVISIT_FROM = 1000
 SPLIT, BLOCK = 32 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of decoded header block beyond which a candidate is no record.
-HEAD_MOST = 1 << 16
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -79,11 +77,12 @@ def with_revisits(pages: DataFrame, key: str, url: str, payload: str) -> DataFra
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write an archive into the folder, which all machines must share; returns the stored manifest: path, bytes, records."""
+    """Write an archive into the folder, which all machines must share; returns the stored manifest: path, bytes, records,
+    starts (the places of the records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_fs(folder)
-        out, size, count, path = None, 0, 0, ""
+        out, size, starts, path = None, 0, [], ""
         for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
                 if out is None:
@@ -92,14 +91,15 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                     path, out = f"{folder}/{name}", store.open_output_stream(f"{root}/{name}", compression=None)
                 data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["refers_to"] is not None)
                 out.write(data)
-                size, count = size + len(data), count + 1
+                starts.append(size)
+                size += len(data)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "records": count}])
+            yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "records": len(starts), "starts": starts}])
 
     store, root = open_fs(folder)
     store.create_dir(root, recursive=True)
-    manifest = with_revisits(pages, key, url, payload).mapInArrow(run, "path string, bytes long, records long")
+    manifest = with_revisits(pages, key, url, payload).mapInArrow(run, "path string, bytes long, records long, starts array<long>")
     return stored(manifest, "warc-manifest")
 
 
@@ -135,13 +135,15 @@ class Member:
 
 def try_member(file, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record that starts at this place, if one does: header fields, content, end of the member."""
-    member, data, head = Member(file, at), b"", None
+    member, data, end = Member(file, at), bytearray(), -1
     try:
-        while head is None and not member.unzip.eof and len(data) < HEAD_MOST:
-            data += member.grow(4096)
+        while end < 0 and not member.unzip.eof:
+            seen = max(0, len(data) - 3)
+            data += member.grow(1 << 16 if data else 4096)
             if not b"WARC/1.".startswith(data[:7]):
                 return None
-            head = _head(data)
+            end = data.find(b"\r\n\r\n", seen)
+        head = _head(bytes(data))
         if head is None:
             return None
         parts = [data]
@@ -184,15 +186,17 @@ def _page(urn: str | None) -> int | None:
 
 def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame:
     """The records of WARC files (path, bytes): path, at, warc_type, page_id, url, payload, payload_digest (as written),
-    payload_bytes (of the full payload), refers_to. Payload of revisits is null."""
+    payload_bytes (of the full payload), refers_to. Payload of revisits is null. Where the files come with the manifest's
+    starts, a range that does not give as many records as start in it is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 store, path = open_fs(row["path"])
                 with store.open_input_file(path) as file:
-                    out, held = [], 0
+                    out, held, count = [], 0, 0
                     for at, h, content in records(file, row["lo"], row["hi"]):
+                        count += 1
                         revisit = h["warc-type"] == "revisit"
                         digest = base64.b32decode(h.get("warc-payload-digest", "sha1:").partition(":")[2]).hex()
                         out.append((row["path"], at, h["warc-type"], _page(h.get("warc-record-id")), h.get("warc-target-uri"), None if revisit else content, digest, int(h["x-payload-length"]) if "x-payload-length" in h else len(content), _page(h.get("warc-refers-to"))))
@@ -200,13 +204,18 @@ def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                             out, held = [], 0
+                    if row["wanted"] is not None and count != row["wanted"]:
+                        raise ValueError(f"{row['path']}: {count} records from {row['lo']} to {row['hi']}, {row['wanted']} in the manifest")
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     names = ["path", "at", "warc_type", "page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("lo")
-    ranges = files.filter("bytes > 0").select("path", "bytes", starts).withColumn("hi", F.least("bytes", F.col("lo") + split)).drop("bytes")
+    places = F.col("starts") if "starts" in files.columns else F.lit(None).cast("array<long>")
+    ranges = files.filter("bytes > 0").select("path", "bytes", places.alias("starts"), starts).withColumn("hi", F.least("bytes", F.col("lo") + split))
+    own = F.when(F.col("starts").isNotNull(), F.size(F.filter("starts", lambda s: (s >= F.col("lo")) & (s < F.col("hi")))))
+    ranges = ranges.select("path", "lo", "hi", own.alias("wanted"))
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
     dealt = ranges.repartition(int(min(n, 100_000)), "path", "lo")  # a given number is not coalesced by size
     return dealt.mapInArrow(run, "path string, at long, warc_type string, page_id long, url string, payload binary, payload_digest string, payload_bytes long, refers_to long")

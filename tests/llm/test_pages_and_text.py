@@ -47,6 +47,20 @@ def test_warc_ranges_and_false_magic():
     assert list(warc.records(io.BytesIO(data[:-9]), 0, len(data)))[-1][2] == payloads[-2]  # a broken end
 
 
+def test_warc_long_urls_and_counts(spark, tmp_path):
+    """Header blocks of any size are read, and records that are not found are an error."""
+    r = random.Random(4)
+    urls = ["u", "data:" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000)), "http://x/?" + "q" * 70_000, None]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = warc.write(df, f"file://{tmp_path}/a")
+    for split in (warc.SPLIT, 5000):
+        got = sorted((x.page_id, x.url, bytes(x.payload)) for x in warc.read(spark, manifest, split).collect())
+        assert got == [(i, u or "", f"page {i}".encode()) for i, u in enumerate(urls)]
+    assert warc.read(spark, manifest.select("path", "bytes")).count() == manifest.agg(F.sum("records")).first()[0] == 4
+    with pytest.raises(Exception, match="in the manifest"):
+        warc.read(spark, manifest.withColumn("starts", F.concat("starts", F.array(F.lit(1).cast("long"))))).count()
+
+
 def verdicts(spark, urls, labels=()):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     marks = spark.createDataFrame(list(labels), "doc_id long, quality int")
