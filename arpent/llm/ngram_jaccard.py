@@ -163,8 +163,8 @@ def link_tile(sets: list[np.ndarray], pairs_of: tuple[int, int] | None, least: t
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> DataFrame:
-    """key, row_key (the id, or a hash of the text where it is null), n_shingles, cls (the set's hash, null for empty
-    sets), band, keys. A task gives the keys of a class once, which keeps large groups of copies out of the shuffle."""
+    """key, row_key (the id, or a hash of the text where it is null), _text_key, n_shingles, cls (the set's hash, null for
+    empty sets), band, keys. A task gives the keys of a class once, which keeps large groups of copies out of the shuffle."""
 
     def run(batches):
         seen = set()
@@ -181,12 +181,12 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> Dat
                     seen.clear()
                 seen.add(c)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
-                names=[key, "row_key", "n_shingles", "cls", "band", "keys"],
+                [batch.column(key), batch.column("row_key"), batch.column("_text_key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(band, pa.int32()), pa.array(made, pa.list_(pa.int64()))],
+                names=[key, "row_key", "_text_key", "n_shingles", "cls", "band", "keys"],
             )
         _words.clear()  # cheap to fill again; idle workers should hold little while Spark sorts the keys
 
-    return docs.select(key, "row_key", text).mapInArrow(run, f"{key} long, row_key long, n_shingles long, cls long, band int, keys array<long>")
+    return docs.select(key, "row_key", "_text_key", text).mapInArrow(run, f"{key} long, row_key long, _text_key long, n_shingles long, cls long, band int, keys array<long>")
 
 
 def _clusters(sets: DataFrame) -> DataFrame:
@@ -236,7 +236,6 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
         table = table.take(pa.array(np.lexsort((table.column("cls").to_numpy(), side))))
         cls, first = table.column("cls").to_numpy(), int((side == 0).sum())
         sets = [shingles(t, words) for t in table.column(text).to_pylist()]
-        sets = [s if len(s) and set_hash(s) == c else s[:0] for s, c in zip(sets, cls.tolist(), strict=True)]  # else another text of the same id
         root = link_tile(sets, (first, len(sets)) if first < len(sets) else None, least)
         has = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"cls": cls[has], "root": cls[root[has]]})
@@ -246,22 +245,24 @@ def _tiles(members: DataFrame, bands: Bands, words: int, text: str, least: tuple
 
 
 def _classes(docs: DataFrame, key: str, text: str, words: int, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs with row_key; (key, row_key, n_shingles, cls) for each of them; (cls, row_key, least_id, component) for each class."""
+    """docs with row_key and _text_key, which name a row's text where ids are repeated; (key, row_key, _text_key, n_shingles,
+    cls) for each of them; (cls, row_key, _text_key, least_id, component) for each class."""
     bands = Bands(least)
-    docs = docs.withColumn("row_key", F.coalesce(F.col(key).cast("long"), F.xxhash64(text)))
-    bare = docs.select(F.col(key).cast("long").alias(key), text, "row_key")
+    docs = docs.withColumn("row_key", F.coalesce(F.col(key).cast("long"), F.xxhash64(text))).withColumn("_text_key", F.xxhash64(text))
+    bare = docs.select(F.col(key).cast("long").alias(key), text, "row_key", "_text_key")
     sets = stored(_sets(bare, key, text, words, bands), "shingle-sets")
-    plain = sets.select(key, "row_key", "n_shingles", "cls", "band")
+    plain = sets.select(key, "row_key", "_text_key", "n_shingles", "cls", "band")
     clusters = stored(_clusters(sets), "clusters")
-    names = plain.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(key).alias("least_id"), F.min("row_key").alias("row_key"), F.max("band").alias("band"))
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("least_id"), "row_key", "_text_key")).alias("x")
+    names = plain.filter("cls IS NOT NULL").groupBy("cls").agg(first, F.max("band").alias("band")).select("cls", "x.least_id", "x.row_key", "x._text_key", "band")
     sized = clusters.join(names, "cls")
     in_band = sized.groupBy("cluster", "band").agg(F.count("*").alias("n"))
     many = in_band.groupBy("cluster").agg(F.sum("n").alias("many"), F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("in_band"))
-    wanted = sized.join(many, "cluster").select("row_key", "cls", "cluster", "band", "many", "in_band")
-    members = bare.select("row_key", text).join(wanted, "row_key").select("cluster", "cls", "band", "many", "in_band", text)
+    wanted = sized.join(many, "cluster").select("row_key", "_text_key", "cls", "cluster", "band", "many", "in_band")
+    members = bare.select("row_key", "_text_key", text).join(wanted, ["row_key", "_text_key"]).select("cluster", "cls", "band", "many", "in_band", text)
     links = stored(_tiles(members, bands, words, text, least), "links")
     found = components(links, "cls", "root").select(F.col("node").alias("cls"), "component")
-    named = names.join(found, "cls", "left").select("cls", "row_key", "least_id", F.coalesce("component", "cls").alias("component"))
+    named = names.join(found, "cls", "left").select("cls", "row_key", "_text_key", "least_id", F.coalesce("component", "cls").alias("component"))
     return docs, plain, stored(named, "classes")
 
 
@@ -278,8 +279,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """The rows of docs without all but one document of each component: that of the smallest id stays. Documents without
     shingles stay. Rows of equal id and text count as one document."""
     keyed, plain, named = _classes(docs, key, text, words, least)
-    first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "row_key"))
-    chosen = named.groupBy("component").agg(first.alias("x")).select("x.row_key")
-    stay = chosen.unionByName(plain.filter("cls IS NULL").select("row_key")).distinct()
-    kept = keyed.join(stay, "row_key", "left_semi").withColumn("_text_key", F.xxhash64(text))
+    first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "row_key", "_text_key"))
+    chosen = named.groupBy("component").agg(first.alias("x")).select("x.row_key", "x._text_key")
+    stay = chosen.unionByName(plain.filter("cls IS NULL").select("row_key", "_text_key")).distinct()
+    kept = keyed.join(stay, ["row_key", "_text_key"], "left_semi")
     return kept.dropDuplicates(["row_key", "_text_key"]).select(*docs.columns)

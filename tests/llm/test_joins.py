@@ -74,6 +74,21 @@ def test_jaccard_nulls_and_repeats(spark):
     assert ngram_jaccard.linked(docs.limit(0)).count() == 0 and ngram_jaccard.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_jaccard_one_id_on_two_texts(spark):
+    """Texts of a repeated id are placed, linked and dropped each for itself, in any order of the rows."""
+    r = random.Random(6)
+    base = {c: [f"{c}{r.randrange(10**6)}" for _ in range(80)] for c in "abc"}
+    text = lambda c, end="": " ".join(base[c]) + end
+    rows = [(7, text("a")), (7, text("b")), (3, text("a", " x")), (9, text("b", " y")), (4, text("c")), (3, text("c", " z"))]
+    rows += [(None, text("c", " w")), (20, text("c", " w"))]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_jaccard.linked(docs).collect()), key=repr)
+        assert got == sorted([(7, 77, 3), (3, 78, 3), (7, 77, 7), (9, 78, 7), (4, 77, 3), (3, 78, 3), (None, 78, 3), (20, 78, 3)], key=repr)
+        kept = sorted((x.doc_id, x.text) for x in ngram_jaccard.deduplicated(docs).collect())
+        assert kept == sorted([(3, text("a", " x")), (7, text("b")), (3, text("c", " z"))])
+
+
 def test_keys_meet_at_every_size():
     """Any two sets that link share a key: both filters are exact."""
     rng, bands = np.random.RandomState(5), ngram_jaccard.Bands((85, 100))
