@@ -9,7 +9,11 @@ and different values different ones. Check digits are made anew, so pseudonyms a
  - Strings of characters are cut in two halves; in each round a keyed digest of one half shifts every digit and letter
    of the other within its class. Other characters stay.
  - Addresses, security numbers and dates are pairs of numbers in a product of two ranges; in each round a digest of one
-   is added to the other, modulo its range. A date stays in its cycle of 400 years, whose 146,097 days are 189 * 773.
+   is added to the other, modulo its range. A date stays in its cycle of 400 years, whose 146,097 days are 189 * 773; the
+   first cycle has no year 0, and its 145,731 days are 93 * 1567.
+
+An IBAN ends where its country's length says, whatever word or number follows. Only candidates of other countries and
+lengths reach as far as groups go, and what stands inside a candidate that fails its check is not searched again.
 
 Values that are not valid stay as they are. Defined results: null stays null, the empty text empty; text of every
 length is searched whole; no row meets another, so repeated rows and hot sources need no care. Nothing is shuffled.
@@ -29,7 +33,21 @@ KEY = "arpent-demonstration-key"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])"
 NATIONAL = r"(?<![0-9A-Za-z(+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+#: Characters of an IBAN by country: those of the registry, then those in use without being registered.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, lands: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBAN_LENGTHS = "|".join(_iban(n, lands) for n, lands in IBAN_COUNTRIES.items())
+IBAN = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN_LENGTHS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DAY = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -75,7 +93,7 @@ def _number(key: str, kind: str, turn: Column, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def _permuted_pair(key: str, kind: str, a: Column, b: Column, ranges: tuple[int, int]) -> Column:
+def _permuted_pair(key: str, kind: str, a: Column, b: Column, ranges: tuple[int | Column, int | Column]) -> Column:
     """struct(a, b) permuted in the product of the two ranges."""
 
     def turn(s: Column, r: Column) -> Column:
@@ -133,7 +151,7 @@ def _classified(m: Column) -> Column:
             whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
             F.when((numbers[0] != "000") & (numbers[0] != "666") & (numbers[0] < "900") & (numbers[1] != "00") & (numbers[2] != "0000"), "social"),
         )
-        .when(iso & (F.length(digits) == 8) | m.rlike("[./]"), F.when(day.isNotNull() & (F.year(day) >= 1600), "day"))
+        .when(iso & (F.length(digits) == 8) | m.rlike("[./]"), F.when(day.isNotNull() & (F.year(day) >= 1), "day"))
         .otherwise(F.when(F.length(digits).between(13, 19) & (_luhn(digits, False) % 10 == 0), "card"))
     )
     land = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0), F.lit("")), F.substring(m, 1, 3))
@@ -167,9 +185,11 @@ def _pseudonym(key: str, x: Column) -> Column:
     area2 = social["a"] + 1 + (social["a"] >= 665).cast("long")
     social = F.concat_ws("-", check(area2, 3), check(F.floor(social["b"] / 9999) + 1, 2), check(social["b"] % 9999 + 1, 4))
     since = F.datediff(x["day"], F.lit("1600-01-01").cast("date"))
-    within = F.pmod(since, F.lit(146097))
-    pair = _permuted_pair(key, "day", F.floor(within / 773), within % 773, (189, 773))
-    date = F.date_add(F.lit("1600-01-01").cast("date"), (since - within + pair["a"] * 773 + pair["b"]).cast("int"))
+    early = F.year(x["day"]) < 400
+    within = F.when(early, F.datediff(x["day"], F.lit("0001-01-01").cast("date"))).otherwise(F.pmod(since, F.lit(146097)))
+    rows, width = F.when(early, 93).otherwise(189), F.when(early, 1567).otherwise(773)
+    pair = _permuted_pair(key, "day", F.floor(within / width), within % width, (rows, width))
+    date = F.date_add(F.lit("1600-01-01").cast("date"), (since - within + pair["a"] * width + pair["b"]).cast("int"))
     apart = F.when(m.contains("/"), "/").otherwise(".")
     plain = F.concat_ws(".", F.date_format(date, "dd"), F.date_format(date, "MM"), F.date_format(date, "yyyy"))
     day = F.when(m.rlike("^[0-9]{4}-"), F.date_format(date, "yyyy-MM-dd")).otherwise(F.replace(plain, F.lit("."), apart))

@@ -138,6 +138,32 @@ def test_pseudonyms_link_and_differ(spark):
     assert r.n == 3 and r._replaced == 1 and r.text != pseudonyms.pseudonymized(df).first().text
 
 
+def test_pseudonyms_ibans_before_other_words(spark):
+    """The word, number or IBAN after an IBAN is no part of it; the number after it is found too."""
+    ibans = ["BE68 5390 0754 7034", "BE68539007547034", "AT611904300234573201", "ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466", "CZ6508000000192000145399", "PL61109010140000071219812874", "NO9386011117947"]
+    assert all(map(iban_ok, ibans))
+    after = [" EUR", " 2024", " 7", " A1", " USD 12", " BIC", ", EUR", ""]
+    alone = dict(zip(ibans, hidden(spark, *ibans), strict=True))
+    assert all(iban_ok(v) and v != k and v[:2] == k[:2] and len(v) == len(k) for k, v in alone.items())
+    given = [f"to {i}{a}" for i in ibans for a in after]
+    assert hidden(spark, *given) == [f"to {alone[i]}{a}" for i in ibans for a in after]
+    card, day, other = hidden(spark, "4532 0151 1283 0366", "2024-01-31", "GB82 WEST 1234 5698 7654 32")
+    both = hidden(spark, f"{ibans[0]} 4532 0151 1283 0366", f"{ibans[1]} 2024-01-31", f"{ibans[3]} GB82 WEST 1234 5698 7654 32", f"{ibans[4]} {ibans[0]}")
+    assert both == [f"{alone[ibans[0]]} {card}", f"{alone[ibans[1]]} {day}", f"{alone[ibans[3]]} {other}", f"{alone[ibans[4]]} {alone[ibans[0]]}"]
+
+
+def test_pseudonyms_early_dates(spark):
+    """Dates before 1600 are permuted within their cycle too, those of the first cycle without the year 0."""
+    days = [(datetime.date(start, 1, 1) + datetime.timedelta(k)).isoformat() for start in (1, 398, 1200, 1599) for k in range(0, 360, 3)]
+    got = hidden(spark, *days)
+    assert len(set(got)) == len(days) and sum(a != b for a, b in zip(days, got, strict=True)) > 0.99 * len(days)
+    for a, b in zip(days, got, strict=True):
+        assert datetime.date.fromisoformat(b).year // 400 == int(a[:4]) // 400
+    assert hidden(spark, "0000-01-01", "1500-02-29") == ["0000-01-01", "1500-02-29"]
+    d, m, y = hidden(spark, "03/04/1492")[0].split("/")
+    assert datetime.date(int(y), int(m), int(d)) != datetime.date(1492, 4, 3)
+
+
 def toxic_corpus(n=400):
     r = random.Random(0)
     parts = "ent ion the ing er lo ta mi ra so ne ku pa vi do".split()
