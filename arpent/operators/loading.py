@@ -149,9 +149,14 @@ def needs_embedding(chunks: DataFrame, known: DataFrame, model: str, dimensions:
     return chunks.join(state, "chunk_id", "left").filter(~same).drop("_sha", "_model", "_dims")
 
 
-def stale_chunks(known: DataFrame, chunks: DataFrame, sources: list[str]) -> DataFrame:
-    """What the index holds of the sources though the corpus no longer does."""
-    return known.filter(F.col("source_id").isin(sources)).join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+def stale_chunks(known: DataFrame, chunks: DataFrame, sources: DataFrame | list[str]) -> DataFrame:
+    """What the index holds of the sources though the corpus no longer does. Many sources are given as a frame with a
+    source_id."""
+    if isinstance(sources, DataFrame):
+        own = known.join(sources.select("source_id"), "source_id", "left_semi").select(*known.columns)
+    else:
+        own = known.filter(F.col("source_id").isin(sources))
+    return own.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def synchronized(known: DataFrame, embedded: DataFrame, stale: DataFrame) -> DataFrame:

@@ -433,8 +433,7 @@ def needs_embedding(spark, sf_dir):
 @query("SELECT 'old-' || CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id % 100 = 0")
 def stale_chunks(spark, sf_dir):
     chunks, known = _index(spark, sf_dir)
-    sources = [r[0] for r in chunks.select("source_id").distinct().limit(1000).collect()]
-    return loading.stale_chunks(known, chunks, sources).select("chunk_id")
+    return loading.stale_chunks(known, chunks, chunks).select("chunk_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")

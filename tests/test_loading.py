@@ -52,3 +52,12 @@ def test_landing(spark, tmp_path):
     for _ in range(2):
         landing.ingest(spark, f"{tmp_path}/in", rows.schema, store, "d", "k", f"{tmp_path}/state").awaitTermination(60)
     assert store.current("d_0").count() == 1
+
+
+def test_stale_chunks_of_many_sources(spark, tmp_path):
+    from arpent.plans import catalog
+
+    docs = spark.range(1500).selectExpr("id * 100 AS doc_id", "concat('s', id) AS source", "concat('t', id) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.chunk_id for r in catalog.QUERIES["stale_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {f"old-{100 * k}" for k in range(1500)}
