@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_dir.get() if set_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="arpent-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,9 +43,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_of(df: DataFrame, *names: str) -> DataFrame:
-    """df with only the named columns; columns of other names that clash with an operator's own are left behind."""
-    return df.select(*names)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

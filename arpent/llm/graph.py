@@ -12,18 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arpent.llm.common import stored
+from arpent.llm.common import drop, stored
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (a, b) with a > b."""
+    """One large-star and one small-star step over stored edges (a, b) with a > b, whose files go."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # stored, so that the join has a plain exchange on both sides, which is what lets a centre's edges be split
-    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    star = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    large = both.filter("b > a").join(star, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-    return small.select("e.a", "e.b").filter("a > b").distinct()
+    after = stored(small.select("e.a", "e.b").filter("a > b").distinct(), "edges")
+    drop(star)
+    drop(edges)
+    return after
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -36,6 +39,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if tuple(now) == marks:
             break
         marks = tuple(now)
-        edges = stored(_star(edges), "edges")
+        edges = _star(edges)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

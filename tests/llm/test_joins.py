@@ -50,8 +50,9 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed, tile, words, least", [(1, 128, 4, (85, 100)), (2, 3, 5, (80, 100))])
-def test_ngram_jaccard(spark, monkeypatch, seed, tile, words, least):
+@pytest.mark.parametrize("seed, group, tile, words, least", [(1, 4096, 128, 4, (85, 100)), (2, 2, 3, 5, (80, 100)), (3, 1, 1 << 20, 2, (60, 100))])
+def test_ngram_jaccard(spark, monkeypatch, seed, group, tile, words, least):
+    monkeypatch.setattr(ngram_jaccard, "GROUP", group)
     monkeypatch.setattr(ngram_jaccard, "TILE", tile)
     rows = list(enumerate(texts(seed)))
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cls string, keys int")
@@ -89,17 +90,31 @@ def test_jaccard_one_id_on_two_texts(spark):
         assert kept == sorted([(3, text("a", " x")), (7, text("b")), (3, text("c", " z"))])
 
 
-def test_keys_meet_at_every_size():
-    """Any two sets that link share a key: both filters are exact."""
-    rng, bands = np.random.RandomState(5), ngram_jaccard.Bands((85, 100))
-    for n in [*range(1, 60), 120, 700]:
-        for _ in range(6):
+@pytest.mark.parametrize("least", [(85, 100), (80, 100), (60, 100), (1, 2)])
+def test_no_filter_parts_linked_sets(least):
+    """Any two sets that link share a key and pass the bitmaps: both filters are exact."""
+    (p, q), rng, scheme, linked = least, np.random.RandomState(5), ngram_jaccard.Scheme(least), 0
+    for n in [*range(1, 70), 120, 127, 129, 255, 257, 700, 1030]:
+        for _ in range(12):
             a = np.unique(rng.randint(0, 2**63, n).astype(np.uint64))
-            gone = rng.randint(0, 1 + n * 15 // 185 + 1)
-            b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.randint(0, 2**63, gone).astype(np.uint64)]))
+            gone = rng.randint(0, 1 + n * (q - p) // q)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], rng.randint(0, 2**63, rng.randint(0, gone + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and both < len(a) + len(b) - both:
-                assert len(np.intersect1d(ngram_jaccard.keys(a, bands), ngram_jaccard.keys(b, bands)))
+            if q * both < p * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            linked += 1
+            assert len(np.intersect1d(ngram_jaccard.keys(a, scheme), ngram_jaccard.keys(b, scheme)))
+            sizes, maps = np.array([len(a), len(b)]), [ngram_jaccard.bitmap(a), ngram_jaccard.bitmap(b)]
+            assert ngram_jaccard.may_link(sizes[:1], maps[:1], sizes[1:], maps[1:], least).all()
+            for sets in (None, [a, b]):
+                assert len(set(ngram_jaccard.link_tile(sizes, maps, least, None, sets).tolist())) == 1
+                assert len(set(ngram_jaccard.link_tile(sizes, maps, least, np.array([1, 1]), sets).tolist())) == 2
+    assert linked > 300
+
+
+def test_least_similarity():
+    with pytest.raises(ValueError):
+        ngram_jaccard.Scheme((49, 100))
 
 
 @pytest.mark.parametrize("slab", [8192, 60])
