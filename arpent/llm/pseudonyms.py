@@ -4,7 +4,9 @@ Found and validated: card numbers (Luhn), IBANs (remainder 97), telephone number
 in groups), IPv4 addresses, social security numbers (valid areas, groups and serials), calendar dates, and the names in
 mail addresses.
 Each is permuted within its format by a keyed Feistel network, so equal values get equal pseudonyms in all documents
-and different values different ones. Check digits are made anew, so pseudonyms are valid too.
+and different values different ones. Numbers are permuted without the blanks, dashes, dots and brackets between their
+signs, which are laid back afterwards, so spellings of one number stay linked. Check digits are made anew, so pseudonyms
+are valid too.
 
  - Strings of characters are cut in two halves; in each round a keyed digest of one half shifts every digit and letter
    of the other within its class. Other characters stay.
@@ -15,8 +17,11 @@ and different values different ones. Check digits are made anew, so pseudonyms a
 An IBAN ends where its country's length says, whatever word or number follows. Only candidates of other countries and
 lengths reach as far as groups go, and what stands inside a candidate that fails its check is not searched again.
 
-Values that are not valid stay as they are. Defined results: null stays null, the empty text empty; text of every
-length is searched whole; no row meets another, so repeated rows and hot sources need no care. Nothing is shuffled.
+Values that are not valid stay as they are. Telephone numbers keep their country's code; one in national groups is linked
+to the number of ten digits behind a code. Dates keep the order of their fields and whether one digit may stand alone.
+
+Defined results: null stays null, the empty text empty; text of every length is searched whole; no row meets another, so
+repeated rows and hot sources need no care; other columns stay, whatever their names. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arpent.llm.common import free_name
+
 #: Rounds of the networks; even, so that halves end where they began.
 ROUNDS = 8
-#: A key for demonstrations; callers bring their own.
-KEY = "arpent-demonstration-key"
+#: A key for demonstrations, and the session's setting by which the query and the pipeline are given another.
+KEY, KEY_SETTING = "arpent-demonstration-key", "spark.arpent.pseudonym.key"
 
 #: The formats.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -48,6 +55,8 @@ def _iban(length: int, lands: str) -> str:
 
 IBAN_LENGTHS = "|".join(_iban(n, lands) for n, lands in IBAN_COUNTRIES.items())
 IBAN = rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN_LENGTHS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![0-9A-Za-z])"
+#: Country codes of telephone numbers of one and of two digits; all others have three.
+LAND = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DAY = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -59,6 +68,20 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _solid(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9A-Za-z]", "")
+
+
+def _laid(signs: Column, pattern: Column) -> Column:
+    """The signs in the places that digits and letters have in pattern, with all else of the pattern between them."""
+
+    def one(i: Column) -> Column:
+        c = F.substring(pattern, i, F.lit(1))
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(signs, F.length(_solid(F.substring(pattern, F.lit(1), i))), F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(_places(pattern), one), "")
+
+
 def _places(x: Column) -> Column:
     """1 to the length of x; nothing for the empty string."""
     return F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i <= F.length(x))
@@ -135,7 +158,7 @@ def _permuted_text(key: str, kind: Column, text: Column) -> Column:
 
 def _classified(m: Column) -> Column:
     """struct(value, kind, head, core, tail): the core is what gets permuted; kind is null for what is not valid."""
-    digits, solid = _digits(m), F.replace(m, F.lit(" "), F.lit(""))
+    digits, solid = _digits(m), _solid(m)
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     octets = F.split(m, r"\.")
     numbers = F.split(m, "-")
@@ -154,16 +177,14 @@ def _classified(m: Column) -> Column:
         .when(iso & (F.length(digits) == 8) | m.rlike("[./]"), F.when(day.isNotNull() & (F.year(day) >= 1), "day"))
         .otherwise(F.when(F.length(digits).between(13, 19) & (_luhn(digits, False) % 10 == 0), "card"))
     )
-    land = F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0), F.lit("")), F.substring(m, 1, 3))
-    n = F.length(m)
-    land = F.when(m.startswith("+"), land).otherwise("")
+    land = F.when(m.startswith("+"), F.regexp_extract(digits, f"^(?:{LAND}|[0-9]{{3}})", 0)).otherwise("")
     head = F.when(kind == "phone", land).when(kind == "iban", F.substring(m, 1, 2)).otherwise("")
     tail = F.when(kind == "mail", F.regexp_extract(m, "@.*$", 0)).otherwise("")
     core = (
         F.when(kind == "mail", F.substring_index(m, "@", 1))
-        .when(kind == "card", F.substring(m, F.lit(1), n - 1))
-        .when(kind == "phone", F.substring(m, F.length(land) + 1, n))
-        .when(kind == "iban", F.substring(m, F.lit(5), n))
+        .when(kind == "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
+        .when(kind == "phone", F.substring(digits, F.length(land) + 1, F.length(digits)))
+        .when(kind == "iban", F.substring(solid, 5, 40))
     )
     return F.struct(m.alias("value"), kind.alias("kind"), head.alias("head"), core.alias("core"), tail.alias("tail"), day.alias("day"))
 
@@ -172,9 +193,8 @@ def _pseudonym(key: str, x: Column) -> Column:
     m = x["value"]
     moved = _permuted_text(key, x["kind"], x["core"])
     check = lambda number, width: F.lpad(number.cast("string"), width, "0")
-    card = F.concat(moved, ((10 - _luhn(_digits(moved), True) % 10) % 10).cast("string"))
-    unchecked = F.concat(x["head"], F.lit("00"), F.replace(moved, F.lit(" "), F.lit("")))
-    iban = F.concat(x["head"], check(98 - _remainder97(unchecked), 2), moved)
+    card = F.concat(moved, ((10 - _luhn(moved, True) % 10) % 10).cast("string"))
+    iban = F.concat(x["head"], check(98 - _remainder97(F.concat(x["head"], F.lit("00"), moved)), 2), moved)
     o = F.transform(F.split(m, r"\."), lambda v: v.cast("long"))
     address = _permuted_pair(key, "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536))
     high, low = address["a"], address["b"]
@@ -191,12 +211,14 @@ def _pseudonym(key: str, x: Column) -> Column:
     pair = _permuted_pair(key, "day", F.floor(within / width), within % width, (rows, width))
     date = F.date_add(F.lit("1600-01-01").cast("date"), (since - within + pair["a"] * width + pair["b"]).cast("int"))
     apart = F.when(m.contains("/"), "/").otherwise(".")
-    plain = F.concat_ws(".", F.date_format(date, "dd"), F.date_format(date, "MM"), F.date_format(date, "yyyy"))
+    short = m.rlike(r"^[0-9][./]|[./][0-9][./]")
+    plain = F.when(short, F.date_format(date, "d.M.yyyy")).otherwise(F.date_format(date, "dd.MM.yyyy"))
     day = F.when(m.rlike("^[0-9]{4}-"), F.date_format(date, "yyyy-MM-dd")).otherwise(F.replace(plain, F.lit("."), apart))
     return (
-        F.when(x["kind"].isin("mail", "phone"), F.concat(x["head"], moved, x["tail"]))
-        .when(x["kind"] == "card", card)
-        .when(x["kind"] == "iban", iban)
+        F.when(x["kind"] == "mail", F.concat(moved, x["tail"]))
+        .when(x["kind"] == "phone", _laid(F.concat(x["head"], moved), m))
+        .when(x["kind"] == "card", _laid(card, m))
+        .when(x["kind"] == "iban", _laid(iban, m))
         .when(x["kind"] == "ipv4", ipv4)
         .when(x["kind"] == "social", social)
         .when(x["kind"] == "day", day)
@@ -204,14 +226,15 @@ def _pseudonym(key: str, x: Column) -> Column:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with pseudonyms in the text column and a new last column _replaced, how many values were replaced."""
-    searched = F.col(text).rlike("[0-9@]")
-    found = docs.withColumn("_found", F.when(searched, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_found", F.transform("_found", _classified))
+def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text", replaced: str | None = None) -> DataFrame:
+    """docs with pseudonyms in the text column and, if a name is given for it, a last column: how many were replaced."""
+    searched, held = F.col(text).rlike("[0-9@]"), free_name(docs, "_found")
+    found = docs.withColumn(held, F.when(searched, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn(held, F.transform(held, _classified))
     between = F.split(F.col(text), ANY, -1)
-    pseudonyms = F.transform("_found", lambda x: _pseudonym(key, x))
+    pseudonyms = F.transform(held, lambda x: _pseudonym(key, x))
     joined = F.array_join(F.zip_with(between, pseudonyms, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    result = F.when(F.size("_found") > 0, joined).otherwise(F.col(text))
-    count = F.size(F.filter("_found", lambda x: x["kind"].isNotNull()))
-    return found.withColumns({text: result, "_replaced": count}).drop("_found")
+    added = {text: F.when(F.size(held) > 0, joined).otherwise(F.col(text))}
+    if replaced is not None:
+        added[replaced] = F.size(F.filter(held, lambda x: x["kind"].isNotNull()))
+    return found.withColumns(added).drop(held)

@@ -70,8 +70,8 @@ ORACLE["op3_url_reputation"] = url_reputation.oracle()
 def op4_pseudonyms(spark, sf_dir):
     from arpent.llm import pseudonyms
 
-    found = pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", found["_replaced"].alias("n_replaced"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymized(docs, spark.conf.get(pseudonyms.KEY_SETTING, pseudonyms.KEY), replaced="n_replaced")
 
 
 @query

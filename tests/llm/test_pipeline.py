@@ -47,3 +47,16 @@ def test_stages_in_small(spark, sf_dir):
     packed = corpus_pipeline.pack(spark, docs, sf_dir)
     assert packed.count() == 7 and packed.select("sequence_id").distinct().count() == 1
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_leave_other_columns_alone(spark, sf_dir):
+    """Columns named as the operators' own stay as they are, and empty tables give empty tables."""
+    own = ["row_key", "_text_key", "_replaced", "_found", "cls", "score", "ids", "_row", "_shard"]
+    docs = spark.createDataFrame([(10**9 + i, f"some words of document {i} call +49 30 1234567", *range(len(own))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in own))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.select(own).distinct().collect() == docs.select(own).distinct().collect(), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() == 3
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
