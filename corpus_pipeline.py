@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and mail names become pseudonyms; n_chars follows the text."""
-    out = pseudonyms.pseudonymized(docs).drop("_replaced")
+    out = pseudonyms.pseudonymized(docs, spark.conf.get(pseudonyms.KEY_SETTING, pseudonyms.KEY))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
