@@ -12,6 +12,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import string
 import unicodedata
 import zlib
@@ -19,34 +20,43 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arpent.llm.common import Memo, stored
+from arpent.llm.common import stored
 from arpent.llm.bpe import slices
 
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
-REMEMBERED = 800_000
+#: Bytes of text that are encoded together.
+AT_ONCE = 24_000_000
 #: Signs that make token runs of their own after a letter or digit: ASCII punctuation.
 MARKS = string.punctuation
 
 
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at start, one after another."""
+    places = np.repeat(start - (np.cumsum(size) - size), size)
+    places += np.arange(len(places))
+    return ids[places]
+
+
 class ChunkEncoder:
-    """Token ids of whole texts. The tokenizer never joins what a blank or a line feed separates, so the chunks between
-    those are encoded once and remembered."""
+    """Token ids of whole texts. The tokenizer never joins what a blank or a line feed separates, so the different chunks
+    between those are encoded once a batch. Marks behind a letter or digit are token runs of their own and are encoded
+    apart from what they follow. All but the tokenizer's own work is done on whole arrays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closed: dict[str, bool] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
-        self.memo = Memo(REMEMBERED)
 
     def _closed(self, sign: str) -> bool:
         """Whether marks behind this sign are a token run of their own: it stays a letter or digit when normalized."""
@@ -55,41 +65,63 @@ class ChunkEncoder:
             found = self.closed[sign] = unicodedata.normalize("NFC", sign) == sign and sign.isalnum() and sign.lower().isalnum()
         return found
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not known: marks behind a letter or digit apart from what they follow, and chunks of
-        letters alone, which are one token sequence up to an end-of-word token, joined into one text."""
-        memo, marked = self.memo, []
-        bare, batch = set(), self.tokenizer.encode_batch_fast
-        for c in chunks:
-            head = c.rstrip(MARKS)
-            if len(head) < len(c) and head and self._closed(head[-1]):
-                marked.append((c, head, c[len(head) :]))
-            else:
-                bare.add(c)
-        bare.update([x for _, *both in marked for x in both if x not in memo])
-        letters = [c for c in bare if c.isalpha()]
-        rest = [c for c in bare if c and not c.isalpha()]
+    def _parted(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each chunk without the marks at its end, and these marks; all of it and nothing where they hang together."""
+        heads = pc.ascii_rtrim(chunks, characters=MARKS)
+        marked = pc.and_(pc.less(pc.binary_length(heads), pc.binary_length(chunks)), pc.greater(pc.binary_length(heads), 0))
+        for token in self.special:
+            marked = pc.and_not(marked, pc.match_substring(chunks, token))
+        signs = pc.dictionary_encode(pc.utf8_slice_codeunits(heads, -1, None))
+        closed = np.array([self._closed(x) for x in signs.dictionary.to_pylist()], bool)
+        marked = pc.and_(marked, pa.array(closed[signs.indices.to_numpy()]))
+        tails = pc.replace_substring_regex(chunks, f"(?s)^.*[^{re.escape(MARKS)}]", "")
+        return pc.if_else(marked, heads, chunks), pc.if_else(marked, tails, "")
+
+    def _encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each chunk's begin and how many they are. Chunks of letters alone are one token sequence up to
+        an end-of-word token, so many are encoded as one text."""
+        batch = self.tokenizer.encode_batch_fast
+        start, size, all_ids, n = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [np.zeros(0, np.uint32)], 0
+        alpha = pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        letters, rest = np.flatnonzero(alpha), [np.flatnonzero(~alpha)]
         for lo in range(0, len(letters), 8192):
             part = letters[lo : lo + 8192]
-            ids = np.array(batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.is_end[ids]) + 1
-            if len(cuts) != len(part):  # some letter does not stay one
-                rest += part
+            ids = np.array(batch([" ".join(chunks.take(pa.array(part)).to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):  # some letter does not stay one
+                rest.append(part)
                 continue
-            raw, ends = ids.tobytes(), (4 * cuts).tolist()
-            memo.update(zip(part, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
-        for chunk, found in zip(rest, batch(rest, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(found.ids, "<u4").tobytes()
-        memo[""] = b""
-        memo.update([(c, memo[head] + memo[tail]) for c, head, tail in marked])
+            size[part] = np.diff(ends, prepend=0)
+            start[part] = n + ends - size[part]
+            all_ids.append(ids)
+            n += len(ids)
+        for k, found in zip(np.concatenate(rest).tolist(), batch(chunks.take(pa.array(np.concatenate(rest))).to_pylist(), add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            start[k], size[k] = n, len(ids)
+            all_ids.append(ids)
+            n += len(ids)
+        return np.concatenate(all_ids), start, size
+
+    def lay_out(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin and end; no end ids."""
+        texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        heads, tails = (x.dictionary_encode() for x in self._parted(chunks.dictionary))
+        ids, start, size = self._encoded(heads.dictionary)
+        more, more_start, more_size = self._encoded(tails.dictionary)
+        ids, start, size = np.concatenate([ids, more]), np.concatenate([start, len(ids) + more_start]), np.concatenate([size, more_size])
+        both = np.stack([heads.indices.to_numpy(), len(heads.dictionary) + tails.indices.to_numpy()], 1).ravel()
+        ids, size = _gathered(ids, start[both], size[both]), size[both].reshape(-1, 2).sum(1)
+        start, at = np.cumsum(size) - size, chunks.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        bounds = split.offsets.to_numpy()
+        return _gathered(ids, start[at], size[at]), ends[bounds - bounds[0]]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids, four bytes each, without an end id."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        self.memo.room(len(wanted))
-        self._learn([c for c in wanted if c not in self.memo])
-        return [b"".join(map(self.memo.__getitem__, chunks)) for chunks in split]
+        ids, ends = self.lay_out(pa.array(texts, pa.large_string()))
+        return [ids[lo:hi].tobytes() for lo, hi in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -107,8 +139,8 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        for batch in slices(batches, text):
-            ids = [x + end for x in encoder(path).encode(batch.column(text).to_pylist())]
+        for batch in slices(batches, text, AT_ONCE):
+            ids = [x + end for x in encoder(path).encode(batch.column(text))]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.binary())], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
@@ -117,20 +149,24 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32 and, if asked for, its ids. One pass, so that a task
     needs one Python worker."""
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        for batch in slices(batches, text):
-            out = []
-            for k, ids in zip(batch.column(key).to_pylist(), encoder(path).encode(batch.column(text).to_pylist()), strict=True):
-                ids += end
-                for i, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[lo : lo + 4 * capacity]
-                    out.append((k, i, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            cols = list(zip(*out, strict=True))
-            kinds = [batch.column(key).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
+        for batch in slices(batches, text, AT_ONCE):
+            ids, ends = encoder(path).lay_out(batch.column(text))
+            sizes = np.diff(ends) + 1  # with the end id
+            ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4", copy=False)
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            first = (np.cumsum(sizes) - sizes)[row] + start
+            raw = memoryview(ids).cast("B")
+            parts = [raw[4 * lo : 4 * hi] for lo, hi in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            cols = [batch.column(key).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+            if with_ids:
+                cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=names[: len(cols)])
 
     names = [key, "piece", "start", "length", "ids_crc32", "ids"]
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"

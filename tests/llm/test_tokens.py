@@ -68,8 +68,20 @@ def test_bpe_frames(spark):
 
 def test_chunk_encoder():
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    assert packing.ChunkEncoder(WORDS).encode(ODD) == [ids(e.ids) for e in t.encode_batch(ODD, add_special_tokens=False)]
+    odd = [*ODD, "a<|endoftext|>b <|startoftext|>, it's.<|endoftext|> <|EndOfText|> <|endoftext |>", "\u00e9. e\u0301! \u0130? \u212b, ab\u0301; \u1e9b\u0323."]
+    want = [ids(e.ids) for e in t.encode_batch(odd, add_special_tokens=False)]
+    encoder = packing.ChunkEncoder(WORDS)
+    assert encoder.encode(odd) == want == encoder.encode(odd)
+    assert packing.ChunkEncoder(WORDS).encode([None, "", None]) == [b""] * 3 and packing.ChunkEncoder(WORDS).encode([]) == []
+
+
+_known = packing.ChunkEncoder(WORDS)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=4))
+def test_chunk_encoder_any_text(texts):
+    assert _known.encode(texts) == [ids(e.ids) for e in _known.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_sum_of_squares_is_gapless_and_good():
@@ -82,12 +94,32 @@ def test_sum_of_squares_is_gapless_and_good():
     assert where.max() + 1 <= math.ceil(lengths.sum() / 4096) * 1.03
 
 
+@pytest.mark.parametrize("capacity", [7, 20, 64])
+def test_sum_of_squares_against_a_naive_chooser(capacity):
+    """Every bin that has room is tried, and the squares are summed anew each time."""
+    lengths = np.random.RandomState(capacity).randint(1, capacity, 200)
+    gaps, want = [], []
+    for size in lengths.tolist():
+        tried = []
+        for gap in sorted({g for g in gaps if g >= size}):
+            after = list(gaps)
+            after[after.index(gap)] -= size
+            open_bins = [g for g in after if 0 < g < capacity]
+            tried.append((sum(open_bins.count(g) ** 2 for g in set(open_bins)), gap))
+        gap = min(tried)[1] if tried else capacity
+        if not tried:
+            gaps.append(capacity)
+        gaps[gaps.index(gap)] -= size
+        want.append(capacity - gap)
+    where, offset = packing.sum_of_squares(lengths, capacity)
+    assert offset.tolist() == want and where.max() + 1 == len(gaps)
+
+
 def test_packing(spark):
     texts = ["alpha beta", "", None, "word " * 9000, "alpha beta"]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(0, "alpha beta", 0)], "doc_id long, text string, piece int")
     rows = packing.pack_documents(docs, WORDS).collect()
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     for i, text in enumerate(texts):
         want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         own = sorted((r.start, r.length, r.ids_crc32, r.piece) for r in rows if r.doc_id == i)
