@@ -3,8 +3,8 @@
 Vectors are brought to length one, turned by a fixed random rotation and cut into BLOCKS blocks of coordinates. Two
 vectors of cosine at least t are at most 2 - 2t apart by squared distance, so in at least one block they are within that
 block's share, which is proportional to its width. Each block is range-joined: slabs of its first coordinate, cut at
-quantiles, meet all slabs within the block's radius; a pair of slabs is one task's tile. In a tile, pairs within the
-block's budget are candidates, and their cosine is verified exactly in double precision. A pair belongs to the first
+quantiles, meet all slabs within the block's radius; a pair of slabs is one task's tile. A tile sorts its vectors by that
+coordinate too and compares only what is within the radius. Pairs within the block's budget are candidates, and their cosine is verified exactly in double precision. A pair belongs to the first
 block whose budget it keeps, so the union over blocks counts it once. Tiles return counts for vectors and an edge from
 each linked vector to a root, never pairs.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from arpent.llm.common import stored
 from arpent.llm.graph import components
 
-#: Least cosine of a link, blocks of coordinates, vectors of a slab, most slabs, and rows of a tile compared at once.
-LEAST, BLOCKS, SLAB, MOST_SLABS, STRIPE = 0.9, 4, 8192, 4096, 512
+#: Least cosine of a link, blocks of coordinates, vectors of a slab, most slabs, and rows and columns compared at once.
+LEAST, BLOCKS, SLAB, MOST_SLABS, STRIPE, COLUMNS = 0.9, 4, 32_768, 4096, 64, 8192
 #: Slack for rounding of squared distances of unit vectors: in single precision for candidates, in double for budgets.
 SLACK32, SLACK64 = 1e-5, 1e-9
 #: Candidate pairs that are verified at once.
@@ -72,9 +72,15 @@ def _matrix(raws, kind: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raws), kind).reshape(-1, dim).astype(np.float64)
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors divided by powers of two, which is exact and keeps squares from over- and underflow, and their lengths."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x, np.sqrt((x * x).sum(1))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow of squares
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    x, length = _scaled(x)
+    return x / length[:, None]
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,28 +101,43 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray
             return root
 
 
+def _stripes(x: np.ndarray, first: int, b0: int, b1: int, radius: float, one: bool):
+    """(row, column, columns) of pieces of at most STRIPE rows and COLUMNS columns in which rows before `first` can meet
+    columns from b0 to b1: both are sorted by x, and x may differ by the radius."""
+    for r in range(0, first, STRIPE):
+        low, high = x[r] - radius, x[min(r + STRIPE, first) - 1] + radius
+        c = b0 + int(np.searchsorted(x[b0:b1], low, "left"))
+        end = b0 + int(np.searchsorted(x[b0:b1], high, "right"))
+        c = max(c, r) if one else c
+        for at in range(c, end, COLUMNS):
+            yield r, at, min(COLUMNS, end - at)
+
+
 def _tile(table: pa.Table, dim: int, kind: str, least: float) -> pa.Table:
     """Links within one pair of slabs of one block: node, links, root for every node that has any."""
     block, one = int(table.column("block")[0].as_py()), bool(table.column("one")[0].as_py())
     side = table.column("side").to_numpy()
-    order = np.lexsort((table.column("cls").to_numpy(), side))
-    table = table.take(pa.array(order))
-    cls, times, first = table.column("cls").to_numpy(), table.column("times").to_numpy(), int((side == 0).sum())
-    unit = _unit(_matrix(table.column("raw").to_pylist(), kind, dim))
-    turned = unit @ rotation(dim)
     spans = blocks(dim)
     lo, hi = spans[block]
+    whole, length = _scaled(_matrix(table.column("raw").to_pylist(), kind, dim))
+    turned = (whole / length[:, None]) @ rotation(dim)
+    order = np.lexsort((table.column("cls").to_numpy(), turned[:, lo], side))
+    whole, length, turned = whole[order], length[order], turned[order]
+    cls, times, first = table.column("cls").to_numpy()[order], table.column("times").to_numpy()[order], int((side == 0).sum())
     total = 2 - 2 * least
     budgets = [total * (h - l) / dim + SLACK64 for l, h in spans]
     part = turned[:, lo:hi].astype(np.float32)
     square = (part * part).sum(1)
     links, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
+    ones = np.ones((len(cls), 1), np.float32)
+    left, right = np.hstack([part, square[:, None], ones]), np.hstack([-2 * part, ones, square[:, None]]).T.copy()
     b0, b1 = (0, first) if one else (first, len(cls))
-    for r in range(0, first, STRIPE):
+    x, radius = turned[:, lo], np.sqrt(budgets[block]) + SLACK32
+    for r, c, width in _stripes(x, first, b0, b1, radius, one):
         rows = slice(r, min(r + STRIPE, first))
-        gap = square[rows, None] + square[None, b0:b1] - 2 * (part[rows] @ part[b0:b1].T)
-        i, j = np.nonzero(gap <= budgets[block] + SLACK32)
-        i, j = i + r, j + b0
+        gap = left[rows] @ right[:, c : c + width]  # squared distances in the block
+        i, j = np.divmod(np.flatnonzero(gap <= np.float32(budgets[block] + SLACK32)), width)
+        i, j = i + r, j + c
         if one:
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), AT_ONCE):
@@ -126,7 +147,7 @@ def _tile(table: pa.Table, dim: int, kind: str, least: float) -> pa.Table:
                 l, h = spans[k]
                 own &= ~(_squared(turned[a, l:h], turned[b, l:h]) <= budgets[k])
             a, b = a[own], b[own]
-            near = (unit[a] * unit[b]).sum(1) >= least
+            near = (whole[a] * whole[b]).sum(1) / (length[a] * length[b]) >= least
             a, b = a[near], b[near]
             if len(a):
                 np.add.at(links, a, times[b])

@@ -138,6 +138,17 @@ def test_embedding_dedup(spark, monkeypatch, slab):
     assert found[None].component_id == want[0] and not found[None].kept
 
 
+def test_embedding_dedup_at_the_threshold(spark):
+    """A cosine of exactly 0.9 links, one just below does not; vectors of two lengths and scaled ones in one table."""
+    e = np.eye(8)
+    at = 9 * e[0] + 3 * e[1] + 3 * e[4] + e[7]  # of length 10
+    below = 0.89999 * e[2] + np.sqrt(1 - 0.89999**2) * e[3]
+    rows = [(1, e[0]), (2, at), (3, e[2]), (4, below), (5, 1e-200 * e[0]), (6, 1e200 * e[2]), (7, e[0][:4]), (8, e[0][:4] * 3), (9, e[5]), (9, e[5])]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 0, 4, True), (5, 2, 1, False), (6, 1, 3, False), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
 def test_embedding_dedup_without_vectors(spark):
     none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(none).collect()] == [(1, 0, 1, True)]
