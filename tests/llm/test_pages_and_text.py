@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from arpent.llm import pitman_yor, pseudonyms, toxicity, url_reputation, warc
@@ -218,7 +219,7 @@ def test_pseudonyms_early_dates(spark):
     assert datetime.date(int(y), int(m), int(d)) != datetime.date(1492, 4, 3)
 
 
-def toxic_corpus(n=400):
+def toxic_corpus(n=600):
     r = random.Random(0)
     parts = "ent ion the ing er lo ta mi ra so ne ku pa vi do".split()
     word = lambda: "".join(r.choice(parts) for _ in range(r.randrange(1, 4)))
@@ -226,22 +227,45 @@ def toxic_corpus(n=400):
     for i in range(n):
         words = [word() for _ in range(120)]
         bad = i % 4 == 0
-        for _ in range(6 if bad else 0):
-            words[r.randrange(120)] = r.choice(["zgwort", "brfhass", "kxdepp"])
+        for _ in range(9 if bad else 0):
+            words[r.randrange(120)] = r.choice(["zgwortqux", "brfhassjk", "kxdeppwv"])
         out.append((i, " ".join(words), int(bad)))
     return out
 
 
+def directly(model, text):
+    """The score by fresh compressors for each window, in plain Python."""
+    params = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_BTOPT, window_log=20, hash_log=18, chain_log=19, search_log=4, min_match=4, target_length=32,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    words, gains = (text or "").lower().split(), []
+    for i in range(0, len(words), 8):
+        w = (" " + " ".join(words[i : i + 8]) + " ").encode()
+        size = []
+        for d in (model.plain, model.toxic):
+            d = zstandard.ZstdCompressionDict(d)
+            d.precompute_compress(compression_params=params)
+            size.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(w)))
+        gains.append(size[0] - size[1] if size[0] >= model.hard * len(w) else 0)
+    x = [1.0, *(math.log1p(sum(g >= m for g in gains)) for m in (2, 3, 4, 5, 6, 8)), max([0, *gains]), sum(gains) / max(1, len(gains)), math.log1p(len(gains))]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+
 def test_toxicity_held_out(spark):
     rows = toxic_corpus()
-    docs = spark.createDataFrame([(i, t, 9.0) for i, t, _ in rows] + [(1000, None, 0.0), (1001, "", 0.0)], "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    long = " ".join(t for _, t, y in rows if not y)
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t, _ in rows] + [(1000, None, 0.0), (1001, "", 0.0), (1002, long, 0.0), (3, "other", 0.0), (3, "other", 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None), (8, 0)], "doc_id long, toxic int")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = toxicity.train(docs, labels, fold != 1)
     got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
     held = [(y, got[i].predicted) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert sum(p for y, p in held if y) >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 2
+    assert sum(p for y, p in held if y) >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.05 * len(held)
     assert got[1000].score == got[1001].score < 0.7 and all(0 <= r.score <= 1 for r in got.values())
+    for i, t in [(r[0], r[1]) for r in rows[:12:2]] + [(1000, None)]:
+        assert abs(got[i].score - directly(model, t)) < 1e-9
+    assert toxicity.scored(docs, model).count() == docs.count() and toxicity.scored(docs, model).filter("doc_id = 3").select("score").distinct().count() <= 2
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     none = toxicity.train(docs, labels.limit(0), F.lit(True))
@@ -249,6 +273,15 @@ def test_toxicity_held_out(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    """Two labelled rows are enough for a model; of one kind alone there is none."""
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad words there"), (2, "bad words again"), (3, None)], "doc_id long, text string")
+    labels = lambda *rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert toxicity.scored(docs, toxicity.train(docs, labels((1, 0), (2, 1), (3, 0)), F.lit(True))).count() == 4
+    assert toxicity.train(docs, labels((2, 1), (3, 1)), F.lit(True)).weights == []
+    assert toxicity.train(docs, labels((1, 0), (3, 1)), F.lit(True)).weights != []
+
+
 def test_pitman_yor_counts_and_held_out(spark):
     r = random.Random(3)
     topics = [[f"{c}{k}" for k in range(60)] for c in "ab"]
