@@ -26,6 +26,8 @@ repeated rows and hot sources need no care; other columns stay, whatever their n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,24 @@ def _solid(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9A-Za-z]", "")
 
 
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def _laid(signs: Column, pattern: Column) -> Column:
     """The signs in the places that digits and letters have in pattern, with all else of the pattern between them."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(pattern, i, F.lit(1))
-        return F.when(c.rlike("[0-9A-Za-z]"), F.substring(signs, F.length(_solid(F.substring(pattern, F.lit(1), i))), F.lit(1))).otherwise(c)
+    def lay(both: Column) -> Column:
+        def one(s: Column, c: Column) -> Column:
+            is_sign = c.rlike("[0-9A-Za-z]")
+            put = F.when(is_sign, F.substring(both["signs"], s["at"] + 1, F.lit(1))).otherwise(c)
+            return F.struct((s["at"] + is_sign.cast("int")).alias("at"), F.concat(s["out"], put).alias("out"))
 
-    return F.array_join(F.transform(_places(pattern), one), "")
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(F.split(both["pattern"], ""), start, one, lambda s: s["out"])
+
+    return _once(F.struct(signs.alias("signs"), pattern.alias("pattern")), lay)
 
 
 def _places(x: Column) -> Column:
@@ -193,8 +205,13 @@ def _pseudonym(key: str, x: Column) -> Column:
     m = x["value"]
     moved = _permuted_text(key, x["kind"], x["core"])
     check = lambda number, width: F.lpad(number.cast("string"), width, "0")
-    card = F.concat(moved, ((10 - _luhn(moved, True) % 10) % 10).cast("string"))
-    iban = F.concat(x["head"], check(98 - _remainder97(F.concat(x["head"], F.lit("00"), moved)), 2), moved)
+    with_check = lambda digits: F.concat(digits, ((10 - _luhn(digits, True) % 10) % 10).cast("string"))
+    checked = lambda core: F.concat(x["head"], check(98 - _remainder97(F.concat(x["head"], F.lit("00"), core)), 2), core)
+    spelt = (
+        F.when(x["kind"] == "card", _once(moved, with_check))
+        .when(x["kind"] == "iban", _once(moved, checked))
+        .when(x["kind"] == "phone", F.concat(x["head"], moved))
+    )
     o = F.transform(F.split(m, r"\."), lambda v: v.cast("long"))
     address = _permuted_pair(key, "ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536))
     high, low = address["a"], address["b"]
@@ -216,9 +233,7 @@ def _pseudonym(key: str, x: Column) -> Column:
     day = F.when(m.rlike("^[0-9]{4}-"), F.date_format(date, "yyyy-MM-dd")).otherwise(F.replace(plain, F.lit("."), apart))
     return (
         F.when(x["kind"] == "mail", F.concat(moved, x["tail"]))
-        .when(x["kind"] == "phone", _laid(F.concat(x["head"], moved), m))
-        .when(x["kind"] == "card", _laid(card, m))
-        .when(x["kind"] == "iban", _laid(iban, m))
+        .when(x["kind"].isin("card", "iban", "phone"), _laid(spelt, m))
         .when(x["kind"] == "ipv4", ipv4)
         .when(x["kind"] == "social", social)
         .when(x["kind"] == "day", day)
