@@ -30,7 +30,7 @@ from arpent.llm.bpe import slices
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
 #: Bytes of text that are encoded together.
-AT_ONCE = 24_000_000
+AT_ONCE = 12_000_000
 #: Signs that make token runs of their own after a letter or digit: ASCII punctuation.
 MARKS = string.punctuation
 
