@@ -9,8 +9,8 @@ restaurants' totals of customers and tables, FINE + COARSE + 1 pairs of numbers,
 every dish of every restaurant given the totals of the sweep before: the number of tables is drawn from its exact
 conditional, by generalized Stirling numbers, for dishes of up to EXACT customers, and by seating in growing blocks
 beyond. Discounts come from the counts of ones and twos on each level; after each sweep the concentrations of the three
-levels are drawn on a grid given the totals of all restaurants. After BURN_IN sweeps the predictive probabilities
-of SAMPLES sweeps are averaged.
+levels are drawn on a grid given the totals of all restaurants. After `burn_in` sweeps the predictive probabilities
+of `samples` sweeps are averaged.
 
 Two passes read the texts. The first counts words and contexts in each task before they are dealt. The second deals the
 tokens of all documents to the words' states, packed by task and partition, and adds the logarithms up by document.
@@ -346,14 +346,14 @@ def _row(part: int, state: State) -> pa.Table:
 STATE = "part int, data binary, totals binary"
 
 
-def fit(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", seed: int = 7) -> tuple[DataFrame, list[Totals]]:
+def fit(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", seed: int = 7, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, list[Totals]]:
     """The stored states with their samples, and the totals that belong to each sample."""
     gathered = counted(docs, parts, key, text).groupBy("part")
     states = stored(gathered.applyInArrow(lambda t: _row(t.column("part")[0].as_py(), State.merged(t.column("data").to_pylist())), STATE), "seating")
     totals = _totals(states)
     discounts, kept = totals.d, []
-    for k in range(BURN_IN + SAMPLES):
-        known, keep = totals, k >= BURN_IN
+    for k in range(burn_in + samples):
+        known, keep = totals, k >= burn_in
 
         def run(batches, known=known, keep=keep, k=k):
             for batch in batches:
@@ -423,12 +423,12 @@ class Model:
         return np.log10(total / len(self.totals))
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias(key), text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    states, totals = fit(docs, parts, key, text)
+    states, totals = fit(docs, parts, key, text, burn_in=burn_in, samples=samples)
     n, v = totals[0].n, totals[0].v
     hot = spark.sparkContext.broadcast(_hot(states, totals))
     shared = spark.sparkContext.broadcast(totals)
@@ -477,7 +477,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     first = _starts(word, c)
                     log = np.repeat(model.log10(place[word[first]], c[first]), np.diff(np.append(first, len(c))))
                     add = lambda x: np.bincount(doc, weights=x, minlength=docs_in)  # noqa: E731, B023
-                    data = pack(add(log).astype(np.float32), add(bases[word]).astype(np.float32), add(known[word].astype(float)).astype(np.int32))
+                    data = pack(add(log), add(bases[word]), add(known[word].astype(float)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["batch", "kind", "data"])
 
     def add_up(table: pa.Table) -> pa.Table:

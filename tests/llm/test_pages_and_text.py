@@ -292,8 +292,8 @@ def test_pitman_yor_counts_and_held_out(spark):
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     c = collections.Counter(w for i, t in rows if not out(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    want = sorted(((repr(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 3)) for i, t in rows))
-    assert sorted((repr(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 3)) for x in got) == want
+    want = sorted(((repr(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 8)) for i, t in rows))
+    assert sorted((repr(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 8)) for x in got) == want
     held = [x for x in got if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held) and all(x.score < 0 for x in got)
     assert pitman_yor.scored(docs.limit(0)).count() == 0
