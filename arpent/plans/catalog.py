@@ -499,13 +499,13 @@ def html_elements(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    found = chunking.chunk_elements(chunking.text_elements(table(spark, sf_dir, "documents")))
+    found = chunking.chunk_rows(chunking.text_documents(table(spark, sf_dir, "documents")))
     return found.withColumns({c: F.array_join(c, "|") for c in ("heading_path", "quality_flags")})
 
 
 @query()
 def chunk_size_stats(spark, sf_dir):
-    return chunking.size_stats(chunking.chunk_elements(chunking.text_elements(table(spark, sf_dir, "documents"))))
+    return chunking.size_stats(chunking.chunk_rows(chunking.text_documents(table(spark, sf_dir, "documents"))))
 
 
 # --- conversations --------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,14 +62,34 @@ def test_chunks():
         chunking.chunks_of([(1, "paragraph", "x", None, None)], "s", "0" * 64)
     with pytest.raises(chunking.ChunkingError):
         chunking.chunks_of([(0, "heading", "x", 1, None)], "s", "0" * 64)
-    assert chunking.tail("alpha beta gamma", 8) == "gamma" and chunking.heading_prefix(("a", "b", "c"), 5) == "b > c"
+    plan = chunking.Plan(["alpha beta gamma"], 100, 90, 8)
+    assert plan.text[plan.shared(0, 16) :] == "gamma" and plan.shared(0, 5) == 0 and chunking.heading_prefix(("a", "b", "c"), 5) == "b > c"
     pre = chunking.chunks_of([(0, "paragraph", "Short preamble", None, None), (1, "heading", "H", 1, None), (2, "paragraph", "Body of it.", None, None)], "s", "0" * 64)
     assert len(pre) == 1 and pre[0]["text"] == "H\n\nBody of it.\n\nShort preamble"
 
 
+def test_chunks_are_spans_of_the_text():
+    """Chunks hold all words in order, share at most the overlap, and keep to the sizes."""
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice(["a", "bc", "word ", ". D", "\n", "\n\n", " ", "e" * 70]) for _ in range(r.randrange(1, 120))).strip() or "x"
+        sizes = chunking.Sizes(target=60, most=80, overlap=r.choice([0, 15]), least=r.choice([1, 40]), short_document=10)
+        pieces = chunking.pieces_of(text, 80)
+        assert " ".join(pieces).split() == text.split() and all(len(p) <= 80 or " " not in p for p in pieces)
+        plan = chunking.Plan(pieces, 80, sizes.target, sizes.overlap)
+        at = 0
+        for begin, end, odd in plan.spans():
+            assert begin <= at + 2 and at - begin <= sizes.overlap and (end - begin <= 80 or odd)
+            at = end
+        assert at == len(plan.text)
+        found = chunking.chunks_of([(0, "paragraph", text, None, None)], "s", "0" * 64, sizes)
+        assert set("".join(text.split())) == set("".join("".join(c["text"] for c in found).split()))
+
+
 def test_chunk_rows(spark):
     docs = spark.createDataFrame([(1, "one\ntwo"), (2, ""), (3, None)], "doc_id long, text string")
-    chunks = chunking.chunk_elements(chunking.text_elements(docs))
+    chunks = chunking.chunk_rows(chunking.text_documents(docs))
+    assert chunking.chunk_elements(chunking.text_elements(docs)).collect() == chunks.collect()
     assert [(r.source_id, r.text) for r in chunks.collect()] == [("doc-1", "one\n\ntwo")]
     assert chunking.size_stats(chunks).first().flags == "limited_source_content" and chunking.chunk_problems(chunks).count() == 0
 
