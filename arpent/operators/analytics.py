@@ -88,7 +88,8 @@ def compare_areas(facts: DataFrame, areas: list[int], start: int | None = None,
     """A row for each district asked for, in the order asked."""
     start, end = _scope(start, end, None, policy)
     areas = checked_areas(areas, policy, most)
-    asked = facts.sparkSession.createDataFrame(list(enumerate(areas)), "position int, arrondissement int")
+    places = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(a).alias("arrondissement")) for i, a in enumerate(areas)))
+    asked = facts.sparkSession.range(1).select(F.inline(places))
     found = _by_area(_in_scope(facts, "source_year", start, end, None).filter(F.col("arrondissement").isin(areas)), policy)
     return F.broadcast(asked).join(found, "arrondissement", "left").select(
         "position", "arrondissement", F.coalesce("n", F.lit(0)).alias("transaction_count"), F.coalesce("m", F.lit(0)).alias("market_count"),
@@ -113,6 +114,15 @@ def ranking(facts: DataFrame, metric: str, start: int | None = None, end: int |
     return kept.withColumn("rank", F.row_number().over(order)).drop("sufficient")
 
 
+def rankings(facts: DataFrame, start: int | None = None, end: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """The three rankings under each other, with a column `ranking`, from one pass over the facts."""
+    names = ("median", "sample_size", "median_surface")
+    lists = F.array(*(F.struct(F.lit(m).alias("ranking"), F.col(m).cast("double").alias("_by")) for m in names))
+    kept = area_metrics(facts, start, end, policy).filter("sufficient").drop("sufficient").select("*", F.inline(lists)).filter("_by IS NOT NULL")
+    order = Window.partitionBy("ranking").orderBy(F.desc("_by"), "arrondissement")  # at most one row for each district
+    return kept.withColumn("rank", F.row_number().over(order)).drop("_by")
+
+
 def small_samples(facts: DataFrame, start: int | None = None, end: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
     """The districts that the rankings leave out, and how many sales they have."""
     return area_metrics(facts, start, end, policy).filter(~F.col("sufficient")).select("arrondissement", "sample_size")

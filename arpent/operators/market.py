@@ -57,9 +57,13 @@ def check_schema(rows: DataFrame) -> None:
         raise SchemaError(f"broken encoding: {[r['value'] for r in broken]}")
 
 
+#: What makes a mutation; duplicates, mutations and their parcels all lie within one.
+KEY = ("source_year", "id_mutation")
+
+
 def without_duplicates(rows: DataFrame) -> DataFrame:
-    """Exact duplicates once; nulls equal nulls."""
-    return rows.dropDuplicates()
+    """Exact duplicates once; nulls equal nulls. Rows are dealt by the key of mutations, which all that follows can keep."""
+    return rows.repartition(*KEY).dropDuplicates()
 
 
 def is_residential() -> Column:
@@ -79,7 +83,7 @@ def mutations(rows: DataFrame) -> DataFrame:
     sales = rows.filter(F.col("nature_mutation") == SALE).withColumns({"arrondissement": district(F.col("code_commune")), "_res": holds(is_residential())})
     count = lambda c: F.count_if(c).cast("int")
     of_unit = lambda c: F.when(F.col("_res"), F.col(c))
-    found = sales.groupBy("source_year", "id_mutation").agg(
+    found = sales.groupBy(*KEY).agg(
         count(F.col("_res")).alias("residential_unit_count"),
         count(F.col("type_local") == APARTMENT).alias("apartment_count"),
         count(F.col("type_local") == HOUSE).alias("house_count"),
@@ -124,5 +128,5 @@ def with_eligibility(found: DataFrame, districts: int = 20) -> DataFrame:
 
 
 def curated(rows: DataFrame, districts: int = 20) -> DataFrame:
-    """Raw rows to mutations with eligibility."""
-    return with_eligibility(mutations(without_duplicates(rows)), districts)
+    """Raw rows to mutations with eligibility, in one shuffle of the sales."""
+    return with_eligibility(mutations(without_duplicates(rows.filter(F.col("nature_mutation") == SALE))), districts)

@@ -481,8 +481,14 @@ def citation_refs(spark, sf_dir):
     return found.select("doc_id", F.concat(F.lit("S"), F.get("cited", F.lit(0)).cast("string")).alias("first_source"), "valid")
 
 
-@query("""SELECT doc_id, left(regexp_replace(text, '(?i)\\b(api[_-]?key|token|password|secret)(\\s*[=:]\\s*)"?[^\\s",;]+"?', '\\1\\2***', 'g'), 500) AS redacted
-FROM documents WHERE NOT regexp_matches(text, '(?i)bearer|sk-|postgres')""")
+def _redacted_sql(x: str) -> str:
+    for pattern, put in text.SECRETS:
+        x = f"regexp_replace({x}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return x
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(r) > 500 THEN left(r, 500) || '…' ELSE r END AS redacted
+FROM (SELECT doc_id, {_redacted_sql("text")} AS r FROM documents)""")
 def redact_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.col("text")).alias("redacted"))
 

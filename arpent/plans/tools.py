@@ -41,10 +41,6 @@ def registry(sales: DataFrame, diagnostics: DataFrame, answer: Callable[[str, st
     energy_policy = energy_policy or policy
     scope, period = {"area": int, "start": int, "end": int}, {"start": int, "end": int}
 
-    def rank(**x) -> DataFrame:
-        found = [analytics.ranking(sales, m, policy=policy, **x).withColumn("ranking", F.lit(m)) for m in ("median", "sample_size", "median_surface")]
-        return found[0].unionByName(found[1]).unionByName(found[2])
-
     def energy(**x) -> DataFrame:
         labels = analytics.poor_labels(diagnostics, policy=energy_policy, **x)
         return labels.crossJoin(F.broadcast(analytics.intensity_summary(diagnostics, policy=energy_policy, **x)))
@@ -57,7 +53,7 @@ def registry(sales: DataFrame, diagnostics: DataFrame, answer: Callable[[str, st
     tools = [
         Tool("get_market_overview", scope, frozenset(), lambda **x: analytics.market_overview(sales, policy=policy, **x)),
         Tool("get_market_trend", scope, frozenset(), lambda **x: analytics.price_trend(sales, policy=policy, **x)),
-        Tool("rank_arrondissements", period, frozenset(), rank),
+        Tool("rank_arrondissements", period, frozenset(), lambda **x: analytics.rankings(sales, policy=policy, **x)),
         Tool("compare_arrondissements", {"areas": list, **period}, frozenset({"areas"}), lambda **x: analytics.compare_areas(sales, policy=policy, most=policy.most_areas_of_a_tool, **x)),
         Tool("analyze_dpe", scope, frozenset(), energy),
         Tool("answer_documentary_question", {"question": str, "style": str}, frozenset({"question"}), documentary),
@@ -80,10 +76,12 @@ def run_turn(model: Callable[[list], dict], tools: dict[str, Tool], message: str
     """Let a given model call tools until it answers: {"text"} or {"calls": [(name, payload)]} in each round, at most
     `rounds` rounds of `calls` calls; repeated calls and errors are told to the model. Results are cut to `rows` rows."""
     messages, seen, used = [("user", message)], set(), []
-    for _ in range(rounds + 1):
+    for turn in range(rounds + 1):
         reply = model(messages)
         if "text" in reply:
             return {"text": reply["text"], "tools": used}
+        if turn == rounds:
+            break  # after the last round only an answer counts
         for name, payload in reply["calls"][:calls]:
             mark = call_signature(name, payload)
             if mark in seen:

@@ -32,7 +32,7 @@ def main() -> None:
         "market_overview": lambda: analytics.market_overview(sales, policy=SP),
         "price_trend": lambda: analytics.price_trend(sales, policy=SP),
         "compare_areas": lambda: analytics.compare_areas(sales, [13, 20], policy=SP),
-        "rankings": lambda: analytics.ranking(sales, "median", policy=SP),
+        "rankings": lambda: analytics.rankings(sales, policy=SP),
         "label_distribution": lambda: analytics.label_distribution(energy, policy=EP),
         "intensity_summary": lambda: analytics.intensity_summary(energy, policy=EP),
         "area_profile": lambda: analytics.area_profile(sales, energy, 15, 1995, 2000, policy=SP),

@@ -53,6 +53,10 @@ def test_compare(spark):
 def test_rankings_need_a_sample(spark):
     facts = sales(spark, [9000.0] * 40, area=1).union(sales(spark, [20000.0] * 5, area=2)).union(sales(spark, [9000.0] * 30, area=3))
     assert [(r.rank, r.arrondissement) for r in analytics.ranking(facts, "median").orderBy("rank").collect()] == [(1, 1), (2, 3)]
+    every = analytics.rankings(facts).collect()
+    for metric in ("median", "sample_size", "median_surface"):
+        own = sorted((r["rank"], r.arrondissement, r[metric]) for r in every if r.ranking == metric)
+        assert own == sorted((r["rank"], r.arrondissement, r[metric]) for r in analytics.ranking(facts, metric).collect()) and own
     assert [(r.arrondissement, r.sample_size) for r in analytics.small_samples(facts).collect()] == [(2, 5)]
 
 

@@ -188,11 +188,11 @@ def test_redact_secrets_takes_all_documents(spark, tmp_path):
 
     given = [
         (1, "a postgres://me:hidden@host/db b"), (2, "Authorization: Bearer abc.def-1"), (3, "key sk-abcdefgh12 end"), (4, 'api_key = "xyz"; token: t1'),
-        (5, "risk-free task-list of postgres"), (6, None), (7, "y" * 600), (8, "x" * 480 + " password=abcdef " + "z" * 100),
+        (5, "risk-free task-list of postgres"), (6, None), (7, "y" * 600), (8, "x" * 480 + " password=abcdef " + "z" * 100), (9, "mongodb://u:pw@h/x api key: abcd y"),
     ]
     spark.createDataFrame(given, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.redacted for r in catalog.QUERIES["redact_secrets"](spark, str(tmp_path)).collect()}
     assert got == {
-        1: "a postgres://me:***@host/db b", 2: "Authorization: Bearer ***", 3: "key *** end", 4: "api_key = ***; token: ***",
-        5: "risk-free task-list of postgres", 6: None, 7: "y" * 500, 8: "x" * 480 + " password=*** zzzzzz",
+        1: "a postgres://me:***@host/db b", 2: "Authorization: [REDACTED]", 3: "key [REDACTED] end", 4: "[REDACTED] [REDACTED]",
+        5: "risk-free task-list of postgres", 6: None, 7: "y" * 500 + "…", 8: "x" * 480 + " [REDACTED] zzzzzzzz…", 9: "mongodb://u:***@h/x [REDACTED] y",
     }
