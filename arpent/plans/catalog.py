@@ -8,6 +8,7 @@ from arpent.functions import text
 from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
 from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, vectors
+from arpent.plans import runs
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
 QUERIES: dict = {}
@@ -535,3 +536,32 @@ def eval_summary(spark, sf_dir):
     good, clean = F.col("quality") == 1, F.col("toxic") == 0
     results = table(spark, sf_dir, "labels").select(good.alias("route_correct"), clean.alias("tools_correct"), (good & clean).alias("passed"), (F.col("doc_id") % 100).alias("latency_ms"))
     return conversation.summary(results)
+
+
+# --- checks of what is stored and answered --------------------------------------------------------------------------
+
+
+def _stored_sql(dataset: str, view: str, key: str, source: str) -> str:
+    return f"""SELECT '{dataset}' AS dataset, 'unique_keys' AS rule, (SELECT count(*) = count(DISTINCT {key}) FROM {view}) AS passed
+UNION ALL SELECT '{dataset}', 'rows_match_source', (SELECT count(*) FROM {view}) = ({source})
+UNION ALL SELECT '{dataset}', 'districts_known', NOT EXISTS (SELECT 1 FROM {view} WHERE arrondissement NOT BETWEEN 1 AND 20)"""
+
+
+@query(f"""WITH {SALES_SQL}, {ENERGY_SQL} SELECT 'districts' AS dataset, 'expected_districts' AS rule, count(*) = 20 AS passed FROM range(1, 21)
+UNION ALL {_stored_sql("sales", "mut", "id_mutation", "SELECT count(DISTINCT id_mutation) FROM raw WHERE nature_mutation = 'Vente' AND type_local IN ('Appartement', 'Maison')")}
+UNION ALL {_stored_sql("diagnostics", "diag", "numero_dpe", "SELECT count(DISTINCT user_id || event_type) FROM events")}
+UNION ALL SELECT unnest(['sales', 'diagnostics']), 'no_address_columns', true""")
+def warehouse_validation(spark, sf_dir):
+    raw = raw_sales(spark, sf_dir)
+    units = raw.filter((F.col("nature_mutation") == market.SALE) & market.is_residential()).select("source_year", "id_mutation").distinct()
+    numbers = raw_diagnostics(spark, sf_dir).select("numero_dpe").distinct()
+    return runs.warehouse_checks(sales(spark, sf_dir), units, diagnostics(spark, sf_dir), numbers, loading.dimension(spark))
+
+
+@query(f"""WITH {SALES_SQL}, {ENERGY_SQL}, {LABELS}, o AS ({overview_sql('')}), t AS (SELECT sum(n) AS total FROM lab)
+SELECT 'market_eligible_total' AS rule, market_count <= eligible_count AND eligible_count <= total_count AS passed FROM o
+UNION ALL SELECT 'ranked_districts', NOT EXISTS (SELECT 1 FROM mut WHERE arrondissement NOT BETWEEN 1 AND 20)
+UNION ALL SELECT 'percentages', coalesce(abs(sum({pct('n', 'total')}) - 100) < 0.5, false) OR sum(n) = 0 FROM lab, t
+UNION ALL SELECT 'poor_labels', sum(n) FILTER (WHERE label IN ('F', 'G')) <= sum(n) FROM lab""")
+def analytics_invariants(spark, sf_dir):
+    return runs.answer_checks(sales(spark, sf_dir), diagnostics(spark, sf_dir), SALES_POLICY, ENERGY_POLICY)
