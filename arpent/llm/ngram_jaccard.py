@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices, spans, text_bytes
-from arpent.llm.common import Memo, drop, free_name, mix64, stored
+from arpent.llm.common import Memo, drop, free_name, frugal, mix64, stored
 from arpent.llm.graph import components
 
 #: Words of a shingle and least similarity as a fraction of whole numbers.
@@ -260,7 +260,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, scheme: Scheme) -> D
 
     names = [key, "row_key", "_text_key", "n_shingles", "cls", "band", "bits", "keys"]
     schema = f"{key} long, row_key long, _text_key long, n_shingles long, cls long, band int, bits binary, keys array<long>"
-    return docs.select(*names[:3], text).mapInArrow(run, schema)
+    return docs.select(*names[:3], text).mapInArrow(frugal(run), schema)
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -348,8 +348,8 @@ def _plausible(groups: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFra
 
     tile = "grp long, many long, tile string, side int, cls long, n long, bits binary"
     whole = rows.filter(F.col("many") <= GROUP).select("grp", "many", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "n", "bits")
-    placed = whole.unionByName(large.select("grp", "many", "cls", "n", "band", "bits", "in_band").mapInArrow(place, tile))
-    return placed.repartition("grp", "tile").sortWithinPartitions("grp", "many", "tile").mapInArrow(run, "cls long, root long").distinct()
+    placed = whole.unionByName(large.select("grp", "many", "cls", "n", "band", "bits", "in_band").mapInArrow(frugal(place), tile))
+    return placed.repartition("grp", "tile").sortWithinPartitions("grp", "many", "tile").mapInArrow(frugal(run), "cls long, root long").distinct()
 
 
 def _verified(members: DataFrame, scheme: Scheme, words: int, text: str) -> DataFrame:
@@ -388,7 +388,7 @@ def _verified(members: DataFrame, scheme: Scheme, words: int, text: str) -> Data
         has = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"cls": cls[has], "root": cls[root[has]]})
 
-    placed = members.mapInArrow(place, f"tile string, side int, cls long, {text} string")
+    placed = members.mapInArrow(frugal(place), f"tile string, side int, cls long, {text} string")
     return placed.groupBy("tile").applyInArrow(run, "cls long, root long")
 
 

@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arpent.llm.common import stored
+from arpent.llm.common import frugal, stored
 from arpent.llm.bpe import slices
 
 #: Tokens of a sequence, the id that ends a document, and pieces that one task packs together.
 CAPACITY, END_ID, SHARD = 4096, 1, 25_000
 #: Bytes of text that are encoded together.
-AT_ONCE = 12_000_000
+AT_ONCE = 6_000_000
 #: Signs that make token runs of their own after a letter or digit: ASCII punctuation.
 MARKS = string.punctuation
 
@@ -143,7 +143,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             ids = [x + end for x in encoder(path).encode(batch.column(text))]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.binary())], names=[key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
+    return docs.select(key, text).mapInArrow(frugal(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     names = [key, "piece", "start", "length", "ids_crc32", "ids"]
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(key, text).mapInArrow(run, schema + ", ids binary" * with_ids)
+    return docs.select(key, text).mapInArrow(frugal(run), schema + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
