@@ -128,6 +128,23 @@ def small_samples(facts: DataFrame, start: int | None = None, end: int | None =
     return area_metrics(facts, start, end, policy).filter(~F.col("sufficient")).select("arrondissement", "sample_size")
 
 
+def small_sample_warning(facts: DataFrame, start: int | None = None, end: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """One row: the warning that names the districts left out, in order, or an empty one."""
+    found = small_samples(facts, start, end, policy).agg(F.array_sort(F.collect_list("arrondissement")).alias("gone"))  # at most one for each district
+    text = F.concat(F.lit(f"districts with fewer than {policy.least_sample} sales are not ranked: "), F.array_join(F.col("gone").cast("array<string>"), ", "))
+    return found.select(F.when(F.size("gone") > 0, text).otherwise("").alias("warnings"))
+
+
+def applied_filters(start: int | None = None, end: int | None = None, area: int | None = None, policy: Policy = DEFAULT) -> Column:
+    """What an answer was restricted to, as a struct that can stand beside it."""
+    start, end = _scope(start, end, area, policy)
+    fields = {
+        "arrondissement": F.lit(area).cast("int"), "start_year": F.lit(start), "end_year": F.lit(end), "price_per_m2_min": F.lit(policy.least_price),
+        "price_per_m2_max": F.lit(policy.most_price), "includes_partial_year": F.lit(includes_partial(start, end, policy)),
+    }
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def _dwellings(facts: DataFrame, eligible: str, start: int, end: int, area: int | None) -> DataFrame:
     return _in_scope(facts.filter(F.col(eligible) & (F.col("analysis_population") == "dwelling_unit")), "diagnostic_year", start, end, area)
 
@@ -149,7 +166,9 @@ def poor_labels(facts: DataFrame, start: int | None = None, end: int | None = No
     f, g = policy.labels[-2:]
     count = lambda x: F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0))
     found = found.agg(F.sum("n").alias("total"), count(f).alias("f_count"), count(g).alias("g_count"))
-    return found.select("total", "f_count", "g_count", (F.col("f_count") + F.col("g_count")).alias("fg_count"), percent(F.col("f_count") + F.col("g_count"), F.col("total")).alias("fg_pct"))
+    both = F.col("f_count") + F.col("g_count")
+    warnings = F.when(F.col("total") == 0, "no labels in this scope").otherwise("").alias("warnings")
+    return found.select("total", "f_count", "g_count", both.alias("fg_count"), percent(both, F.col("total")).alias("fg_pct"), warnings)
 
 
 def intensity_summary(facts: DataFrame, start: int | None = None, end: int | None = None, area: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
@@ -157,16 +176,19 @@ def intensity_summary(facts: DataFrame, start: int | None = None, end: int | Non
     x = {"consumption": "conso_5_usages_par_m2_ep", "emission": "emission_ges_5_usages_par_m2"}
     quartiles = [rounded(_quantile(F.col(c).cast("double"), q)).alias(f"{n}_{m}") for n, c in x.items() for m, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
     surface = rounded(_quantile(F.col("surface_habitable_logement").cast("double"), 0.5)).alias("median_surface")
-    return _dwellings(facts, "is_intensity_analysis_eligible", start, end, area).agg(F.count("*").alias("n"), *quartiles, surface)
+    found = _dwellings(facts, "is_intensity_analysis_eligible", start, end, area).agg(F.count("*").alias("n"), *quartiles, surface)
+    return found.withColumn("warnings", F.when(F.col("n") == 0, "no intensities in this scope").otherwise(""))
 
 
-def area_profile(sales: DataFrame, diagnostics: DataFrame, area: int, start: int | None = None, end: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
-    """One row for a district. The facts never meet row by row, only as the single rows of three answers."""
+def area_profile(sales: DataFrame, diagnostics: DataFrame, area: int, start: int | None = None, end: int | None = None, policy: Policy = DEFAULT, energy_policy: Policy | None = None) -> DataFrame:
+    """One row for a district. The facts never meet row by row, only as the single rows of three answers. Without a period,
+    each fact is asked for that of its own policy."""
+    energy_policy = energy_policy or policy
     if area is None:
         raise ValueError("a profile needs a district")
     prefixed = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
     market = prefixed(market_overview(sales, start, end, area, policy), "market")
-    labels = prefixed(poor_labels(diagnostics, start, end, area, policy), "labels")
-    intensity = prefixed(intensity_summary(diagnostics, start, end, area, policy), "intensity")
+    labels = prefixed(poor_labels(diagnostics, start, end, area, energy_policy), "labels")
+    intensity = prefixed(intensity_summary(diagnostics, start, end, area, energy_policy), "intensity")
     joined = market.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(intensity))
     return joined.select(F.lit(area).alias("arrondissement"), "*")

@@ -4,9 +4,12 @@ The word lists are fixed values of the domain: French and English phrases after
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import percent
@@ -17,7 +20,7 @@ GREETINGS = (
     "bonjour", "bonjour a vous", "bonjour comment allez vous", "bonsoir", "coucou", "hello", "hey", "salut", "salut ca va",
     "ca va", "comment allez vous",
 )
-GREETING_WORDS = ("bonjour", "bonsoir", "coucou", "hello", "hey", "salut")
+GREETING_WORDS = tuple(g for g in GREETINGS if " " not in g)
 THANKS = (
     "merci", "merci a vous", "merci beaucoup", "merci pour ton aide", "merci pour votre aide", "merci c est clair",
     "je vous remercie", "thanks", "thanks for your help", "thank you", "thank you for your help",
@@ -100,15 +103,16 @@ def words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
 
-def with_routes(messages: DataFrame, text: str = "text", before: str = "previous") -> DataFrame:
+def with_routes(messages: DataFrame, text: str = "text", before: str = "previous", misspelt: bool = True) -> DataFrame:
     """messages with `route`: the first rule that the text meets; `before` holds the user's message before it, or null.
-    "model" means that no rule answers locally."""
+    "model" means that no rule answers locally. Without `misspelt`, greetings and languages must be spelt as listed, and
+    all of it is built-in expressions."""
     messages = messages.withColumns({"_t": search_text(F.col(text)), "_b": search_text(F.col(before))})
     one = (words(F.col("_t")) == 1) & (F.length("_t") >= 4)
     messages = messages.withColumns({
         "_typo": F.when(one, likeness(GREETING_WORDS)(F.when(one, F.col("_t")).otherwise(""))).otherwise(0.0),
         "_language": token_likeness(LANGUAGES)(F.when(words(F.col("_t")) <= 12, F.col("_t")).otherwise("")) >= 0.8,
-    })
+    } if misspelt else {"_typo": F.lit(0.0), "_language": F.arrays_overlap(F.split("_t", " "), F.array(*map(F.lit, LANGUAGES)))})
     t, b = F.col("_t"), F.coalesce(F.col("_b"), F.lit(""))
     topical = in_scope(b)
     short = words(t) <= 12
@@ -181,3 +185,69 @@ def summary(results: DataFrame) -> DataFrame:
     flags = [c for c in results.columns if c.endswith(("_correct", "_present"))]
     rate = lambda c: percent(F.count_if(c), F.count("*")).alias(f"{c}_pct")
     return results.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed_cases"), rate("passed"), *map(rate, flags), F.round(F.avg("latency_ms"), 2).alias("mean_latency_ms"))
+
+
+CASE = (
+    "case_id string, position int, category string, question string, history array<string>, expected_route string, required_tools array<string>, "
+    "allowed_tools array<string>, citations_required boolean, expected_charts array<string>, memory_expected boolean, expected_model string, required_terms array<string>"
+)
+ANSWER = (
+    "route string, successful_tools array<string>, failed_tools array<string>, n_citations int, charts array<string>, memory_used boolean, model string, "
+    "answer string, latency_ms double, error_type string"
+)
+
+
+def suite(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a suite `{"cases": [...]}`, with their place in it."""
+    cases = spark.read.schema(f"cases array<struct<{CASE.replace('position int, ', '')}>>").option("multiLine", True).json(path)
+    return cases.select(F.posexplode("cases").alias("position", "c")).select("position", "c.*")
+
+
+def selected_cases(cases: DataFrame, ids: tuple[str, ...] = (), category: str | None = None, most: int | None = None) -> DataFrame:
+    """Cases of the given ids and category in declared order, the first `most` of them. Unknown ids, a `most` below one and
+    an empty choice are errors."""
+    if most is not None and most < 1:
+        raise ValueError("at least one case must be asked for")
+    if ids:
+        asked = cases.sparkSession.createDataFrame([(i,) for i in ids], "case_id string")
+        if unknown := [r[0] for r in asked.join(cases, "case_id", "left_anti").collect()]:  # as many as were asked for
+            raise ValueError(f"unknown cases {sorted(unknown)}")
+        cases = cases.filter(F.col("case_id").isin(*ids))
+    found = (cases if category is None else cases.filter(F.col("category") == category)).orderBy("position")
+    found = found if most is None else found.limit(most)
+    if found.isEmpty():
+        raise ValueError("no case fits")
+    return found
+
+
+def answered(cases: DataFrame, answer: Callable[[str, list[str]], dict]) -> DataFrame:
+    """cases with the columns of their answers. `answer` is given and runs on the executors: from a question and a history to
+    the answer's columns; a case that fails has its error's name in error_type and leaves the others alone."""
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([("case_id", pa.string()), *((n, kinds[c.split()[1]]) for n, c in zip(names, ANSWER.split(", "), strict=True))])
+
+    def one(row):
+        begun = time.perf_counter()
+        try:
+            got, error = answer(row["question"], row["history"] or []), None
+        except Exception as problem:  # a failure is a result of its case
+            got, error = {}, type(problem).__name__
+        return {**got, "case_id": row["case_id"], "latency_ms": (time.perf_counter() - begun) * 1000, "error_type": error}
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one(r) for r in batch.to_pylist()], schema)
+
+    found = cases.select("case_id", "question", "history").mapInArrow(run, f"case_id string, {ANSWER}")
+    return cases.join(found, "case_id")
+
+
+def evaluation_run(cases: DataFrame, answer: Callable[[str, list[str]], dict], out: str) -> DataFrame:
+    """Answers and scores all cases, stores the results and their summary as JSON below `out`; returns the summary."""
+    spark = cases.sparkSession
+    answered(cases, answer).write.mode("overwrite").parquet(f"{out}/answers")
+    results = scored(spark.read.parquet(f"{out}/answers")).withColumn("passed", F.col("passed") & F.col("error_type").isNull())
+    results.write.mode("overwrite").json(f"{out}/results")
+    summary(results).coalesce(1).write.mode("overwrite").json(f"{out}/summary")
+    return spark.read.json(f"{out}/summary")

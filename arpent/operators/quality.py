@@ -147,6 +147,33 @@ def energy_report(rows: DataFrame) -> DataFrame:
     )
 
 
+def global_metrics(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One row over all years: the sums and shares of `year_metrics` of raw rows, and the price quantiles of the mutations
+    `found`, taken anew over all of them."""
+    whole = year_metrics(rows).filter("source_year IS NULL").drop("source_year")
+    prices = price_distribution(found)
+    return whole.crossJoin(prices.select(*(F.col(c).alias(f"price_{c}") for c in prices.columns)))  # two frames of one row
+
+
+def sample_profile(rows: DataFrame, key: str = "numero_dpe", most_invalid: int = 20) -> DataFrame:
+    """section, key, value of raw diagnostics: missing shares, repeated keys, labels, codes and the most frequent of those
+    that are no district's, and descriptions of the numbers."""
+    none = F.lit(None).cast("string")
+    row = lambda df, section, k, v: df.select(F.lit(section).alias("section"), k.alias("key"), v.cast("double").alias("value"))
+    parts = [
+        row(missing(rows), "missing_pct", F.col("column"), F.col("pct_missing")),
+        row(rows.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.max(F.col(key).isNull()).cast("int").alias("e")), "repeated_keys", none, F.col("n") - F.col("d") - F.coalesce("e", F.lit(0))),
+    ]
+    parts += [row(value_counts(rows, c), c, F.col("value"), F.col("n")) for c in ("etiquette_dpe", "etiquette_ges", "code_insee_ban", "code_postal_ban")]
+    invalid = top_values(rows.filter(district(F.col("code_insee_ban")).isNull()), "code_insee_ban", most_invalid)
+    parts.append(row(invalid, "invalid_code_insee_ban", F.col("value"), F.col("n")))
+    for c in ("surface_habitable_logement", "conso_5_usages_par_m2_ep", "emission_ges_5_usages_par_m2"):
+        one = describe(rows, c)
+        long = one.select(F.explode(F.array(*(F.struct(F.lit(m).alias("k"), F.col(m).cast("double").alias("v")) for m in one.columns))).alias("x"))
+        parts.append(row(long, c, F.col("x.k"), F.col("x.v")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def as_markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
     """A small report table as Markdown; `most` bounds what comes to the driver."""
     names = rows.columns

@@ -6,9 +6,10 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arpent.functions.text import area_name
 from arpent.operators import analytics
 from arpent.policy import DEFAULT, InputError, Policy
 
@@ -101,3 +102,29 @@ def run_turn(model: Callable[[list], dict], tools: dict[str, Tool], message: str
 def chart(rows: DataFrame, label: str, value: str) -> DataFrame:
     """position, label, value of what a chart shows: rows with a value, in the order of labels."""
     return rows.filter(F.col(value).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value")).orderBy("label")
+
+
+#: What each tool's chart shows: its label, its value, and what gives the order.
+CHARTS = {"get_market_trend": ("source_year", "median", "source_year"), "compare_arrondissements": ("arrondissement", "median", "position"), "analyze_dpe": ("label", "pct", "label")}
+
+
+def tool_chart(name: str, rows: DataFrame) -> DataFrame | None:
+    """position, label, value of the chart that a tool's result has, without rows that have no value; None for tools
+    without a chart. Districts are labelled by their names."""
+    if name not in CHARTS:
+        return None
+    by, value, order = CHARTS[name]
+    label = area_name(F.col(by)) if by == "arrondissement" else F.col(by).cast("string")
+    place = F.row_number().over(Window.orderBy(order)) - 1  # as many rows as years, labels or districts asked for
+    return rows.filter(F.col(value).isNotNull()).select(place.alias("position"), label.alias("label"), F.col(value).cast("double").alias("value"))
+
+
+#: Fixed value: stands for arguments that are no JSON object.
+INVALID_ARGUMENTS = '{"__invalid_json__": true}'
+
+
+def checked_arguments(calls: DataFrame, column: str = "arguments") -> DataFrame:
+    """calls with the mark in place of arguments that are no JSON object; null is an empty object."""
+    x = F.coalesce(F.col(column), F.lit("{}"))
+    kind = F.schema_of_variant(F.try_parse_json(x))
+    return calls.withColumn(column, F.when(kind.startswith("OBJECT"), x).otherwise(INVALID_ARGUMENTS))

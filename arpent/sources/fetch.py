@@ -3,8 +3,11 @@ a function from a URL to (status, headers, body), so tests and clusters bring th
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import os
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -65,3 +68,66 @@ def document(transport: Transport, url: str, hosts: frozenset[str], known_sha256
         raise FetchError(f"{url} is not what its type says")
     sha = hashlib.sha256(body).hexdigest()
     return ("unchanged" if sha == known_sha256 else "updated" if known_sha256 else "new"), sha, body
+
+
+def _kept(path: str, body: bytes) -> str:
+    """Writes beside the file and puts it in place when whole; the checksum."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(f"{path}.part", "wb") as f:
+        f.write(body)
+    os.replace(f"{path}.part", path)
+    return hashlib.sha256(body).hexdigest()
+
+
+def _sha256(path: str) -> str | None:
+    """The checksum of a file, None if there is none."""
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except FileNotFoundError:
+        return None
+
+
+def acquired_years(transport: Transport, urls: dict[int, str], folder: str, known: dict[int, str] | None = None, sleep: Callable[[float], None] = lambda s: None) -> dict[int, tuple[str, str, str]]:
+    """(path, sha256, reused or downloaded) of each year's gzip file. A file whose checksum is the known one stays; another
+    is fetched, read to its end as gzip, and only then put in place."""
+    found = {}
+    for year, url in sorted(urls.items()):
+        path = os.path.join(folder, f"{year}.csv.gz")
+        there = _sha256(path)
+        if there is not None and there == (known or {}).get(year):
+            found[year] = path, there, "reused"
+            continue
+        body = get(transport, url, sleep)[1]
+        try:
+            gzip.decompress(body)
+        except (OSError, EOFError, zlib.error) as problem:
+            raise FetchError(f"{url} is no whole gzip file") from problem
+        found[year] = path, _kept(path, body), "downloaded"
+    return found
+
+
+def snapshot_is_valid(folder: str) -> bool:
+    """A whole snapshot is there: complete by its manifest, with the checksum and as many rows as that says."""
+    try:
+        with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
+            told = json.load(f)
+    except (OSError, ValueError):
+        return False
+    return bool(told.get("complete")) and told.get("retrieved_rows") == told.get("expected_total") and _sha256(os.path.join(folder, "snapshot.json")) == told.get("sha256")
+
+
+def acquired_snapshot(transport: Transport, url: str, folder: str, refresh: bool = False, sleep: Callable[[float], None] = lambda s: None) -> str:
+    """"reused" or "downloaded": all pages as one snapshot file and a manifest. Fewer or more rows than announced are an
+    error, and leave what was there."""
+    if not refresh and snapshot_is_valid(folder):
+        return "reused"
+    expected = announced_total(transport, url, sleep)
+    batches = list(pages(transport, url, sleep))
+    rows = [r for b in batches for r in b]
+    if len(rows) != expected:
+        raise FetchError(f"{url} announced {expected} rows and gave {len(rows)}")
+    sha = _kept(os.path.join(folder, "snapshot.json"), json.dumps({"total": expected, "results": rows}, ensure_ascii=False).encode())
+    told = {"complete": True, "expected_total": expected, "retrieved_rows": len(rows), "page_count": len(batches), "sha256": sha}
+    _kept(os.path.join(folder, "manifest.json"), json.dumps(told).encode())
+    return "downloaded"
