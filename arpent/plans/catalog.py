@@ -8,7 +8,7 @@ from arpent.functions import text
 from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
 from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, vectors
-from arpent.plans import runs
+from arpent.plans import corpus, runs, tools
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
 QUERIES: dict = {}
@@ -114,15 +114,37 @@ def rank_by_surface(spark, sf_dir):
     return analytics.ranking(sales(spark, sf_dir), "median_surface", policy=SALES_POLICY)
 
 
+#: So many sales that some districts have fewer in one year, at every size of the test tables.
+ONE_YEAR = f"""SELECT arrondissement, count(*) FILTER (WHERE {M}) AS m FROM mut WHERE source_year = {Y1} AND arrondissement IS NOT NULL GROUP BY 1"""
+
+
 @query(f"WITH {SALES_SQL}, a AS ({BY_AREA}) SELECT arrondissement, m AS sample_size FROM a WHERE m < 30")
 def small_samples(spark, sf_dir):
     return analytics.small_samples(sales(spark, sf_dir), policy=SALES_POLICY)
 
 
+@query(f"WITH {SALES_SQL}, a AS ({ONE_YEAR}) SELECT arrondissement, m AS sample_size FROM a WHERE m < 30")
+def small_samples_of_a_year(spark, sf_dir):
+    return analytics.small_samples(sales(spark, sf_dir), Y1, Y1, SALES_POLICY)
+
+
+@query(f"""WITH {SALES_SQL}, a AS ({ONE_YEAR}) SELECT CASE WHEN count(*) > 0 THEN 'districts with fewer than 30 sales are not ranked: ' || string_agg(CAST(arrondissement AS VARCHAR), ', ' ORDER BY arrondissement) ELSE '' END AS warnings,
+  15 AS arrondissement, {Y1} AS start_year, {Y1} AS end_year, 1000.0::DOUBLE AS price_per_m2_min, 50000.0::DOUBLE AS price_per_m2_max, false AS includes_partial_year FROM a WHERE m < 30""")
+def answer_scope(spark, sf_dir):
+    """What stands beside an answer: the warning of its rankings and the filters that were applied."""
+    warned = analytics.small_sample_warning(sales(spark, sf_dir), Y1, Y1, SALES_POLICY)
+    return warned.select("warnings", analytics.applied_filters(Y1, Y1, 15, SALES_POLICY).alias("f")).select("warnings", "f.*")
+
+
 # --- diagnostics ----------------------------------------------------------------------------------------------------
 
-LABELS = f"""lab AS (SELECT l.label, count(d.etiquette_dpe_norm) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F'), ('G')) l(label)
-  LEFT JOIN (SELECT * FROM diag WHERE is_label_analysis_eligible AND analysis_population = 'dwelling_unit' AND diagnostic_year BETWEEN {E0} AND {E1}) d ON d.etiquette_dpe_norm = l.label GROUP BY l.label)"""
+
+def _labels_cte(where: str = "") -> str:
+    return f"""lab AS (SELECT l.label, count(d.etiquette_dpe_norm) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F'), ('G')) l(label)
+  LEFT JOIN (SELECT * FROM diag WHERE is_label_analysis_eligible AND analysis_population = 'dwelling_unit' AND diagnostic_year BETWEEN {E0} AND {E1}{where}) d ON d.etiquette_dpe_norm = l.label GROUP BY l.label)"""
+
+
+LABELS = _labels_cte()
 
 
 @query(f"WITH {ENERGY_SQL}, {LABELS}, t AS (SELECT sum(n) AS total FROM lab) SELECT label, n, {pct('n', 'total')} AS pct FROM lab, t")
@@ -130,9 +152,11 @@ def label_distribution(spark, sf_dir):
     return analytics.label_distribution(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
 
 
-@query(f"""WITH {ENERGY_SQL}, {LABELS}, t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE label = 'F') AS BIGINT) AS f_count,
-  CAST(sum(n) FILTER (WHERE label = 'G') AS BIGINT) AS g_count FROM lab)
-SELECT total, f_count, g_count, f_count + g_count AS fg_count, {pct("(f_count + g_count)", "total")} AS fg_pct FROM t""")
+POOR_SQL = f"""SELECT *, f_count + g_count AS fg_count, {pct("(f_count + g_count)", "total")} AS fg_pct, CASE WHEN total = 0 THEN 'no labels in this scope' ELSE '' END AS warnings
+FROM (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (WHERE label = 'F') AS BIGINT) AS f_count, CAST(sum(n) FILTER (WHERE label = 'G') AS BIGINT) AS g_count FROM lab) t"""
+
+
+@query(f"WITH {ENERGY_SQL}, {LABELS} {POOR_SQL}")
 def poor_label_share(spark, sf_dir):
     return analytics.poor_labels(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
 
@@ -140,7 +164,8 @@ def poor_label_share(spark, sf_dir):
 def _intensity_sql(where: str = "") -> str:
     q = lambda c, x: r2(f"quantile_cont({c}, {x})")
     return f"""SELECT count(*) AS n, {q("conso", 0.5)} AS consumption_median, {q("conso", 0.25)} AS consumption_p25, {q("conso", 0.75)} AS consumption_p75,
-  {q("emission", 0.5)} AS emission_median, {q("emission", 0.25)} AS emission_p25, {q("emission", 0.75)} AS emission_p75, {q("surface", 0.5)} AS median_surface
+  {q("emission", 0.5)} AS emission_median, {q("emission", 0.25)} AS emission_p25, {q("emission", 0.75)} AS emission_p75, {q("surface", 0.5)} AS median_surface,
+  CASE WHEN count(*) = 0 THEN 'no intensities in this scope' ELSE '' END AS warnings
 FROM diag WHERE intensity_exclusion_reason IS NULL AND analysis_population = 'dwelling_unit' AND diagnostic_year BETWEEN {E0} AND {E1}{where}"""
 
 
@@ -149,23 +174,21 @@ def intensity_summary(spark, sf_dir):
     return analytics.intensity_summary(diagnostics(spark, sf_dir), policy=ENERGY_POLICY)
 
 
-PROFILE_YEARS = (1995, 2000, 2021, 2025)
+def _prefixed(sql: str, view: str, names: str) -> str:
+    return f"{view} AS (SELECT " + ", ".join(f"{n} AS {view}_{n}" for n in names.split()) + f" FROM ({sql}) x)"
 
 
-@query(f"""WITH {SALES_SQL}, {ENERGY_SQL},
-m AS ({overview_sql(" AND arrondissement = 15")}), i AS ({_intensity_sql(" AND arrondissement = 15")})
-SELECT 15 AS arrondissement, m.total_count AS market_total_count, m.market_count AS market_market_count, m.median AS market_median, i.n AS intensity_n,
-  i.consumption_median AS intensity_consumption_median, i.emission_median AS intensity_emission_median FROM m, i""")
+OVERVIEW = "total_count eligible_count market_count raw_median median p25 p75 median_surface excluded_count sensitivity includes_partial_year warnings"
+INTENSITY = "n consumption_median consumption_p25 consumption_p75 emission_median emission_p25 emission_p75 median_surface warnings"
+
+
+@query(f"""WITH {SALES_SQL}, {ENERGY_SQL}, {_labels_cte(" AND arrondissement = 15")},
+{_prefixed(overview_sql(" AND arrondissement = 15"), "market", OVERVIEW)}, {_prefixed(POOR_SQL, "labels", "total f_count g_count fg_count fg_pct warnings")},
+{_prefixed(_intensity_sql(" AND arrondissement = 15"), "intensity", INTENSITY)}
+SELECT CAST(15 AS INTEGER) AS arrondissement, * FROM market, labels, intensity""")
 def area_profile(spark, sf_dir):
-    """The test tables' two facts cover different years, so the profile is joined from answers of each one's period."""
-    p = SALES_POLICY
-    found = analytics.market_overview(sales(spark, sf_dir), area=15, policy=p).select(
-        F.lit(15).alias("arrondissement"), F.col("total_count").alias("market_total_count"), F.col("market_count").alias("market_market_count"), F.col("median").alias("market_median")
-    )
-    other = analytics.intensity_summary(diagnostics(spark, sf_dir), area=15, policy=ENERGY_POLICY).select(
-        F.col("n").alias("intensity_n"), F.col("consumption_median").alias("intensity_consumption_median"), F.col("emission_median").alias("intensity_emission_median")
-    )
-    return found.crossJoin(F.broadcast(other))
+    """The test tables' facts cover different years; each is asked for those of its own policy."""
+    return analytics.area_profile(sales(spark, sf_dir), diagnostics(spark, sf_dir), 15, policy=SALES_POLICY, energy_policy=ENERGY_POLICY)
 
 
 # --- curating sales -------------------------------------------------------------------------------------------------
@@ -210,7 +233,7 @@ def dedup_newest(spark, sf_dir):
     return energy.newest(raw_diagnostics(spark, sf_dir)).select("numero_dpe", "_id", "date_etablissement_dpe")
 
 
-@query(f"""WITH {ENERGY_SQL} SELECT count(*) AS rows_before, 0::BIGINT AS exact_duplicates, 0::BIGINT AS missing_key,
+@query(f"""WITH {ENERGY_SQL} SELECT count(*) AS rows_before, count(*) - count(DISTINCT _id) AS exact_duplicates, count(*) FILTER (WHERE numero_dpe IS NULL) AS missing_key,
   (SELECT count(*) FROM (SELECT numero_dpe FROM draw0 GROUP BY 1 HAVING count(*) > 1) z) AS conflicting, count(DISTINCT numero_dpe) AS unique_keys, count(DISTINCT numero_dpe) AS rows_after FROM draw0""")
 def conflicting_keys(spark, sf_dir):
     return energy.duplicate_counts(raw_diagnostics(spark, sf_dir))
@@ -258,7 +281,7 @@ YEAR_SQL = f"""WITH {SALES_SQL},
 ra AS (SELECT source_year, count(*) AS raw_rows FROM raw GROUP BY ROLLUP (source_year)),
 ym AS (SELECT source_year, id_mutation, count(*) AS n, count(*) FILTER (WHERE nature_mutation = 'Vente' AND code_commune NOT LIKE '751%') AS bad, count(*) FILTER (WHERE nature_mutation <> 'Vente') AS other FROM dd GROUP BY ALL),
 cl AS (SELECT source_year, CAST(sum(n) AS BIGINT) AS deduplicated_rows, count(id_mutation) AS unique_mutations, CAST(sum(bad) AS BIGINT) AS invalid_paris_codes, CAST(sum(other) AS BIGINT) AS excluded_nature_rows FROM ym GROUP BY ROLLUP (source_year)),
-un AS (SELECT source_year, count(*) AS residential_units, count(*) FILTER (WHERE NOT coalesce(surface_reelle_bati > 0, false)) AS invalid_or_missing_surfaces FROM sales WHERE res GROUP BY ROLLUP (source_year)),
+un AS (SELECT source_year, count(*) AS residential_units, count(*) FILTER (WHERE NOT coalesce(surface_reelle_bati > 0, false)) AS invalid_or_missing_surfaces, count(*) FILTER (WHERE longitude IS NOT NULL AND latitude IS NOT NULL) AS located FROM sales WHERE res GROUP BY ROLLUP (source_year)),
 so AS (SELECT source_year, count(*) AS residential_mutations, count(*) FILTER (WHERE residential_unit_count = 1) AS single_unit_mutations, count(*) FILTER (WHERE residential_unit_count > 1) AS multi_unit_mutations,
   CAST(sum(apartment_count) AS BIGINT) AS apartment_count, CAST(sum(house_count) AS BIGINT) AS house_count, count(*) FILTER (WHERE NOT value_consistent) AS inconsistent_mutation_values,
   count(*) FILTER (WHERE NOT geo_consistent) AS ambiguous_geography, count(*) FILTER (WHERE is_price_per_m2_eligible) AS price_eligible_count FROM mut GROUP BY ROLLUP (source_year))"""
@@ -266,7 +289,7 @@ so AS (SELECT source_year, count(*) AS residential_mutations, count(*) FILTER (W
 
 @query(f"""{YEAR_SQL} SELECT ra.source_year, raw_rows, deduplicated_rows, raw_rows - deduplicated_rows AS exact_duplicates, unique_mutations, invalid_paris_codes, excluded_nature_rows, residential_units,
   invalid_or_missing_surfaces, residential_mutations, single_unit_mutations, multi_unit_mutations, apartment_count, house_count, inconsistent_mutation_values, ambiguous_geography, price_eligible_count,
-  {pct("price_eligible_count", "residential_mutations")} AS price_eligibility_rate_pct, 100.0 AS coordinate_coverage_pct
+  {pct("price_eligible_count", "residential_mutations")} AS price_eligibility_rate_pct, {pct("located", "residential_units")} AS coordinate_coverage_pct
 FROM ra JOIN cl ON ra.source_year IS NOT DISTINCT FROM cl.source_year JOIN un ON ra.source_year IS NOT DISTINCT FROM un.source_year JOIN so ON ra.source_year IS NOT DISTINCT FROM so.source_year""")
 def year_metrics(spark, sf_dir):
     return quality.year_metrics(raw_sales(spark, sf_dir))
@@ -286,6 +309,31 @@ def quantile_summary(spark, sf_dir):
     return quality.quantiles(diagnostics(spark, sf_dir), "conso_5_usages_par_m2_ep", quality.SUMMARY_QUANTILES)
 
 
+@query(f"""{YEAR_SQL}, p AS ({_quantile_sql('price_per_m2_raw', 'mut WHERE is_price_per_m2_eligible', quality.PRICE_QUANTILES)})
+SELECT raw_rows, deduplicated_rows, raw_rows - deduplicated_rows AS exact_duplicates, unique_mutations, invalid_paris_codes, excluded_nature_rows, residential_units,
+  invalid_or_missing_surfaces, residential_mutations, single_unit_mutations, multi_unit_mutations, apartment_count, house_count, inconsistent_mutation_values, ambiguous_geography, price_eligible_count,
+  {pct("price_eligible_count", "residential_mutations")} AS price_eligibility_rate_pct, {pct("located", "residential_units")} AS coordinate_coverage_pct,
+  {", ".join(f"p.{c} AS price_{c}" for c in ("count", "min", "max", *quality.PRICE_QUANTILES))}
+FROM ra, cl, un, so, p WHERE ra.source_year IS NULL AND cl.source_year IS NULL AND un.source_year IS NULL AND so.source_year IS NULL""")
+def global_metrics_rollup(spark, sf_dir):
+    return quality.global_metrics(raw_sales(spark, sf_dir), sales(spark, sf_dir))
+
+
+@query(f"""WITH {ENERGY_SQL}, r AS (SELECT *, CASE WHEN user_id % 22 < 21 THEN '751' || lpad(CAST(user_id % 22 + 1 AS VARCHAR), 2, '0') END AS code FROM ev),
+d AS (SELECT draw0.*, r.code, '750' || lpad(CAST(r.user_id % 20 + 1 AS VARCHAR), 2, '0') AS pcode FROM draw0 JOIN r ON draw0._id = lpad(CAST(r.event_id AS VARCHAR), 12, '0'))
+SELECT 'repeated_keys' AS section, NULL AS key, CAST(count(*) - count(DISTINCT numero_dpe) AS DOUBLE) AS value FROM d
+UNION ALL SELECT 'etiquette_dpe', etiquette_dpe, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'etiquette_ges', etiquette_ges, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'code_insee_ban', code, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'code_postal_ban', pcode, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'invalid_code_insee_ban', code, count(*) FROM d WHERE NOT coalesce(CAST(substr(code, 4) AS INTEGER) BETWEEN 1 AND 20, false) GROUP BY 2
+UNION ALL SELECT 'surface_habitable_logement', unnest(['count', 'mean', 'min', 'p50', 'max']), unnest([count(surface), {r2("avg(surface)")}, min(surface), {r2("quantile_cont(surface, 0.5)")}, max(surface)]) FROM d""")
+def diagnostic_profile(spark, sf_dir):
+    """All counts of the profile, and of the descriptions that of the surface without its deviation and outer quartiles."""
+    found = quality.sample_profile(raw_diagnostics(spark, sf_dir))
+    described = (F.col("section") == "surface_habitable_logement") & F.col("key").isin("count", "mean", "min", "p50", "max")
+    counted = F.col("section").isin("repeated_keys", "etiquette_dpe", "etiquette_ges", "code_insee_ban", "code_postal_ban", "invalid_code_insee_ban")
+    return found.filter(counted | described)
+
+
 @query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
 def value_counts(spark, sf_dir):
     return quality.value_counts(table(spark, sf_dir, "events"), "event_type")
@@ -345,7 +393,7 @@ def invalid_codes(spark, sf_dir):
     return quality.invalid_codes(market.without_duplicates(raw_sales(spark, sf_dir)))
 
 
-@query(f"WITH {SALES_SQL} SELECT CAST(count(DISTINCT arrondissement) AS INTEGER) AS n_covered, '' AS missing FROM mut")
+@query(f"WITH {SALES_SQL} SELECT CAST(count(DISTINCT arrondissement) AS INTEGER) AS n_covered, (SELECT coalesce(string_agg(CAST(d AS VARCHAR), ',' ORDER BY d), '') FROM range(1, 21) t(d) WHERE d NOT IN (SELECT arrondissement FROM mut WHERE arrondissement IS NOT NULL)) AS missing FROM mut")
 def district_coverage(spark, sf_dir):
     return quality.district_coverage(sales(spark, sf_dir))
 
@@ -469,9 +517,9 @@ def content_hash_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("sha")
 
 
-@query("SELECT doc_id FROM documents WHERE length(text) < 200")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, length(text) >= 200 AS enough FROM documents")
 def short_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.length("text") < 200).select("doc_id")
+    return corpus.enough_content(table(spark, sf_dir, "documents"), key="doc_id")
 
 
 @query("""SELECT doc_id, 'S' || CAST(doc_id % 4 AS VARCHAR) AS first_source, doc_id % 4 BETWEEN 1 AND 2 AS valid FROM documents""")
@@ -494,7 +542,11 @@ def redact_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.col("text")).alias("redacted"))
 
 
-@query()
+def searchable_sql(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower(strip_accents({x})), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"  # what case folding does to ß
+
+
+@query(f"SELECT doc_id, {searchable_sql('text')} AS normalised FROM documents")
 def search_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.search_text(F.col("text")).alias("normalised"))
 
@@ -524,18 +576,132 @@ def route_messages(spark, sf_dir):
     return conversation.with_routes(turns).select("conv_id", "turn", "route")
 
 
-@query()
+def _among(x: str, words: tuple[str, ...]) -> str:
+    return f"{x} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _any_of(x: str, words: tuple[str, ...], how: str = "contains") -> str:
+    return "(" + " OR ".join(f"{how}({x}, '{w}')" for w in words) + ")"
+
+
+def _fits(x: str, patterns: tuple[str, ...]) -> str:
+    return f"regexp_matches({x}, '{'|'.join(f'(?:{p})' for p in patterns)}')"
+
+
+C = conversation
+SCOPE = lambda x: f"(regexp_matches({x}, '\\b(?:{'|'.join(C.IN_SCOPE)})\\b') OR regexp_matches({x}, '{C.ORDINAL}'))"
+NAMED = lambda x: f"regexp_matches({x}, '^(?:{'|'.join(C.CITY)})$')"
+SHORT = "(t = '' OR len(string_split(t, ' ')) <= 12)"
+SPOKEN = " OR ".join(_among("w", (x,)) for x in C.LANGUAGES)
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, {searchable_sql("text")} AS t, coalesce({searchable_sql("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")}, '') AS b FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN {_fits("t", C.SECURITY)} THEN 'security' WHEN {_fits("t", C.CLOCK)} THEN 'clock' WHEN {_any_of("t", C.WEATHER)} THEN 'weather' WHEN {_fits("t", C.PLACE)} THEN 'location'
+  WHEN {_among("t", C.GREETINGS)} THEN 'greeting' WHEN {_among("t", C.THANKS)} THEN 'thanks' WHEN {_among("t", C.ACKNOWLEDGEMENTS)} THEN 'acknowledgement' WHEN {_among("t", C.GOODBYES)} THEN 'goodbye'
+  WHEN {_among("t", C.CAPABILITIES)} THEN 'capability' WHEN {SCOPE("t")} THEN 'model'
+  WHEN {SHORT} AND ({NAMED("t")} OR {_any_of("t", C.FOLLOW_UPS, "starts_with")} OR regexp_matches(t, '{C.ORDINAL}')) AND ({SCOPE("b")} OR {NAMED("b")}) THEN 'model'
+  WHEN {SHORT} AND len(list_filter(string_split(t, ' '), lambda w: {SPOKEN})) > 0 AND {_any_of("t", C.INSTRUCTIONS)} AND {SCOPE("b")} THEN 'model'
+  WHEN {NAMED("t")} THEN 'clarify_city' ELSE 'out_of_scope' END AS route FROM u""")
+def route_by_rules(spark, sf_dir):
+    """The ordered rules without the tolerance for misspelt greetings and languages."""
+    turns = conversation.user_turns(table(spark, sf_dir, "conversations"))
+    return conversation.with_routes(turns, misspelt=False).select("conv_id", "turn", "route")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_any_of("t", C.DPE)} AND {_any_of("t", C.STATISTICAL)} AND NOT {_any_of("t", C.MARKET)} AND NOT {_any_of("t", C.DOCUMENTARY)} THEN 'analyze_dpe' END AS allowed_tools
+FROM (SELECT conv_id, turn, {searchable_sql("text")} AS t FROM conversations WHERE role = 'user') z""")
 def tool_policy(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return conversation.with_tools(turns).select("conv_id", "turn", "allowed_tools")
 
 
-@query(f"""SELECT count(*) AS cases, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS passed_cases, {pct("count(*) FILTER (WHERE quality = 1 AND toxic = 0)", "count(*)")} AS passed_pct,
-  {pct("count(*) FILTER (WHERE quality = 1)", "count(*)")} AS route_correct_pct, {pct("count(*) FILTER (WHERE toxic = 0)", "count(*)")} AS tools_correct_pct, round(avg(doc_id % 100), 2) AS mean_latency_ms FROM labels""")
+def _recorded(spark, sf_dir):
+    """Labels as recorded answers: one of poor quality took another route, a toxic one had a tool that failed."""
+    t = table(spark, sf_dir, "labels")
+    tools_of = F.array(F.lit("get_market_overview"))
+    none = F.array().cast("array<string>")
+    return t.select(
+        F.lit("market").alias("expected_route"), F.when(F.col("quality") == 1, "market").otherwise("dpe").alias("route"), tools_of.alias("required_tools"), tools_of.alias("allowed_tools"),
+        tools_of.alias("successful_tools"), F.when(F.col("toxic") == 0, none).otherwise(tools_of).alias("failed_tools"), F.lit(True).alias("citations_required"),
+        (F.col("doc_id") % 4).cast("int").alias("n_citations"), F.array(F.lit("line")).alias("expected_charts"), F.when(F.col("doc_id") % 5 == 0, none).otherwise(F.array(F.lit("line"))).alias("charts"),
+        F.lit(False).alias("memory_expected"), (F.col("doc_id") % 7 == 0).alias("memory_used"), F.lit(None).cast("string").alias("expected_model"), F.lit("m").alias("model"),
+        F.array(F.lit("prix")).alias("required_terms"), F.when(F.col("doc_id") % 11 != 0, "Le Prix médian").otherwise(" ").alias("answer"), (F.col("doc_id") % 100).alias("latency_ms"),
+    )
+
+
+FLAGS = {
+    "route_correct": "coalesce(quality = 1, false)", "tools_correct": "coalesce(toxic = 0, false)", "citations_correct": "doc_id % 4 > 0", "charts_correct": "doc_id % 5 <> 0",
+    "memory_correct": "doc_id % 7 <> 0", "model_correct": "true", "terms_correct": "doc_id % 11 <> 0", "answer_present": "doc_id % 11 <> 0",
+}
+
+
+@query(f"""SELECT count(*) AS cases, count(*) FILTER (WHERE {' AND '.join(FLAGS.values())}) AS passed_cases, {pct(f"count(*) FILTER (WHERE {' AND '.join(FLAGS.values())})", "count(*)")} AS passed_pct,
+  {', '.join(f'{pct(f"count(*) FILTER (WHERE {v})", "count(*)")} AS {k}_pct' for k, v in FLAGS.items())}, round(avg(doc_id % 100), 2) AS mean_latency_ms FROM labels""")
 def eval_summary(spark, sf_dir):
-    good, clean = F.col("quality") == 1, F.col("toxic") == 0
-    results = table(spark, sf_dir, "labels").select(good.alias("route_correct"), clean.alias("tools_correct"), (good & clean).alias("passed"), (F.col("doc_id") % 100).alias("latency_ms"))
-    return conversation.summary(results)
+    return conversation.summary(conversation.scored(_recorded(spark, sf_dir)))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN props ELSE '{"__invalid_json__": true}' END AS arguments FROM events""")
+def checked_arguments(spark, sf_dir):
+    """Every third event's properties are whole, every third's cut, and the rest's stand in a list."""
+    x, n = F.col("props"), F.col("event_id") % 3
+    given = F.when(n == 0, x).when(n == 1, F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(F.lit("["), x, F.lit("]")))
+    return tools.checked_arguments(table(spark, sf_dir, "events").select("event_id", given.alias("arguments")))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS insufficient, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS answer FROM documents")
+def insufficient_answers(spark, sf_dir):
+    mark = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(f"{corpus.INSUFFICIENT} : "), F.regexp_replace("text", r"^\s+", ""))).otherwise(F.col("text"))
+    return corpus.checked_answers(table(spark, sf_dir, "documents").select("doc_id", mark.alias("answer")), "answer")
+
+
+@query("""WITH c AS (SELECT doc_id // 20 AS answer, doc_id AS pos, source, 'S' || CAST(doc_id % 6 AS VARCHAR) AS r, lang FROM documents),
+f AS (SELECT answer, source, r, min(pos) AS pos FROM c GROUP BY ALL), g AS (SELECT answer, source, lang, min(pos) AS pos FROM c GROUP BY ALL),
+f1 AS (SELECT answer, source, min(pos) AS place, string_agg(r, ',' ORDER BY pos) AS refs FROM f GROUP BY ALL), g1 AS (SELECT answer, source, string_agg(lang, ',' ORDER BY pos) AS sections FROM g GROUP BY ALL)
+SELECT answer, source AS url, place, refs, sections FROM f1 JOIN g1 USING (answer, source)""")
+def citation_groups(spark, sf_dir):
+    """Twenty documents in a row are an answer's citations; their origin is the url, their language the section."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 20).alias("answer"), F.col("doc_id").alias("position"), F.col("source").alias("url"), none.alias("source_id"), none.alias("title"), none.alias("publisher"),
+        F.concat(F.lit("S"), F.col("doc_id") % 6).alias("citation_id"), F.col("lang").alias("section"),
+    )
+    return corpus.grouped_citations(rows, "answer").select("answer", "url", "place", F.array_join("references", ",").alias("refs"), F.array_join("sections", ",").alias("sections"))
+
+
+# --- the corpus -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS total_chunks, count(*) FILTER (WHERE doc_id % 5 = 0 OR doc_id % 7 = 0) AS embedded_chunks, count(*) FILTER (WHERE NOT (doc_id % 5 = 0 OR doc_id % 7 = 0)) AS unchanged_chunks,
+  count(*) FILTER (WHERE doc_id % 100 = 0) AS deleted_stale_chunks, count(DISTINCT source) AS source_count, 'm1' AS model, 64 AS dimensions FROM documents""")
+def embedding_summary(spark, sf_dir):
+    chunks, known = _index(spark, sf_dir)
+    return corpus.embedding_summary(chunks, known, "m1", 64)
+
+
+def _manifest(spark, sf_dir):
+    """Documents as manifest entries; every ninth failed."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        n.cast("string").alias("source_id"), F.when(n % 9 == 0, "failed").otherwise("chunked").alias("status"), F.sha2("text", 256).alias("processed_sha256"), F.sha2("source", 256).alias("raw_sha256"),
+        F.lit("v1").alias("chunking_version"), F.lit("{}").alias("configuration"), F.sha2(n.cast("string"), 256).alias("output_sha256"), (n % 7).alias("chunk_count"), F.col("n_chars").alias("character_count"),
+    )
+
+
+@query("SELECT count(*) AS total_sources, CAST(sum(doc_id % 7) AS BIGINT) AS total_chunks, CAST(sum(n_chars) AS BIGINT) AS total_characters FROM documents WHERE doc_id % 9 <> 0")
+def corpus_totals(spark, sf_dir):
+    return corpus.corpus_totals(_manifest(spark, sf_dir))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 4 <> 0 AND doc_id % 6 <> 1 AND doc_id % 10 <> 3")
+def unchanged_sources(spark, sf_dir):
+    """Against a manifest, every fourth has another text, some another version, and some no stored output."""
+    n = F.col("source_id").cast("long")
+    now = _manifest(spark, sf_dir).withColumns({
+        "processed_sha256": F.when(n % 4 == 0, "changed").otherwise(F.col("processed_sha256")), "chunking_version": F.when(n % 6 == 1, "v2").otherwise(F.col("chunking_version")),
+        "output_sha256": F.when(n % 10 != 3, F.col("output_sha256")),
+    })
+    return corpus.unchanged_sources(now, _manifest(spark, sf_dir)).select("source_id")
 
 
 # --- checks of what is stored and answered --------------------------------------------------------------------------
