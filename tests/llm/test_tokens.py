@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -167,3 +168,40 @@ def test_next_documents(spark, n):
 def test_digest_ties_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, None)], "doc_id long, text string")
     assert quartile_digest.compare_with_next(docs).count() == 4 and quartile_digest.fingerprints(docs).count() == 4
+
+
+def plain_digest(raw: bytes) -> str:
+    """The digest with loops over windows and buckets, from its description."""
+    counts = [0] * quartile_digest.BUCKETS
+    for at in range(len(raw) - 3):
+        for k, places in enumerate(quartile_digest.TRIPLETS):
+            bucket = 0
+            for n, place in enumerate(places):
+                bucket ^= int(quartile_digest.TABLES[3 * k + n][raw[at + place]])
+            counts[bucket] += 1
+    ranked = sorted(counts)
+    q = [ranked[31], ranked[63], ranked[95]]
+    bits = "".join(format(sum(c > x for x in q), "02b") for c in counts)
+    length = 0
+    while length < 255 and 1.1 ** (length + 1) <= len(raw) + 1:
+        length += 1
+    ratios = [15 * q[0] // q[2], 15 * q[1] // q[2]] if q[2] else [0, 0]
+    return f"{length:02x}{ratios[0]:x}{ratios[1]:x}{int(bits, 2):064x}"
+
+
+def plain_difference(a: str, b: str) -> int:
+    steps = {0: 0, 1: 1, 2: 2, 3: 6}
+    codes = lambda x: [int(format(int(x[4:], 16), "0256b")[2 * i : 2 * i + 2], 2) for i in range(128)]
+    own = min(48, 2 * abs(int(a[:2], 16) - int(b[:2], 16))) + min(16, sum(abs(int(a[i], 16) - int(b[i], 16)) for i in (2, 3)))
+    return own + sum(steps[abs(x - y)] for x, y in zip(codes(a), codes(b), strict=True))
+
+
+def test_digest_against_plain_loops():
+    words = ["alpha", "béta", "汉字", "of", "and", "🙂", "\n", "0"]
+    rng = random.Random(3)
+    texts = ["", "a", "abc", "abcd", "a" * 3000] + [" ".join(rng.choices(words, k=n)) for n in (3, 10, 50, 300, 4000)]
+    digests = [quartile_digest.fingerprint(t) for t in texts]
+    assert digests == [plain_digest(t.encode()) for t in texts]
+    for a in digests:
+        for b in digests:
+            assert quartile_digest.difference(a, b) == plain_difference(a, b)
