@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from arpent.llm import url_reputation
+from arpent.llm import filter_audit, url_reputation
 from arpent.llm.common import table
 
 QUERIES: dict = {}
@@ -58,7 +58,7 @@ FROM p LEFT JOIN r ON p.payload_digest = r.payload_digest AND payload_bytes >= 1
 
 @query
 def op3_url_reputation(spark, sf_dir):
-    from arpent.llm import url_reputation
+    from arpent.llm import filter_audit, url_reputation
 
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -105,3 +105,27 @@ def op1_pitman_yor(spark, sf_dir):
     from arpent.llm import pitman_yor
 
     return pitman_yor.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    from arpent.llm import periodic_runs
+
+    return periodic_runs.summarized(periodic_runs.with_planted(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op13_token_counts(spark, sf_dir):
+    """Each call starts from an empty cache, unless the session names one to keep."""
+    from arpent.llm import token_counts
+
+    cache = spark.conf.get(token_counts.CACHE_SETTING, None)
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
