@@ -38,8 +38,8 @@ ROUNDS = 8
 #: A key for demonstrations, and the session's setting by which the query and the pipeline are given another.
 KEY, KEY_SETTING = "arpent-demonstration-key", "spark.arpent.pseudonym.key"
 
-#: The formats.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: The formats. A group that repeats without a bound is possessive, so that it is a loop, not a recursion.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])"
 NATIONAL = r"(?<![0-9A-Za-z(+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
 #: Characters of an IBAN by country: those of the registry, then those in use without being registered.
