@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import os
+import urllib.error
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -18,6 +21,18 @@ class FetchError(RuntimeError):
     """A response that cannot be used."""
 
 
+def https(url: str) -> tuple[int, dict, bytes]:
+    """A transport by the standard library; other answers than 200 are told by their status."""
+    if urlsplit(url).scheme != "https":
+        raise FetchError(f"{url} is not https")
+    try:
+        with urllib.request.urlopen(url, timeout=60) as answer:
+            headers = {k.lower(): v for k, v in answer.headers.items()} | {"x-final-url": answer.geturl()}
+            return answer.status, headers, answer.read()
+    except urllib.error.HTTPError as problem:
+        return problem.code, {}, b""
+
+
 def get(transport: Transport, url: str, sleep: Callable[[float], None], tries: int = 5, first: float = 1.0, most: float = 30.0) -> tuple[dict, bytes]:
     """Repeat with doubled pauses up to `most` seconds on 429, server and transport errors."""
     for attempt in range(tries):
@@ -100,7 +115,9 @@ def acquired_years(transport: Transport, urls: dict[int, str], folder: str, know
             continue
         body = get(transport, url, sleep)[1]
         try:
-            gzip.decompress(body)
+            with gzip.open(io.BytesIO(body)) as f:
+                while f.read(1 << 20):  # to its end, without keeping what is read
+                    pass
         except (OSError, EOFError, zlib.error) as problem:
             raise FetchError(f"{url} is no whole gzip file") from problem
         found[year] = path, _kept(path, body), "downloaded"
@@ -123,11 +140,23 @@ def acquired_snapshot(transport: Transport, url: str, folder: str, refresh: bool
     if not refresh and snapshot_is_valid(folder):
         return "reused"
     expected = announced_total(transport, url, sleep)
-    batches = list(pages(transport, url, sleep))
-    rows = [r for b in batches for r in b]
-    if len(rows) != expected:
-        raise FetchError(f"{url} announced {expected} rows and gave {len(rows)}")
-    sha = _kept(os.path.join(folder, "snapshot.json"), json.dumps({"total": expected, "results": rows}, ensure_ascii=False).encode())
-    told = {"complete": True, "expected_total": expected, "retrieved_rows": len(rows), "page_count": len(batches), "sha256": sha}
+    path, digest, n_rows, n_pages = os.path.join(folder, "snapshot.json"), hashlib.sha256(), 0, 0
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{path}.part", "wb") as f:
+
+        def put(text: str) -> None:
+            f.write(text.encode())
+            digest.update(text.encode())
+
+        put(f'{{"total": {expected}, "results": [')
+        for rows in pages(transport, url, sleep):  # a page at a time
+            put("".join((", " if n_rows + k else "") + json.dumps(r, ensure_ascii=False) for k, r in enumerate(rows)))
+            n_rows, n_pages = n_rows + len(rows), n_pages + 1
+        put("]}")
+    if n_rows != expected:
+        os.remove(f"{path}.part")
+        raise FetchError(f"{url} announced {expected} rows and gave {n_rows}")
+    os.replace(f"{path}.part", path)
+    told = {"complete": True, "expected_total": expected, "retrieved_rows": n_rows, "page_count": n_pages, "sha256": digest.hexdigest()}
     _kept(os.path.join(folder, "manifest.json"), json.dumps(told).encode())
     return "downloaded"
