@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import percent, rounded
+from arpent.operators import quantiles
 from arpent.policy import DEFAULT, Policy, checked_areas, checked_district, checked_years, includes_partial
 
 
@@ -40,14 +41,15 @@ def spine(spark: SparkSession, start: int, end: int, name: str) -> DataFrame:
 def market_overview(facts: DataFrame, start: int | None = None, end: int | None = None, area: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
     """One row; without sales counts are 0 and prices null."""
     start, end = _scope(start, end, area, policy)
-    one = _in_scope(facts, "source_year", start, end, area).agg(
-        F.count("*").alias("total_count"),
-        F.count_if("is_price_per_m2_eligible").alias("eligible_count"),
-        F.count_if(_market(policy)).alias("market_count"),
-        rounded(_quantile(F.col("price_per_m2_raw"), 0.5, F.col("is_price_per_m2_eligible"))).alias("raw_median"),
-        *(rounded(_price(q, policy)).alias(n) for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))),
-        rounded(_quantile(F.col("residential_surface").cast("double"), 0.5)).alias("median_surface"),
-    )
+    price, quarters = F.col("price_per_m2_raw"), (("median", 0.5), ("p25", 0.25), ("p75", 0.75))
+    measures = {
+        "rows": F.lit(0.0), "eligible": F.when(F.col("is_price_per_m2_eligible"), F.lit(0.0)), "raw": F.when(F.col("is_price_per_m2_eligible"), price),
+        "in_band": F.when(_market(policy), F.lit(0.0)), "price": F.when(_market(policy), price), "surface": F.col("residential_surface"),
+    }
+    asked = {"raw_median": ("raw", 0.5)} | {n: ("price", q) for n, q in quarters} | {"median_surface": ("surface", 0.5)}
+    found = quantiles.exact(_in_scope(facts, "source_year", start, end, area), measures, asked)
+    counts = {"total_count": "n_rows", "eligible_count": "n_eligible", "market_count": "n_in_band"}
+    one = found.select(*(F.col(c).alias(n) for n, c in counts.items()), *(rounded(F.col(n)).alias(n) for n in asked))
     warnings = F.array_compact(F.array(
         F.when(F.col("total_count") == 0, "no sales in this scope"),
         F.when((F.col("market_count") == 0) & (F.col("eligible_count") > 0), "all eligible prices lie outside the band"),
@@ -173,10 +175,11 @@ def poor_labels(facts: DataFrame, start: int | None = None, end: int | None = No
 
 def intensity_summary(facts: DataFrame, start: int | None = None, end: int | None = None, area: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
     start, end = _scope(start, end, area, policy)
-    x = {"consumption": "conso_5_usages_par_m2_ep", "emission": "emission_ges_5_usages_par_m2"}
-    quartiles = [rounded(_quantile(F.col(c).cast("double"), q)).alias(f"{n}_{m}") for n, c in x.items() for m, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
-    surface = rounded(_quantile(F.col("surface_habitable_logement").cast("double"), 0.5)).alias("median_surface")
-    found = _dwellings(facts, "is_intensity_analysis_eligible", start, end, area).agg(F.count("*").alias("n"), *quartiles, surface)
+    columns = {"consumption": "conso_5_usages_par_m2_ep", "emission": "emission_ges_5_usages_par_m2", "surface": "surface_habitable_logement"}
+    asked = {f"{c}_{n}": (c, q) for c in ("consumption", "emission") for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))} | {"median_surface": ("surface", 0.5)}
+    dwellings = _dwellings(facts, "is_intensity_analysis_eligible", start, end, area)
+    found = quantiles.exact(dwellings, {"rows": F.lit(0.0)} | {n: F.col(c) for n, c in columns.items()}, asked)
+    found = found.select(F.col("n_rows").alias("n"), *(rounded(F.col(n)).alias(n) for n in asked))
     return found.withColumn("warnings", F.when(F.col("n") == 0, "no intensities in this scope").otherwise(""))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arpent.functions.columns import district, holds, percent, rounded
 from arpent.operators import market
+from arpent.operators.quantiles import exact
 
 #: Natures that are counted but not analysed.
 EXCLUDED_NATURES = ("Vente en l'état futur d'achèvement", "Échange", "Adjudication", "Vente terrain à bâtir")
@@ -21,10 +22,9 @@ SUMMARY_QUANTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "median": 0.5, "p75":
 
 def quantiles(rows: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
     """One row: count, min, max and exact interpolated quantiles; nulls and NaN count for nothing."""
-    x = F.col(column).cast("double")
-    rows = rows.select(F.when(~F.isnan(x), x).alias("x"))
-    found = rows.agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.array(*(F.lit(q) for q in at.values()))).alias("q"))
-    return found.select("count", rounded(F.col("min")).alias("min"), rounded(F.col("max")).alias("max"), *(rounded(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(at)))
+    asked = {"min": 0.0, "max": 1.0} | at
+    found = exact(rows, {"x": F.col(column)}, {n: ("x", q) for n, q in asked.items()})
+    return found.select(F.col("n_x").alias("count"), *(rounded(F.col(n)).alias(n) for n in asked))
 
 
 def price_distribution(found: DataFrame) -> DataFrame:
@@ -78,10 +78,11 @@ def district_coverage(rows: DataFrame, most: int = 20) -> DataFrame:
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, extremes and exact quartiles."""
     x = F.col(column).cast("double")
-    return rows.agg(
-        F.count(x).alias("count"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"),
-        *(rounded(F.percentile(x, q)).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))), F.max(x).alias("max"),
-    )
+    x = F.when(~F.isnan(x), x)
+    one = rows.agg(F.count(x).alias("count"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    quartiles = exact(rows, {"x": x}, {"p25": ("x", 0.25), "p50": ("x", 0.5), "p75": ("x", 0.75)})
+    quartiles = quartiles.select(*(rounded(F.col(n)).alias(n) for n in ("p25", "p50", "p75")))
+    return one.crossJoin(F.broadcast(quartiles)).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")  # two frames of one row
 
 
 def rows_per_key(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
