@@ -66,6 +66,15 @@ def without_duplicates(rows: DataFrame) -> DataFrame:
     return rows.repartition(*KEY).dropDuplicates()
 
 
+#: How often a row without duplicates was there.
+COPIES = "n_copies"
+
+
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """Exact duplicates once, with how often each row was there; dealt by the key of mutations as well."""
+    return rows.repartition(*KEY).groupBy(*rows.columns).agg(F.count("*").alias(COPIES))
+
+
 def is_residential() -> Column:
     return F.col("type_local").isin(APARTMENT, HOUSE)
 

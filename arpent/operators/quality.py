@@ -98,23 +98,30 @@ def rows_per_key(rows: DataFrame, key: str, value: str, kind: str) -> DataFrame:
 
 
 def year_metrics(rows: DataFrame) -> DataFrame:
-    """A row for each year of raw sale rows, and one with a null year for all: additive counts by rollup, shares anew.
-    Mutations of all years are the sum of the years', as ids belong to a year."""
+    """A row for each year of raw sale rows, and one with a null year for all."""
+    clean = market.counted_rows(rows)
+    once = clean.drop(market.COPIES)
+    return stored_year_metrics(clean, market.components(once), market.with_eligibility(market.mutations(once)))
+
+
+def stored_year_metrics(clean: DataFrame, components: DataFrame, found: DataFrame) -> DataFrame:
+    """The metrics from rows without duplicates with their copies counted, their components and their mutations: additive
+    counts by rollup, shares anew. Mutations of all years are the sum of the years', as ids belong to a year."""
     by = lambda df, *aggs: df.rollup("source_year").agg(F.grouping("source_year").cast("int").alias("g"), *aggs)
-    deduped = market.without_duplicates(rows)
-    raw = by(rows, F.count("*").alias("raw_rows"))
     sale = F.col("nature_mutation") == market.SALE
-    years = deduped.groupBy("source_year", "id_mutation").agg(
-        F.count("*").alias("n"), F.count_if(sale & district(F.col("code_commune")).isNull()).alias("bad"),
+    years = clean.groupBy("source_year", "id_mutation").agg(
+        F.sum(market.COPIES).alias("raw"), F.count("*").alias("n"), F.count_if(sale & district(F.col("code_commune")).isNull()).alias("bad"),
         F.count_if(~holds(sale)).alias("other"),
     )
-    clean = by(years, F.sum("n").alias("deduplicated_rows"), F.count("id_mutation").alias("unique_mutations"), F.sum("bad").alias("invalid_paris_codes"), F.sum("other").alias("excluded_nature_rows"))
+    raw = by(
+        years, F.sum("raw").alias("raw_rows"), F.sum("n").alias("deduplicated_rows"), F.count("id_mutation").alias("unique_mutations"),
+        F.sum("bad").alias("invalid_paris_codes"), F.sum("other").alias("excluded_nature_rows"),
+    )
     surface = F.col("surface_reelle_bati")
     units = by(
-        market.components(deduped), F.count("*").alias("residential_units"), F.count_if(~holds(surface > 0)).alias("invalid_or_missing_surfaces"),
+        components, F.count("*").alias("residential_units"), F.count_if(~holds(surface > 0)).alias("invalid_or_missing_surfaces"),
         F.count_if(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).alias("with_coordinates"),
     )
-    found = market.with_eligibility(market.mutations(deduped))
     sold = by(
         found, F.count("*").alias("residential_mutations"), F.count_if(F.col("residential_unit_count") == 1).alias("single_unit_mutations"),
         F.count_if(F.col("residential_unit_count") > 1).alias("multi_unit_mutations"), F.sum("apartment_count").alias("apartment_count"),
@@ -122,7 +129,7 @@ def year_metrics(rows: DataFrame) -> DataFrame:
         F.count_if(~F.col("geo_consistent")).alias("ambiguous_geography"), F.count_if("is_price_per_m2_eligible").alias("price_eligible_count"),
     )
     joined = raw
-    for other in (clean, units, sold):  # as many rows as years
+    for other in (units, sold):  # as many rows as years
         both = (joined["g"] == other["g"]) & joined["source_year"].eqNullSafe(other["source_year"])
         joined = joined.join(other, both, "left").drop(other["g"]).drop(other["source_year"])
     counts = [c for c in joined.columns if c not in ("source_year", "g")]

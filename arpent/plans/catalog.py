@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arpent.functions import text
 from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
-from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, vectors
+from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, reports, vectors
 from arpent.plans import corpus, runs, tools
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
@@ -406,6 +406,43 @@ def energy_report(spark, sf_dir):
     return quality.energy_report(diagnostics(spark, sf_dir))
 
 
+MISSING = {"numero_dpe": "numero_dpe", "date_etablissement_dpe": "date_etablissement_dpe", "etiquette_dpe": "etiquette_dpe", "etiquette_ges": "etiquette_ges", "surface_habitable_logement": "surface",
+    "conso_5_usages_par_m2_ep": "conso", "emission_ges_5_usages_par_m2": "emission", "code_insee_ban": "code_insee_ban", "_geopoint": "_geopoint"}
+COUNTED = {"population": "analysis_population", "year": "diagnostic_year", "district": "arrondissement", "dpe_label": "etiquette_dpe_norm", "ges_label": "etiquette_ges_norm", "building_type": "type_norm",
+    "construction_period": "NULL", "label_exclusions": "label_exclusion_reason", "intensity_exclusions": "intensity_exclusion_reason"}
+TOTALS = {"processed_rows": "count(*)", "label_analysis_eligible_rows": "count(*) FILTER (WHERE is_label_analysis_eligible)", "intensity_analysis_eligible_rows": "count(*) FILTER (WHERE intensity_exclusion_reason IS NULL)",
+    "complete_analysis_year_count": "count(*) FILTER (WHERE diagnostic_year BETWEEN 2021 AND 2025)", "partial_year_count": "count(*) FILTER (WHERE diagnostic_year = 2026)",
+    "apartment_count": "count(*) FILTER (WHERE type_norm = 'appartement')", "house_count": "count(*) FILTER (WHERE type_norm = 'maison')", "whole_building_count": "count(*) FILTER (WHERE type_norm = 'immeuble')",
+    "geography_inconsistencies": "count(*) FILTER (WHERE NOT is_geography_consistent)", "coordinate_coverage_pct": pct("count(_geopoint)", "count(*)"), "districts_covered": "count(DISTINCT arrondissement)"}
+SPREAD = {"min": 0, "max": 1} | quality.SUMMARY_QUANTILES
+
+
+def _sections_sql() -> str:
+    """Every section of the report on diagnostics."""
+    one = lambda section, key, value, source="g": f"SELECT '{section}' AS section, '{key}' AS key, CAST({value} AS DOUBLE) AS value, NULL AS text FROM {source}"
+    parts = [one("totals", k, v) for k, v in TOTALS.items()]
+    gone = "range(1, 21) t(d) WHERE d NOT IN (SELECT arrondissement FROM g WHERE arrondissement IS NOT NULL)"
+    parts.append(f"SELECT 'totals', 'districts_missing', CAST(count(*) AS DOUBLE), coalesce(string_agg(CAST(d AS VARCHAR), ',' ORDER BY d), '') FROM {gone}")
+    parts += [f"SELECT 'establishment_date', '{k}', NULL, CAST({k}(date_etablissement_dpe) AS VARCHAR) FROM g" for k in ("min", "max")]
+    parts += [one("missing_pct", k, pct(f"count(*) FILTER (WHERE {c} IS NULL)", "count(*)")) for k, c in MISSING.items()]
+    parts += [f"SELECT '{k}', CAST({c} AS VARCHAR), CAST(count(*) AS DOUBLE), NULL FROM g GROUP BY {c}" if c != "NULL" else f"SELECT '{k}', NULL, CAST(count(*) AS DOUBLE), NULL FROM g" for k, c in COUNTED.items()]
+    parts.append("""SELECT 'building_type_observed', CASE event_type WHEN 'view' THEN 'appartement' WHEN 'click' THEN 'maison' WHEN 'signup' THEN ' Appartement ' WHEN 'purchase' THEN 'immeuble' ELSE 'chateau' END AS k,
+  CAST(count(*) AS DOUBLE), NULL FROM events GROUP BY k""")
+    for m, c in (("surface", "surface"), ("consumption", "conso"), ("emissions", "emission")):
+        parts += [one(f"{m}_quantiles", k, r2(f"quantile_cont({c}, {q})")) for k, q in SPREAD.items()] + [one(f"{m}_quantiles", "count", f"count({c})")]
+    parts += [one("retrieval", "rows_retrieved", "count(*)", "draw0"), one("duplicates", "exact_duplicates", "count(*) - count(DISTINCT _id)", "draw0"), one("duplicates", "unique_numero_dpe", "count(DISTINCT numero_dpe)", "draw0")]
+    parts += [one("duplicates", "missing_numero_dpe", "count(*) FILTER (WHERE numero_dpe IS NULL)", "draw0"), one("duplicates", "conflicting_duplicates", "count(*)", "(SELECT numero_dpe FROM draw0 GROUP BY 1 HAVING count(*) > 1) z")]
+    parts.append(f"SELECT 'outlier_policy', NULL, NULL, '{reports.OUTLIERS}'")
+    return f"""WITH {ENERGY_SQL}, g AS (SELECT diag.*, CASE WHEN user_id % 22 < 21 THEN '751' || lpad(CAST(user_id % 22 + 1 AS VARCHAR), 2, '0') END AS code_insee_ban
+  FROM diag JOIN events ON diag._id = lpad(CAST(event_id AS VARCHAR), 12, '0')) """ + " UNION ALL ".join(parts)
+
+
+@query(_sections_sql())
+def energy_sections(spark, sf_dir):
+    """The whole report on diagnostics: totals, counts, quantiles, missing values, duplicates and observed types."""
+    return reports.energy_sections(diagnostics(spark, sf_dir), raw_diagnostics(spark, sf_dir))
+
+
 @query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT event_id, CASE WHEN k - 5 BETWEEN -90 AND 90 AND k * 3 BETWEEN -180 AND 180 THEN CAST(k - 5 AS DOUBLE) END AS latitude,
   CASE WHEN k - 5 BETWEEN -90 AND 90 AND k * 3 BETWEEN -180 AND 180 THEN CAST(k * 3 AS DOUBLE) END AS longitude FROM k""")

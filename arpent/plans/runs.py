@@ -1,40 +1,95 @@
 """Composed runs: from files to stored tables and reports, and checks of what is stored and answered.
 
-Each run writes its tables before it reports, and the reports are taken from the stored tables, so nothing is computed
-twice. Empty inputs give empty tables and reports of zeros."""
+Each run writes its tables before it reports, and the reports are taken from the stored tables, so duplicates are removed
+and mutations made once. Empty inputs give empty tables and reports of zeros."""
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from arpent.operators import analytics, energy, loading, market, quality
+from arpent.operators import analytics, energy, loading, market, quality, reports
 from arpent.policy import DEFAULT, Policy
-from arpent.sources import files
+from arpent.sources import fetch, files
 
 
-def curate_sales(rows: DataFrame, out: str) -> DataFrame:
-    """Mutations and components of raw sale rows as Parquet, and the metrics of every year as JSON; returns the metrics."""
-    market.curated(rows).write.mode("overwrite").parquet(f"{out}/mutations")
-    market.components(market.without_duplicates(rows)).write.mode("overwrite").parquet(f"{out}/components")
-    quality.year_metrics(rows).coalesce(1).write.mode("overwrite").json(f"{out}/metrics")  # a row for each year
-    return rows.sparkSession.read.json(f"{out}/metrics")
+def _written(rows: DataFrame, path: str, years: bool = True) -> DataFrame:
+    """rows stored at path, where only the years that they have are replaced, and read back."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if years else "static")
+    (writer.partitionBy("source_year") if years else writer).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def sales_run(spark: SparkSession, sources: dict[int, tuple[str, str]], out: str) -> DataFrame:
-    """The whole run over all years; sources: the path and the checksum of each year's file. Rows are checked and get
-    their lineage year by year, and their mutations stay apart by year."""
-    years = [files.checked_sales(spark, path, year, sha256) for year, (path, sha256) in sorted(sources.items())]
-    return curate_sales(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years), out)
+def _text(spark: SparkSession, path: str, text: str) -> None:
+    spark.createDataFrame([(line,) for line in text.split("\n")], "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def curate_sales(rows: DataFrame, out: str, years: list[int] | None = None) -> DataFrame:
+    """Raw sale rows to tables by year: `clean`, rows without exact duplicates and how often each was there, `components` and
+    `mutations`. Years that the rows do not have stay as they are. Then the metrics of every year, over all stored years,
+    as JSON; returns the metrics. `years`, if known, spares a look into the rows."""
+    spark = rows.sparkSession
+    clean = _written(market.counted_rows(rows), f"{out}/clean")
+    fresh = clean if years is None else clean.filter(F.col("source_year").isin(years))
+    once = fresh.drop(market.COPIES)
+    sold = _written(market.with_eligibility(market.mutations(once)), f"{out}/mutations")
+    units = _written(market.components(once), f"{out}/components")
+    quality.stored_year_metrics(clean, units, sold).coalesce(1).write.mode("overwrite").json(f"{out}/metrics")  # a row for each year
+    return spark.read.json(f"{out}/metrics")
 
 
-def diagnostics_run(spark: SparkSession, path: str, out: str, policy: Policy = DEFAULT) -> DataFrame:
-    """Snapshot files to curated diagnostics as Parquet and a report of one row as JSON; returns the report."""
-    curated = energy.curated(files.snapshot(spark, path), policy)
+def _known(spark: SparkSession, out: str) -> dict[int, str]:
+    """The checksum of each year's file that the tables hold."""
+    try:
+        rows = spark.read.schema("source_year int, sha256 string, at long").json(f"{out}/manifest")
+        newest = rows.groupBy("source_year").agg(F.max_by("sha256", "at").alias("sha256"))
+        return {r.source_year: r.sha256 for r in newest.collect()}  # a row for each year
+    except AnalysisException:  # no run so far
+        return {}
+
+
+def sales_run(spark: SparkSession, sources: dict[int, tuple[str, str]], out: str) -> DataFrame:
+    """The whole run; sources: the path and the checksum of each year's file. Only years whose checksum changed are read
+    and curated, and of the stored tables only their partitions are written. Metrics by year and over all years, with
+    the distribution of prices, are made from the stored tables, as JSON and as Markdown. Years count as done when all of
+    their tables are written, so a run that fails is repeated for them."""
+    known = _known(spark, out)
+    changed = {year: s for year, s in sorted(sources.items()) if known.get(year) != s[1]}
+    if not changed:
+        return spark.read.json(f"{out}/metrics")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (files.checked_sales(spark, path, year, sha256) for year, (path, sha256) in changed.items()))
+    metrics = curate_sales(rows, out, sorted(changed))
+    sold = spark.read.parquet(f"{out}/mutations")
+    prices = quality.price_distribution(sold)
+    prices.coalesce(1).write.mode("overwrite").json(f"{out}/price_distribution")
+    by_year = metrics.orderBy(F.asc_nulls_last("source_year"))
+    _text(spark, f"{out}/report", quality.as_markdown(by_year, "Sales by year") + "\n" + quality.as_markdown(prices, "Prices per square metre"))
+    done = spark.createDataFrame([(year, sha256, time.time_ns()) for year, (_, sha256) in changed.items()], "source_year int, sha256 string, at long")
+    done.coalesce(1).write.mode("append").json(f"{out}/manifest")
+    return metrics
+
+
+def acquired_sales_run(spark: SparkSession, transport: fetch.Transport, urls: dict[int, str], folder: str, out: str) -> DataFrame:
+    """From the yearly files' urls to stored tables and reports. Files whose checksum is known are not fetched again, and
+    years whose files did not change are not curated again. `folder` is one that all machines share."""
+    found = fetch.acquired_years(transport, urls, folder, _known(spark, out))
+    return sales_run(spark, {year: (path, sha256) for year, (path, sha256, _) in found.items()}, out)
+
+
+def diagnostics_run(spark: SparkSession, path: str, out: str, policy: Policy = DEFAULT, manifest: dict | None = None) -> DataFrame:
+    """Snapshot files to curated diagnostics as Parquet, a report of one row as JSON, and the whole report in sections as
+    JSON and Markdown; returns the report of one row. manifest: what was told of the snapshot when it was fetched."""
+    raw = files.snapshot(spark, path)
+    curated = _written(energy.curated(raw, policy), f"{out}/curated", years=False)
     curated.drop("_geopoint").write.mode("overwrite").parquet(f"{out}/diagnostics")
     quality.energy_report(curated).coalesce(1).write.mode("overwrite").json(f"{out}/report")
+    reports.energy_sections(curated, raw, manifest, policy.districts).coalesce(1).write.mode("overwrite").json(f"{out}/sections")
+    sections = spark.read.schema(reports.SHAPE).json(f"{out}/sections")
+    _text(spark, f"{out}/markdown", reports.as_markdown(sections, "Energy diagnostics", "Aggregates of the diagnostics at hand, not of the whole housing stock."))
     return spark.read.json(f"{out}/report")
 
 

@@ -26,10 +26,75 @@ def test_sales_run(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/out/components").count() == 3
 
 
+def _years(tmp_path, **rows):
+    flat = "{id},{y}-03-04,Vente,300000,75115,75015,Appartement,50,2,p{id},2.3,48.8"
+    for y, ids in rows.items():
+        (tmp_path / f"{y[1:]}.csv").write_text("\n".join([HEAD, *(flat.format(id=i, y=y[1:]) for i in ids)]))
+
+
+def test_a_second_run_writes_changed_years_alone(spark, tmp_path, monkeypatch):
+    from arpent.operators import market
+
+    monkeypatch.setattr(market, "check_schema", lambda rows: None)
+    out = tmp_path / "out"
+    files_of = lambda: {(t, y): sorted(p.name for p in (out / t / f"source_year={y}").glob("*.parquet")) for t in ("clean", "components", "mutations") for y in (2021, 2022)}
+    _years(tmp_path, y2021=[1, 1, 2], y2022=[1])
+    sources = {2021: (f"{tmp_path}/2021.csv", "a"), 2022: (f"{tmp_path}/2022.csv", "b")}
+    runs.sales_run(spark, sources, str(out))
+    first, wrote = files_of(), (out / "manifest").stat().st_mtime_ns
+    again = {r.source_year: r.residential_mutations for r in runs.sales_run(spark, sources, str(out)).collect()}
+    assert again == {2021: 2, 2022: 1, None: 3} and files_of() == first and (out / "manifest").stat().st_mtime_ns == wrote
+    _years(tmp_path, y2022=[1, 5, 6, 6])
+    (tmp_path / "2021.csv").unlink()  # an unchanged year is not read
+    got = {r.source_year: r for r in runs.sales_run(spark, sources | {2022: (f"{tmp_path}/2022.csv", "c")}, str(out)).collect()}
+    assert {y: (r.raw_rows, r.exact_duplicates, r.residential_mutations) for y, r in got.items()} == {2021: (3, 1, 2), 2022: (4, 1, 3), None: (7, 2, 5)}
+    now = files_of()
+    assert all((now[t, y] == first[t, y]) == (y == 2021) for t, y in now)
+    assert spark.read.json(f"{out}/price_distribution").first()["count"] == 5
+    said = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
+    assert "# Sales by year" in said and "# Prices per square metre" in said and "2022" in said
+
+
+def test_a_failed_run_is_repeated(spark, tmp_path, monkeypatch):
+    from arpent.operators import market, quality
+
+    monkeypatch.setattr(market, "check_schema", lambda rows: None)
+    _years(tmp_path, y2021=[1])
+    sources, kept = {2021: (f"{tmp_path}/2021.csv", "a")}, quality.price_distribution
+    monkeypatch.setattr(quality, "price_distribution", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        runs.sales_run(spark, sources, f"{tmp_path}/out")
+    monkeypatch.setattr(quality, "price_distribution", kept)
+    assert runs.sales_run(spark, sources, f"{tmp_path}/out").filter("source_year = 2021").first().residential_mutations == 1
+
+
+def test_acquired_sales_run(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from arpent.operators import market
+
+    monkeypatch.setattr(market, "check_schema", lambda rows: None)
+    _years(tmp_path, y2021=[1, 2], y2022=[3])
+    asked = []
+
+    def transport(url):
+        asked.append(url)
+        return 200, {}, gzip.compress((tmp_path / f"{url}.csv").read_bytes(), mtime=0)
+
+    run = lambda: runs.acquired_sales_run(spark, transport, {2021: "2021", 2022: "2022"}, f"{tmp_path}/raw", f"{tmp_path}/out")
+    assert {r.source_year: r.residential_mutations for r in run().collect()} == {2021: 2, 2022: 1, None: 3} and asked == ["2021", "2022"]
+    assert run().count() == 3 and asked == ["2021", "2022"]  # known checksums are not fetched again
+
+
 def test_diagnostics_run(spark, tmp_path):
     one = {"numero_dpe": "a", "date_etablissement_dpe": "2023-05-06", "etiquette_dpe": "C", "type_batiment": "appartement", "_id": "1"}
     (tmp_path / "s.json").write_text(json.dumps({"results": [one, {**one, "_id": "2"}, {**one, "numero_dpe": "b", "etiquette_dpe": "G"}]}))
     report = runs.diagnostics_run(spark, f"{tmp_path}/s.json", f"{tmp_path}/out").first()
+    said = {(r.section, r.key): (r.value, r.text) for r in spark.read.json(f"{tmp_path}/out/sections").collect()}
+    assert said["duplicates", "conflicting_duplicates"][0] == 1 and said["dpe_label", "G"][0] == 1 and said["building_type_observed", "appartement"][0] == 3
+    assert said["totals", "districts_missing"] == (20, ",".join(map(str, range(1, 21)))) and said["establishment_date", "max"][1] == "2023-05-06"
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/markdown").collect()]
+    assert lines[0] == "# Energy diagnostics" and "## Building type observed" in lines and "- appartement: 3" in lines
     assert report.processed_rows == 2 and spark.read.parquet(f"{tmp_path}/out/diagnostics").count() == 2
     assert files.snapshot(spark, f"{tmp_path}/s.json").count() == 3
 
