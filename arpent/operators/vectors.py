@@ -1,9 +1,12 @@
-"""Exact cosine retrieval: top-k with a filter, abstention, and the bounded context of an answer."""
+"""Exact cosine retrieval: top-k with a filter, for one question or many at once, abstention, and the bounded context of an
+answer."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,79 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", e
     return top.withColumn("rank", F.row_number().over(order))
 
 
+#: Bytes of a block of vectors and of a block of questions; a pair of blocks is one matrix product.
+VECTOR_BYTES, QUESTION_BYTES = 4_000_000, 250_000
+#: By how much two ways to sum a product may differ.
+NEAR = 1e-9
+
+
+def _blocks(rows: DataFrame, key: str, embedding: str, dimensions: int, most: int, names: tuple[str, str]) -> DataFrame:
+    """Vectors of the right length, finite and not zero, packed by partition into blocks of about `most` bytes."""
+    size = max(1, most // (8 * dimensions))
+
+    def run(batches):
+        keys, held = [], []
+
+        def out(n: int) -> pa.RecordBatch:
+            data = np.array(held[:n], np.float64).tobytes()
+            batch = pa.RecordBatch.from_arrays([pa.array([keys[:n]], kind), pa.array([data], pa.binary())], names=list(names))
+            del keys[:n], held[:n]
+            return batch
+
+        for batch in batches:
+            kind = pa.list_(batch.schema.field(0).type)
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v is None or len(v) != dimensions or None in v or not all(map(math.isfinite, v)) or not any(v):
+                    continue
+                keys.append(k)
+                held.append(v)
+            while len(held) >= size:
+                yield out(size)
+        if held:
+            yield out(size)
+
+    schema = f"{names[0]} array<{rows.schema[key].dataType.simpleString()}>, {names[1]} binary"
+    return rows.select(key, F.col(embedding).cast("array<double>")).mapInArrow(run, schema)
+
+
+def top_k_of_many(questions: DataFrame, vectors: DataFrame, k: int, dimensions: int, question: str = "question_id", key: str = "vec_id", embedding: str = "embedding", but_itself: bool = False) -> DataFrame:
+    """question, key, similarity, rank: for every question the k rows most similar to it; ties by key. Questions and rows
+    meet in blocks, by one matrix product each, of which every question keeps its own k; the blocks' choices are ranked
+    in the end, also by k before they are shuffled. What the product leaves in doubt is computed anew, row by row, so
+    equal vectors are equally similar wherever they lie. Null vectors, zeros and those that are not finite or of another
+    length are left out, as questions and as rows. but_itself: a row of the question's own key is no answer."""
+    if k < 1:
+        raise ValueError("k is 1 at least")
+    asked = _blocks(questions, question, embedding, dimensions, QUESTION_BYTES, ("q_keys", "q_data"))
+    held = _blocks(vectors, key, embedding, dimensions, VECTOR_BYTES, ("v_keys", "v_data"))
+
+    def best(batches):
+        for batch in batches:
+            for pair in batch.to_pylist():
+                q, v = (np.frombuffer(pair[c], np.float64).reshape(-1, dimensions) for c in ("q_data", "v_data"))
+                q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+                near = (v / v_norm[:, None]) @ (q / q_norm[:, None]).T
+                keys = np.array(pair["v_keys"])
+                out = []
+                for j, name in enumerate(pair["q_keys"]):
+                    column = near[:, j]
+                    if but_itself:
+                        column = np.where(keys == name, -np.inf, column)
+                    least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
+                    rows = np.flatnonzero((column >= least - NEAR) & (column > -np.inf))
+                    cosine = np.clip((v[rows] * q[j]).sum(1) / (v_norm[rows] * q_norm[j]), -1.0, 1.0)
+                    order = np.lexsort((keys[rows], -cosine))[:k]
+                    out += [(name, x, c) for x, c in zip(keys[rows][order].tolist(), cosine[order].tolist(), strict=True)]
+                if out:
+                    names, found, cosines = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found), pa.array(cosines, pa.float64())], names=[question, key, "similarity"])
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((questions, question), (vectors, key))]
+    found = held.crossJoin(asked).mapInArrow(best, f"{', '.join(kinds)}, similarity double")  # blocks, not rows
+    order = Window.partitionBy(question).orderBy(F.desc("similarity"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def or_abstain(hits: DataFrame, threshold: float = 0.42) -> DataFrame:
     """The hits, or none of them if even the best is below the threshold."""
     best = hits.agg(F.max("similarity").alias("_best"))

@@ -8,7 +8,7 @@ from arpent.functions import text
 from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
 from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, reports, vectors
-from arpent.plans import corpus, runs, tools
+from arpent.plans import answers, corpus, runs, tools
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
 QUERIES: dict = {}
@@ -497,6 +497,46 @@ def similarity_abstain(spark, sf_dir):
     return vectors.or_abstain(vectors.top_k(found, _query_vector(spark, sf_dir), TOP)).select("vec_id", "rank")
 
 
+MANY_SQL = f"""pairs AS (SELECT q.vec_id AS question_id, e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+many AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM pairs)"""
+
+
+def _questions(spark, sf_dir):
+    """The stated questions: every row whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+
+
+@query(f"WITH {MANY_SQL} SELECT question_id, vec_id, rank, {ROUND6} FROM many WHERE rank <= {TOP}")
+def cosine_topk_of_many(spark, sf_dir):
+    found = vectors.top_k_of_many(_questions(spark, sf_dir), table(spark, sf_dir, "embeddings"), TOP, 64)
+    return found.select("question_id", "vec_id", "rank", rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+ASKED_LEAST = 0.5
+HEADS = f"length('QUESTION' || chr(10) || 'Which passages are like ' || CAST(question_id AS VARCHAR) || '?' || chr(10) || chr(10) || 'STYLE' || chr(10) || '{answers.STYLES['brief']}' || chr(10) || chr(10) || 'PASSAGES' || chr(10))"
+HEAD = "length(chr(10) || '[S' || CAST(rank AS VARCHAR) || ']' || chr(10) || 'Title: ' || coalesce(source, '-') || chr(10) || 'Publisher: ' || coalesce(lang, '-') || chr(10) || 'Section: -' || chr(10) || 'Page: -' || chr(10) || 'URL: ' || CAST(vec_id AS VARCHAR) || chr(10) || chr(10))"
+
+
+@query(f"""WITH p0 AS (SELECT q.vec_id AS question_id, e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM p0),
+t AS (SELECT r.*, source, lang, length(coalesce(text, '')) AS n, max(similarity) OVER (PARTITION BY question_id) AS best FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= {TOP}),
+l AS (SELECT *, 12000 - {HEADS} - coalesce(sum({HEAD} + n) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - {HEAD} AS room FROM t)
+SELECT question_id, best < {ASKED_LEAST} AS insufficient, CAST(count(*) AS BIGINT) AS n_retrieved, CAST(CASE WHEN best >= {ASKED_LEAST} THEN count(*) FILTER (WHERE room >= 200) ELSE 0 END AS INTEGER) AS n_included,
+  CASE WHEN best < {ASKED_LEAST} THEN '{answers.ABSTENTION}' ELSE 'The first is like it [S1].' END AS answer, CASE WHEN best >= {ASKED_LEAST} THEN max(vec_id) FILTER (WHERE rank = 1) END AS first_cited,
+  sign(best) * floor(abs(best) * 1000000 + 0.5) / 1000000 AS top_similarity FROM l GROUP BY question_id, best""")
+def documentary_answers(spark, sf_dir):
+    """Every stated question answered from the documents of the most similar other vectors, or not where none is near."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("publisher"))
+    own = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
+    none = F.lit(None).cast("string")
+    passages = own.select(F.col("vec_id").alias("chunk_id"), F.col("title").alias("source_id"), "title", "publisher", F.col("vec_id").cast("string").alias("url"), none.alias("section"), none.alias("page"), "text", "embedding")
+    asked = F.concat(F.lit(" Which passages are like "), F.col("question_id").cast("string"), F.lit("? "))
+    questions = _questions(spark, sf_dir).select("question_id", asked.alias("question"), F.lit("brief").alias("style"), "embedding")
+    found = answers.answered(questions, passages, lambda inputs: ["The first is like it [S1]."] * len(inputs), 64, k=TOP, threshold=ASKED_LEAST, but_itself=True)
+    first = F.get("citations", F.lit(0))["of"]["chunk_id"].alias("first_cited")
+    return found.select("question_id", "insufficient", "n_retrieved", "n_included", "answer", first, rounded(F.col("top_similarity"), 6).alias("top_similarity"))
+
+
 def _index(spark, sf_dir):
     """The documents as a corpus, and an index of an older state of it: every fifth is missing, every seventh changed,
     and the first of each hundred stands for one that the corpus no longer has."""
