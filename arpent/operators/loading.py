@@ -1,19 +1,24 @@
 """Integrity checks, the idempotent load of a snapshot, and the index synchronisation that works the same way.
 
 A load is idempotent by the checksum of its source: a checksum that has succeeded is not loaded again. A snapshot is
-written beside the current one, checked, and only then published by a small pointer row, so a failure at any point
-leaves the previous snapshot readable."""
+written beside the current one, checked, and only then published as the next entry of a numbered log, so a failure at any
+point leaves the previous snapshot readable. An entry's file is created whole and exclusively: of loads that end at one
+time one gets the number, the others look again at what was published and take the next, or find their checksum there."""
 
 from __future__ import annotations
 
+import datetime
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+COMMIT = "number long, load_id string, sha256 string, path string, loaded_rows long"
 AUDIT = "load_id string, dataset string, sha256 string, status string, source_rows long, loaded_rows long, path string, at timestamp, notes string"
 
 
@@ -77,6 +82,39 @@ def forbidden_columns(rows: DataFrame) -> list[str]:
     return sorted(set(rows.columns) & set(FORBIDDEN))
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether a file of this text was created; false if there is one. It is written under a hidden name and then gets its
+    own, which in one step fails if that is taken: by a link on a local file system, else by a rename."""
+    jvm, where = spark.sparkContext._jvm, _path(spark, path)
+    hidden = _path(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    files = _files(spark, where)
+    out = files.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if files.getScheme() == "file":
+            own, other = (jvm.java.io.File(p.toUri().getPath()).toPath() for p in (where, hidden))
+            jvm.java.nio.file.Files.createLink(own, other)
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(hidden, where, none)
+        return True
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" in problem.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        files.delete(hidden, False)
+
+
 class Warehouse:
     """Snapshots of datasets below one folder of any file system that Spark writes to."""
 
@@ -90,18 +128,41 @@ class Warehouse:
             return self.spark.createDataFrame([], AUDIT)
 
     def _note(self, load_id: str, dataset: str, sha256: str, status: str, source: int | None, loaded: int | None, path: str, notes: str | None) -> None:
-        row = self.spark.createDataFrame([(load_id, dataset, sha256, status, source, loaded, path, None, notes)], AUDIT)
-        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{self.root}/audit")
+        """A file for each note, so that loads at one time do not meet in a folder's commit."""
+        now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        row = {"load_id": load_id, "dataset": dataset, "sha256": sha256, "status": status, "source_rows": source, "loaded_rows": loaded, "path": path, "at": now, "notes": notes}
+        created(self.spark, f"{self.root}/audit/{load_id}-{status}.json", json.dumps(row, ensure_ascii=False))
+
+    def published(self, dataset: str) -> list[dict]:
+        """The entries of a dataset's log by number; one for each load that succeeded."""
+        where = _path(self.spark, self._log(dataset))
+        if not _files(self.spark, where).exists(where):
+            return []
+        return [r.asDict() for r in self.spark.read.schema(COMMIT).json(self._log(dataset)).orderBy("number").collect()]
+
+    def _log(self, dataset: str) -> str:
+        return f"{self.root}/log/{dataset}"
+
+    def _publish(self, dataset: str, load_id: str, sha256: str, path: str, rows: int) -> bool:
+        """Whether the snapshot got an entry; not if one of its checksum was published meanwhile."""
+        while True:
+            log = self.published(dataset)
+            if any(e["sha256"] == sha256 for e in log):
+                return False
+            number = log[-1]["number"] + 1 if log else 1
+            entry = {"number": number, "load_id": load_id, "sha256": sha256, "path": path, "loaded_rows": rows}
+            if created(self.spark, f"{self._log(dataset)}/{number:012d}.json", json.dumps(entry)):
+                return True
 
     def is_loaded(self, dataset: str, sha256: str) -> bool:
-        return not self.audit().filter((F.col("dataset") == dataset) & (F.col("sha256") == sha256) & (F.col("status") == "succeeded")).limit(1).isEmpty()
+        return any(e["sha256"] == sha256 for e in self.published(dataset))
 
     def current(self, dataset: str) -> DataFrame:
-        """The snapshot that was published last."""
-        last = self.audit().filter((F.col("dataset") == dataset) & (F.col("status") == "succeeded")).orderBy(F.desc("at")).limit(1).collect()
-        if not last:
+        """The snapshot that was published last: that of the greatest number."""
+        log = self.published(dataset)
+        if not log:
             raise LoadError(f"{dataset} has no snapshot")
-        return self.spark.read.parquet(last[0]["path"])
+        return self.spark.read.parquet(log[-1]["path"])
 
     def load(self, dataset: str, rows: DataFrame, sha256: str, key: str, rules: list[Rule] = (), partition_by: str | None = None) -> str:
         """"skipped", or "succeeded" after all checks; raises LoadError and leaves the previous snapshot otherwise."""
@@ -124,6 +185,10 @@ class Warehouse:
         except Exception as problem:
             self._note(load_id, dataset, sha256, "failed", None, None, path, str(problem)[:500])
             raise
+        if not self._publish(dataset, load_id, sha256, path, n):
+            _files(self.spark, _path(self.spark, path)).delete(_path(self.spark, path), True)
+            self._note(load_id, dataset, sha256, "skipped", n, None, path, "loaded meanwhile")
+            return "skipped"
         self._note(load_id, dataset, sha256, "succeeded", n, n, path, None)
         return "succeeded"
 

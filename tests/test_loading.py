@@ -61,3 +61,46 @@ def test_stale_chunks_of_many_sources(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.chunk_id for r in catalog.QUERIES["stale_chunks"](spark, str(tmp_path)).collect()}
     assert got == {f"old-{100 * k}" for k in range(1500)}
+
+
+def test_entries_are_created_once(spark, tmp_path):
+    """Of many that create one name at a time, one does; the file has the whole text of that one."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(5):
+            won = list(pool.map(lambda k: loading.created(spark, f"file://{tmp_path}/log/{n}.json", f'{{"k": {k}}}' + " " * 10_000), range(8)))  # noqa: B023
+            assert won.count(True) == 1
+            assert (tmp_path / f"log/{n}.json").read_text().startswith(f'{{"k": {won.index(True)}}}')
+    assert sorted(p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")) == [f"{n}.json" for n in range(5)]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_loads_that_end_at_one_time(spark, tmp_path, monkeypatch, same):
+    """Both have passed all checks before either is published: of one checksum one is loaded, of two both, in one order."""
+    import threading
+
+    own, both = loading.Warehouse(spark, f"file://{tmp_path}/w"), threading.Barrier(2)
+    publish = loading.Warehouse._publish
+
+    def together(self, *args):
+        both.wait(60)
+        return publish(self, *args)
+
+    monkeypatch.setattr(loading.Warehouse, "_publish", together)
+    done = {}
+    rows = lambda k: spark.createDataFrame([(k, "a"), (k + 1, "b")], "k long, v string")
+    load = lambda name, k, sha: done.update({name: own.load("sales", rows(k), sha, "k")})
+    threads = [threading.Thread(target=load, args=("one", 1, "x")), threading.Thread(target=load, args=("two", 1 if same else 5, "x" if same else "y"))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    log = own.published("sales")
+    assert sorted(done.values()) == (["skipped", "succeeded"] if same else ["succeeded", "succeeded"])
+    assert [e["number"] for e in log] == ([1] if same else [1, 2]) and own.is_loaded("sales", "x") and own.is_loaded("sales", "y") != same
+    last = log[-1]["sha256"]
+    assert sorted(r.k for r in own.current("sales").collect()) == ([1, 2] if last == "x" else [5, 6])
+    monkeypatch.undo()
+    assert own.load("sales", rows(9), "x", "k") == "skipped" and own.load("sales", rows(9), "z", "k") == "succeeded"
+    assert sorted(r.k for r in own.current("sales").collect()) == [9, 10] and own.published("sales")[-1]["number"] == len(log) + 1
+    notes = [r.status for r in own.audit().collect()]
+    assert notes.count("skipped") == (1 if same else 0) and notes.count("succeeded") == len(log) + 1
