@@ -8,9 +8,9 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 _TO_BLANK = {0xA0: " ", 0x202F: " ", 0xAD: None}
 
@@ -43,25 +43,28 @@ def search_text(x: pd.Series) -> pd.Series:
     return x.map(searchable)
 
 
-def likeness(candidates: tuple[str, ...]):
-    """A UDF: the best ratio of matching blocks with any of the candidates."""
+def may_be_like(word: Column, candidates: tuple[str, ...], least: float) -> Column:
+    """Whether a word's ratio of matching blocks with any of the candidates can reach `least`: the letters that two words
+    have in common, with repeats, are at least as many as those in matching blocks. Built-in expressions alone; what
+    they let through has its ratio taken by `like_words`."""
+    size, any_of = F.length(word), F.lit(False)
+    for c in candidates:
+        shared = F.lit(0)
+        for letter in sorted(set(c)):
+            shared = shared + F.least(size - F.length(F.replace(word, F.lit(letter), F.lit(""))), F.lit(c.count(letter)))
+        any_of = any_of | (2.0 * shared / (size + len(c)) >= least)
+    return F.coalesce(any_of, F.lit(False))
 
-    @F.pandas_udf(DoubleType())
-    def best(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: max((difflib.SequenceMatcher(None, t or "", c).ratio() for c in candidates), default=0.0))
 
-    return best
+def like_words(words: DataFrame, column: str, candidates: tuple[str, ...], least: float) -> DataFrame:
+    """The different words of a column whose ratio of matching blocks with any of the candidates is at least `least`."""
 
+    @F.pandas_udf(BooleanType())
+    def is_like(x: pd.Series) -> pd.Series:
+        return x.map(lambda w: any(difflib.SequenceMatcher(None, w, c).ratio() >= least for c in candidates))
 
-def token_likeness(candidates: tuple[str, ...]):
-    """A UDF: the best ratio that any single word of a text has with any of the candidates."""
-
-    @F.pandas_udf(DoubleType())
-    def best(x: pd.Series) -> pd.Series:
-        ratio = lambda w: max(difflib.SequenceMatcher(None, w, c).ratio() for c in candidates)
-        return x.map(lambda t: max(map(ratio, (t or "").split()), default=0.0))
-
-    return best
+    found = words.select(column).filter(may_be_like(F.col(column), candidates, least)).distinct()
+    return found.filter(is_like.asNondeterministic()(column))  # else the filter would be moved below the aggregate
 
 
 def word_count(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import percent
-from arpent.functions.text import likeness, search_text, token_likeness
+from arpent.functions.text import like_words, may_be_like, search_text
 
 # Fixed values from here to the end of the lists.
 GREETINGS = (
@@ -103,16 +103,42 @@ def words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
 
+#: From which ratio of matching blocks on a single word is a greeting, and a word a language.
+LIKE_GREETING, LIKE_LANGUAGE = 0.82, 0.8
+
+
+def _marked(messages: DataFrame, key: str, found: DataFrame, mark: str) -> DataFrame:
+    """messages with whether their key is among the found ones. Messages without a key have one of their own each, so that
+    they do not gather in one task."""
+    own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.xxhash64(*messages.columns).cast("string")))
+    held = found.select(F.col(key).alias("_key")).distinct().withColumn(mark, F.lit(True))
+    joined = messages.withColumn("_own", own).join(held, F.col("_own") == F.col("_key"), "left")
+    return joined.withColumn(mark, F.coalesce(mark, F.lit(False))).drop("_own", "_key", key)
+
+
+def with_misspelt(messages: DataFrame, text: str) -> DataFrame:
+    """messages (with a normalized text) with `_typo`, a single word like a greeting, and `_language`, some word like a
+    language in at most twelve. Only words that built-in expressions cannot rule out are compared, each different one once."""
+    t = F.col(text)
+    one = (words(t) == 1) & (F.length(t) >= 4) & may_be_like(t, GREETING_WORDS, LIKE_GREETING)
+    messages = messages.withColumn("_word", F.when(one, t))
+    messages = _marked(messages, "_word", like_words(messages.filter("_word IS NOT NULL"), "_word", GREETING_WORDS, LIKE_GREETING), "_typo")
+    some = F.array_sort(F.array_distinct(F.filter(F.split(t, " "), lambda w: may_be_like(w, LANGUAGES, LIKE_LANGUAGE))))
+    messages = messages.withColumn("_some", F.when((words(t) <= 12) & (F.size(some) > 0), F.array_join(some, " ")))
+    each = messages.filter("_some IS NOT NULL").select("_some").distinct().select("_some", F.explode(F.split("_some", " ")).alias("_word"))
+    like = each.join(like_words(each, "_word", LANGUAGES, LIKE_LANGUAGE), "_word", "left_semi")
+    return _marked(messages, "_some", like, "_language")
+
+
 def with_routes(messages: DataFrame, text: str = "text", before: str = "previous", misspelt: bool = True) -> DataFrame:
     """messages with `route`: the first rule that the text meets; `before` holds the user's message before it, or null.
     "model" means that no rule answers locally. Without `misspelt`, greetings and languages must be spelt as listed, and
     all of it is built-in expressions."""
     messages = messages.withColumns({"_t": search_text(F.col(text)), "_b": search_text(F.col(before))})
-    one = (words(F.col("_t")) == 1) & (F.length("_t") >= 4)
-    messages = messages.withColumns({
-        "_typo": F.when(one, likeness(GREETING_WORDS)(F.when(one, F.col("_t")).otherwise(""))).otherwise(0.0),
-        "_language": token_likeness(LANGUAGES)(F.when(words(F.col("_t")) <= 12, F.col("_t")).otherwise("")) >= 0.8,
-    } if misspelt else {"_typo": F.lit(0.0), "_language": F.arrays_overlap(F.split("_t", " "), F.array(*map(F.lit, LANGUAGES)))})
+    if misspelt:
+        messages = with_misspelt(messages, "_t")
+    else:
+        messages = messages.withColumns({"_typo": F.lit(False), "_language": F.arrays_overlap(F.split("_t", " "), F.array(*map(F.lit, LANGUAGES)))})
     t, b = F.col("_t"), F.coalesce(F.col("_b"), F.lit(""))
     topical = in_scope(b)
     short = words(t) <= 12
@@ -123,7 +149,7 @@ def with_routes(messages: DataFrame, text: str = "text", before: str = "previous
         .when(_fits_any(t, CLOCK), "clock")
         .when(_holds_any(t, WEATHER), "weather")
         .when(_fits_any(t, PLACE), "location")
-        .when(t.isin(*GREETINGS) | (F.col("_typo") >= 0.82), "greeting")
+        .when(t.isin(*GREETINGS) | F.col("_typo"), "greeting")
         .when(t.isin(*THANKS), "thanks")
         .when(t.isin(*ACKNOWLEDGEMENTS), "acknowledgement")
         .when(t.isin(*GOODBYES), "goodbye")
@@ -144,6 +170,26 @@ def user_turns(conversations: DataFrame) -> DataFrame:
     return users.withColumn("previous", F.lag("text").over(order))
 
 
+HISTORY = 12
+
+
+def recalled_turns(conversations: DataFrame, most: int = HISTORY) -> DataFrame:
+    """The users' messages, each with `history`, the up to `most` messages before it, whoever wrote them, as role and text
+    in order, and `previous`, the last text of a user among these: only that one unlocks what follows up on it. A frame
+    looks at no more than `most` rows, however long a conversation is."""
+    frame = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-most, -1)
+    turns = conversations.withColumns({
+        "history": F.collect_list(F.struct("role", "text")).over(frame),
+        "previous": F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(frame),
+    })
+    return turns.filter(F.col("role") == "user")
+
+
+def prepared_turns(conversations: DataFrame, most: int = HISTORY, misspelt: bool = True) -> DataFrame:
+    """The users' messages with all that is settled before a model is asked: history, route and allowed_tools."""
+    return with_tools(with_routes(recalled_turns(conversations, most), misspelt=misspelt))
+
+
 def with_tools(messages: DataFrame, text: str = "text") -> DataFrame:
     """messages with `allowed_tools`: one tool for questions of diagnostic statistics alone, else null for all."""
     messages = messages.withColumn("_t", search_text(F.col(text)))

@@ -672,19 +672,42 @@ SHORT = "(t = '' OR len(string_split(t, ' ')) <= 12)"
 SPOKEN = " OR ".join(_among("w", (x,)) for x in C.LANGUAGES)
 
 
-@query(f"""WITH u AS (SELECT conv_id, turn, {searchable_sql("text")} AS t, coalesce({searchable_sql("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")}, '') AS b FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN {_fits("t", C.SECURITY)} THEN 'security' WHEN {_fits("t", C.CLOCK)} THEN 'clock' WHEN {_any_of("t", C.WEATHER)} THEN 'weather' WHEN {_fits("t", C.PLACE)} THEN 'location'
+def _route_sql() -> str:
+    """The ordered rules over t, a normalized text, and b, the one before."""
+    return f"""CASE WHEN {_fits("t", C.SECURITY)} THEN 'security' WHEN {_fits("t", C.CLOCK)} THEN 'clock' WHEN {_any_of("t", C.WEATHER)} THEN 'weather' WHEN {_fits("t", C.PLACE)} THEN 'location'
   WHEN {_among("t", C.GREETINGS)} THEN 'greeting' WHEN {_among("t", C.THANKS)} THEN 'thanks' WHEN {_among("t", C.ACKNOWLEDGEMENTS)} THEN 'acknowledgement' WHEN {_among("t", C.GOODBYES)} THEN 'goodbye'
   WHEN {_among("t", C.CAPABILITIES)} THEN 'capability' WHEN {SCOPE("t")} THEN 'model'
   WHEN {SHORT} AND ({NAMED("t")} OR {_any_of("t", C.FOLLOW_UPS, "starts_with")} OR regexp_matches(t, '{C.ORDINAL}')) AND ({SCOPE("b")} OR {NAMED("b")}) THEN 'model'
   WHEN {SHORT} AND len(list_filter(string_split(t, ' '), lambda w: {SPOKEN})) > 0 AND {_any_of("t", C.INSTRUCTIONS)} AND {SCOPE("b")} THEN 'model'
-  WHEN {NAMED("t")} THEN 'clarify_city' ELSE 'out_of_scope' END AS route FROM u""")
+  WHEN {NAMED("t")} THEN 'clarify_city' ELSE 'out_of_scope' END"""
+
+
+ROUTE = _route_sql()
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, {searchable_sql("text")} AS t, coalesce({searchable_sql("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")}, '') AS b FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, {ROUTE} AS route FROM u""")
 def route_by_rules(spark, sf_dir):
     """The ordered rules without the tolerance for misspelt greetings and languages."""
     turns = conversation.user_turns(table(spark, sf_dir, "conversations"))
     return conversation.with_routes(turns, misspelt=False).select("conv_id", "turn", "route")
 
 
+TOOLS = f"""CASE WHEN {_any_of("t", C.DPE)} AND {_any_of("t", C.STATISTICAL)} AND NOT {_any_of("t", C.MARKET)} AND NOT {_any_of("t", C.DOCUMENTARY)} THEN 'analyze_dpe' END"""
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+h AS (SELECT a.conv_id, a.turn, any_value(a.text) AS text, CAST(count(b.n) AS INTEGER) AS n_history, CAST(coalesce(sum(length(b.text)), 0) AS BIGINT) AS history_characters, max_by(b.text, b.n) FILTER (WHERE b.role = 'user') AS previous
+  FROM w a LEFT JOIN w b ON b.conv_id = a.conv_id AND b.n BETWEEN a.n - {C.HISTORY} AND a.n - 1 WHERE a.role = 'user' GROUP BY a.conv_id, a.turn),
+u AS (SELECT *, {searchable_sql("text")} AS t, coalesce({searchable_sql("previous")}, '') AS b FROM h)
+SELECT conv_id, turn, n_history, history_characters, {ROUTE} AS route, {TOOLS} AS allowed_tools FROM u""")
+def prepared_turns(spark, sf_dir):
+    """What is settled before a model is asked: the last messages, the route and the tools."""
+    found = conversation.prepared_turns(table(spark, sf_dir, "conversations"), misspelt=False)
+    characters = F.aggregate("history", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.length(m["text"]), F.lit(0)))
+    return found.select("conv_id", "turn", F.size("history").alias("n_history"), characters.alias("history_characters"), "route", "allowed_tools")
+
+
 @query(f"""SELECT conv_id, turn, CASE WHEN {_any_of("t", C.DPE)} AND {_any_of("t", C.STATISTICAL)} AND NOT {_any_of("t", C.MARKET)} AND NOT {_any_of("t", C.DOCUMENTARY)} THEN 'analyze_dpe' END AS allowed_tools
 FROM (SELECT conv_id, turn, {searchable_sql("text")} AS t FROM conversations WHERE role = 'user') z""")
 def tool_policy(spark, sf_dir):
