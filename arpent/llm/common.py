@@ -62,24 +62,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of the longest word that is remembered.
+LONG_WORD = 64
+
+
 class Memo(dict):
-    """A dictionary that forgets everything once it holds too many keys. Workers outlive tasks and serve one operator
-    after another, so the memo that makes room also clears the one that was used before it."""
+    """A dictionary that forgets everything once it holds too many keys, or what its users count as too many bytes.
+    Workers outlive tasks and serve one operator after another, so the memo that makes room also clears the one that was
+    used before it."""
 
     _used: Memo | None = None
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, most_bytes: int = 64_000_000):
         super().__init__()
-        self.most = most
+        self.most, self.most_bytes, self.held = most, most_bytes, 0
 
     def room(self, n: int = 0) -> None:
         if Memo._used is not self:
             if Memo._used is not None:
                 Memo._used.clear()
             Memo._used = self
-        if len(self) + n > self.most:
+        if len(self) + n > self.most or self.held > self.most_bytes:
             self.clear()
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, which gives freed memory back to the machine at a task's end: workers stay idle beside those of

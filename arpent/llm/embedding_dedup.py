@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from arpent.llm.common import stored
 from arpent.llm.graph import components
 
-#: Least cosine of a link, blocks of coordinates, vectors of a slab, most slabs, and rows and columns compared at once.
-LEAST, BLOCKS, SLAB, MOST_SLABS, STRIPE, COLUMNS = 0.9, 4, 32_768, 4096, 64, 8192
+#: Least cosine of a link, blocks of coordinates, bytes of a slab's vectors in double precision, most slabs, and rows and
+#: columns compared at once.
+LEAST, BLOCKS, SLAB_BYTES, MOST_SLABS, STRIPE, COLUMNS = 0.9, 4, 16_777_216, 4096, 64, 8192
 #: Slack for rounding of squared distances of unit vectors: in single precision for candidates, in double for budgets.
 SLACK32, SLACK64 = 1e-5, 1e-9
-#: Candidate pairs that are verified at once.
-AT_ONCE = 40_000
+#: Bytes of the vectors of candidate pairs that are verified at once.
+AT_ONCE = 20_480_000
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -47,6 +48,11 @@ def blocks(dim: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def slab_of(dim: int) -> int:
+    """Vectors of a slab, and at most of a side of a tile."""
+    return max(64, SLAB_BYTES // (8 * dim))
+
+
 def _vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     """key, cls (a hash of the components, null for vectors that link with nothing), dim, raw (the components)."""
     kind = "<f4" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
@@ -132,7 +138,7 @@ def _tile(table: pa.Table, dim: int, kind: str, least: float) -> pa.Table:
     ones = np.ones((len(cls), 1), np.float32)
     left, right = np.hstack([part, square[:, None], ones]), np.hstack([-2 * part, ones, square[:, None]]).T.copy()
     b0, b1 = (0, first) if one else (first, len(cls))
-    x, radius = turned[:, lo], np.sqrt(budgets[block]) + SLACK32
+    x, radius, at_once = turned[:, lo], np.sqrt(budgets[block]) + SLACK32, max(256, AT_ONCE // (8 * dim))
     for r, c, width in _stripes(x, first, b0, b1, radius, one):
         rows = slice(r, min(r + STRIPE, first))
         gap = left[rows] @ right[:, c : c + width]  # squared distances in the block
@@ -140,8 +146,8 @@ def _tile(table: pa.Table, dim: int, kind: str, least: float) -> pa.Table:
         i, j = i + r, j + c
         if one:
             i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), AT_ONCE):
-            a, b = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
+        for s in range(0, len(i), at_once):
+            a, b = i[s : s + at_once], j[s : s + at_once]
             own = _squared(turned[a, lo:hi], turned[b, lo:hi]) <= budgets[block]
             for k in range(block):  # an earlier block keeps the pair
                 l, h = spans[k]
@@ -161,8 +167,9 @@ def _joined(classes: DataFrame, dim: int, kind: str, least: float) -> DataFrame:
     """node, links, root from all tiles of the classes of one dimension."""
     classes = classes.filter(F.col("dim") == dim)
     spans, n = blocks(dim), classes.count()
-    slabs = max(1, min(MOST_SLABS, -(-n // SLAB)))
-    chunks = max(1, -(-n // (slabs * SLAB)))
+    slab = slab_of(dim)
+    slabs = max(1, min(MOST_SLABS, -(-n // slab)))
+    chunks = max(1, -(-n // (slabs * slab)))
     turn = rotation(dim)
 
     def coordinates(batches):

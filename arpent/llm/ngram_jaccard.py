@@ -7,8 +7,8 @@
    and sets with fewer than d + 1 segments use a prefix of their sorted hashes, of the length that linked sets share a
    hash in. Classes that share a key are a group; equal groups are one.
 3. Groups are compared in tiles of hashed bitmaps: sets of like size, where the number of differing bits bounds the overlap
-   from above. In a group of more than GROUP classes a tile holds two chunks of a band of size or of two bands side by
-   side. What the bound lets pass joins clusters; only the clusters' texts are read again.
+   from above. In a group of more than GROUP classes, or with large bitmaps, a tile holds two chunks of a band of size or
+   of two bands side by side, of GROUP_BYTES each at most. What the bound lets pass joins clusters; only the clusters' texts are read again.
 4. Clusters are verified in tiles of texts, of about TILE shingles a chunk: where the bitmaps allow a link, the sorted
    hashes are intersected exactly. Pairs that links have already joined need no comparison.
 5. Links make components; the component's name is its smallest document id.
@@ -32,15 +32,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices, spans, text_bytes
-from arpent.llm.common import Memo, drop, free_name, frugal, mix64, stored
+from arpent.llm.common import LONG_WORD, Memo, drop, free_name, frugal, mix64, stored
 from arpent.llm.graph import components
 
 #: Words of a shingle and least similarity as a fraction of whole numbers.
 WORDS, LEAST = 4, (85, 100)
 #: Sets of fewer shingles use prefix keys alone.
 SMALL = 32
-#: Classes of a chunk whose bitmaps are compared together; shingles and classes of a chunk that is verified.
-GROUP, TILE, VERIFIED = 4096, 1 << 20, 1024
+#: Classes of a chunk whose bitmaps are compared together, and bytes of these; shingles and classes of a chunk that is verified.
+GROUP, GROUP_BYTES, TILE, VERIFIED = 4096, 1 << 25, 1 << 20, 1024
+#: Of the classes, by hash, one in SEEN tells which keys are frequent: those that hold a HOT-th of a partition's share or more.
+SEEN, HOT = 64, 4
 #: Bytes of text that are sent to tiles at a time.
 PLACED = 4_000_000
 REMEMBERED = 250_000
@@ -56,7 +58,9 @@ def word_hashes(text: str | None) -> np.ndarray:
     for w in words:
         h = get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
+            h = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= LONG_WORD:
+                _words[w] = h
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -121,6 +125,10 @@ class Scheme:
         """The octaves of the smaller set for which a set of this size makes keys: its own and those of smaller partners."""
         return range(octave(-(-n * self.p // self.q)), octave(n) + 1)
 
+    def in_group(self, band: int) -> int:
+        """Classes of this band whose bitmaps go to one tile."""
+        return max(1, min(GROUP, GROUP_BYTES // (bits_of(int(self.starts[band + 1])) // 8)))
+
     def in_tile(self, band: int) -> int:
         """Classes of this band whose texts go to one tile."""
         return max(1, min(VERIFIED, TILE // int(self.starts[band])))
@@ -263,17 +271,30 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, scheme: Scheme) -> D
     return docs.select(*names[:3], text).mapInArrow(frugal(run), schema)
 
 
+def _frequent(made: DataFrame, parts: int) -> DataFrame:
+    """k of the keys that hold a good part of a partition's share of all rows, by the classes that are looked at: at most
+    HOT * parts of them, whatever the number of rows."""
+    seen = made.filter(F.pmod(F.xxhash64("cls", F.lit("seen")), F.lit(SEEN)) == 0).groupBy("k").agg(F.count("*").alias("n"))
+    seen = stored(seen, "seen")
+    least = max(32, (seen.agg(F.sum("n")).first()[0] or 0) // (HOT * parts))
+    return seen.filter(F.col("n") >= least).select("k")
+
+
 def _groups(sets: DataFrame) -> DataFrame:
-    """grp, many, cls: the classes that share a key, equal groups once. One shuffle deals the keys and one sort serves both
-    windows; a class and key that come doubled from copies meet there."""
+    """grp, many, cls: the classes that share a key, equal groups once. Keys are dealt by one shuffle, and one sort serves
+    both windows; a class and key that come doubled from copies meet there. Frequent keys, a bounded number, do not go that
+    way: their classes are dealt by class and key, and what a window would tell of them is aggregated before it is shuffled."""
     made = sets.select("cls", F.explode("keys").alias("k"))
-    before = F.lag("cls").over(Window.partitionBy("k").orderBy("cls"))
-    made = made.withColumn("before", before).filter("before IS NULL OR before <> cls")
+    often = _frequent(made, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     group = Window.partitionBy("k")
-    total = F.sum(F.pmod(F.xxhash64("cls"), F.lit(1 << 40))).over(group)
-    many = F.count("*").over(group)
-    made = made.select("cls", many.alias("many"), F.xxhash64(total, many, F.min("cls").over(group), F.max("cls").over(group)).alias("grp"))
-    return made.filter("many > 1").distinct()
+    marks = {"total": F.sum(F.pmod(F.xxhash64("cls"), F.lit(1 << 40))), "many": F.count("*"), "low": F.min("cls"), "high": F.max("cls")}
+    before = F.lag("cls").over(group.orderBy("cls"))
+    rare = made.join(F.broadcast(often), "k", "left_anti").withColumn("before", before).filter("before IS NULL OR before <> cls")
+    rare = rare.select("cls", *(m.over(group).alias(n) for n, m in marks.items()))
+    hot = made.join(F.broadcast(often), "k", "left_semi").distinct()
+    told = hot.groupBy("k").agg(*(m.alias(n) for n, m in marks.items()))  # a row for each frequent key
+    both = rare.unionByName(hot.join(F.broadcast(told), "k").drop("k"))
+    return both.filter("many > 1").select("cls", "many", F.xxhash64("total", "many", "low", "high").alias("grp")).distinct()
 
 
 def _chunks(bands: dict[int, int], most: Callable[[int], int], cls: int, own: int) -> Iterator[tuple[str, int]]:
@@ -297,8 +318,11 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 def _plausible(groups: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     """cls, root for classes that the bitmaps may link. groups: grp, many, cls; classes: cls, n, band, bits."""
-    rows = groups.join(classes, "cls")
-    large = rows.filter(F.col("many") > GROUP)
+    heavy = classes.filter(F.length("bits") > GROUP_BYTES // GROUP).select("cls")
+    heavy = groups.join(heavy, "cls", "left_semi").select("grp").distinct().withColumn("heavy", F.lit(True))
+    rows = groups.join(heavy, "grp", "left").join(classes, "cls")
+    in_tiles = (F.col("many") > GROUP) | F.coalesce("heavy", F.lit(False))
+    large = rows.filter(in_tiles)
     per_band = large.groupBy("grp", "many", "band").agg(F.count("*").alias("of"))
     in_band = per_band.groupBy("grp", "many").agg(F.map_from_entries(F.collect_list(F.struct("band", "of"))).alias("in_band"))
     large = large.join(in_band, ["grp", "many"])
@@ -307,7 +331,7 @@ def _plausible(groups: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFra
         for batch in batches:
             out = []
             for row, (cls, own, counts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cls", "band", "in_band")), strict=True)):
-                out += [(row, tile, side) for tile, side in _chunks(dict(counts), lambda band: GROUP, cls, own)]
+                out += [(row, tile, side) for tile, side in _chunks(dict(counts), scheme.in_group, cls, own)]
             for lo in range(0, len(out), 10_000):
                 row, tile, side = zip(*out[lo : lo + 10_000], strict=True)
                 kept = batch.take(pa.array(row))
@@ -347,7 +371,7 @@ def _plausible(groups: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFra
             yield from joined(held).to_batches()
 
     tile = "grp long, many long, tile string, side int, cls long, n long, bits binary"
-    whole = rows.filter(F.col("many") <= GROUP).select("grp", "many", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "n", "bits")
+    whole = rows.filter(~in_tiles).select("grp", "many", F.lit("").alias("tile"), F.lit(0).alias("side"), "cls", "n", "bits")
     placed = whole.unionByName(large.select("grp", "many", "cls", "n", "band", "bits", "in_band").mapInArrow(frugal(place), tile))
     return placed.repartition("grp", "tile").sortWithinPartitions("grp", "many", "tile").mapInArrow(frugal(run), "cls long, root long").distinct()
 

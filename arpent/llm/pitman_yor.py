@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arpent.llm.common import Memo, drop, stored
+from arpent.llm.bpe import slices
+from arpent.llm.common import LONG_WORD, Memo, drop, stored
 
 #: Context classes and their parents; the class of a word is kept in the low bits of its hash.
 FINE, COARSE = 4096, 64
@@ -78,7 +79,9 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for w in words:
             h = get(w)
             if h is None:
-                h = _words[w] = _hash(w)
+                h = _hash(w)
+                if len(w) <= LONG_WORD:
+                    _words[w] = h
             out.append(h)
         out.append(END)
         sizes.append(len(words) + 1)
@@ -114,18 +117,16 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def _by_size(batches, key: str, text: str):
     """Keys, hashes, contexts and sizes of about TOKENS_AT_ONCE tokens at once."""
     keys, hs, sizes, n = [], [], [], 0
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            h, size = tokens(part.column(text).to_pylist())
-            keys += part.column(key).to_pylist()
-            hs.append(h)
-            sizes.append(size)
-            n += len(h)
-            if n >= TOKENS_AT_ONCE or len(keys) >= DOCS_AT_ONCE:
-                h = np.concatenate(hs)
-                yield keys, h, contexts(h), np.concatenate(sizes)
-                keys, hs, sizes, n = [], [], [], 0
+    for part in slices(batches, text, 1_000_000):
+        h, size = tokens(part.column(text).to_pylist())
+        keys += part.column(key).to_pylist()
+        hs.append(h)
+        sizes.append(size)
+        n += len(h)
+        if n >= TOKENS_AT_ONCE or len(keys) >= DOCS_AT_ONCE:
+            h = np.concatenate(hs)
+            yield keys, h, contexts(h), np.concatenate(sizes)
+            keys, hs, sizes, n = [], [], [], 0
     if keys:
         h = np.concatenate(hs)
         yield keys, h, contexts(h), np.concatenate(sizes)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arpent.llm import embedding_dedup, ngram_jaccard
 from arpent.llm.graph import components
@@ -117,9 +118,9 @@ def test_least_similarity():
         ngram_jaccard.Scheme((49, 100))
 
 
-@pytest.mark.parametrize("slab", [8192, 60])
+@pytest.mark.parametrize("slab", [8192, 64])
 def test_embedding_dedup(spark, monkeypatch, slab):
-    monkeypatch.setattr(embedding_dedup, "SLAB", slab)
+    monkeypatch.setattr(embedding_dedup, "slab_of", lambda dim: slab)
     rng = np.random.RandomState(0)
     x = np.repeat(rng.standard_normal((25, 16)), 8, 0) + rng.standard_normal((200, 16)) * rng.uniform(0.05, 0.5, (200, 1))
     x = np.vstack([x, x[:3]]).astype("f4")
@@ -153,3 +154,55 @@ def test_embedding_dedup_without_vectors(spark):
     none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(none).collect()] == [(1, 0, 1, True)]
     assert embedding_dedup.near_duplicates(none.limit(0)).count() == 0
+
+
+def test_slabs_are_bounded_by_bytes(spark):
+    """Long vectors go in smaller slabs, and are linked as ever."""
+    assert all(embedding_dedup.slab_of(d) * d * 8 <= embedding_dedup.SLAB_BYTES for d in (3, 64, 1024, 20_000)) and embedding_dedup.slab_of(64) == 32_768
+    rng = np.random.RandomState(1)
+    x = np.repeat(rng.standard_normal((700, 1024)), 4, 0) + rng.standard_normal((2800, 1024)) * 0.1
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(x) > embedding_dedup.slab_of(1024)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (3, i // 4 * 4) for i in range(2800)}
+
+
+def test_jaccard_frequent_keys(spark, monkeypatch):
+    """Short texts that share a line: keys of most classes, dealt by class and key, with the same result."""
+    monkeypatch.setattr(ngram_jaccard, "SEEN", 1)
+    r = random.Random(12)
+    line = "this text is licensed to all who read it"
+    rows = [(i, f"{line} {r.choice('abcdefgh')} {r.choice('ijklmnop')} {r.randrange(6)}" + " z" * r.randrange(3)) for i in range(400)] + [(1000 + i, " ".join(f"{i}w{k}" for k in range(20))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets_of = ngram_jaccard._sets(ngram_jaccard._named(docs, "doc_id", "text"), "doc_id", "text", 4, ngram_jaccard.Scheme((85, 100)))
+    made = sets_of.select("cls", F.explode("keys").alias("k"))
+    often = {x.k for x in ngram_jaccard._frequent(made, 4).collect()}
+    assert 0 < len(often) <= ngram_jaccard.HOT * 4
+    own = {i: sets(t, 4) for i, t in rows}
+    links = [(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])]
+    want = union(own, links)
+    assert {x.doc_id: x.component_id for x in ngram_jaccard.linked(docs).collect()} == want and len(set(want.values())) < 400
+    hot = {tuple(x) for x in ngram_jaccard._groups(sets_of).collect()}
+    monkeypatch.setattr(ngram_jaccard, "_frequent", lambda made, parts: made.select("k").limit(0))
+    assert hot == {tuple(x) for x in ngram_jaccard._groups(sets_of).collect()}
+
+
+def test_jaccard_of_long_sets(spark, monkeypatch):
+    """Groups of large bitmaps are cut by bytes, long words are not remembered, and no link is lost."""
+    monkeypatch.setattr(ngram_jaccard, "GROUP_BYTES", 1 << 13)
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**6)}" for _ in range(6000)]
+    rows = []
+    for i in range(12):
+        copy = list(base)
+        for _ in range(20):
+            copy[r.randrange(len(copy))] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    long = [str(k) + "q" * 400_000 for k in range(30)]
+    rows += [(100, " ".join(long)), (101, " ".join(long + ["end"])), (102, " ".join(long[:15]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {i: sets(t, 4) for i, t in rows}
+    links = [(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])]
+    assert {x.doc_id: x.component_id for x in ngram_jaccard.linked(docs).collect()} == union(own, links)
+    ngram_jaccard.word_hashes(" ".join(long))
+    assert sum(map(len, ngram_jaccard._words)) < 1_000_000
