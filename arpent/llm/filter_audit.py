@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices
-from arpent.llm.common import frugal
+from arpent.llm.common import frugal, stored
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DIFFERENT, MOST_CAPITALS = 200, 50, 2
@@ -80,6 +80,7 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     marked = thin.join(marks, F.col("key") == F.col("of"), "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     least = F.min(F.struct("key", "n"))
     groups = marked.groupBy("digest", "part", "good", "toxic", "failed", F.col("key").isNull().alias("no_key")).agg(F.sum("n").alias("n"), least.alias("least"))
+    groups = stored(groups, "audit-groups")  # read twice
     firsts = groups.filter(~F.col("no_key")).groupBy(F.col("digest").alias("text_digest")).agg(F.min("least.key").alias("first"))
     met = groups.join(firsts, F.col("digest") == F.col("text_digest"), "left")
     stays = F.when(F.col("no_key"), F.col("n")).when(F.col("least.key") == F.col("first"), F.col("least.n")).otherwise(0)
