@@ -5,17 +5,19 @@ column expressions and windows."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.text import clean_inline
 
 #: Tags without content of their own, hints of interface blocks, and labels of interface elements.
-DROPPED = frozenset("script style noscript template nav footer header form aside svg button iframe".split())
+DROPPED = ("script", "style", "noscript", "template", "nav", "footer", "header", "form", "aside", "svg", "button", "iframe")
 HINTS = (
     "cookie", "newsletter", "breadcrumb", "share", "social", "menu", "nav", "footer", "header", "sidebar", "pagination",
     "search", "skip-link", "back-to-top", "consent", "banner",
@@ -26,7 +28,7 @@ LABELS = (
     "imprimer", "fermer", "retour", "suivant", "précédent", "precedent", "paramètres d'affichage", "parametres d'affichage",
 )
 PREFIXES = ("fichiers", "réutilisations", "reutilisations", "discussions", "ressources communautaires")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 BLOCKS = {"p": "paragraph", "li": "list_item", "tr": "table_row"} | {f"h{n}": "heading" for n in range(1, 7)}
 LONGEST_ROW = 2000
 
@@ -37,14 +39,24 @@ class Node:
     attrs: dict
     inside: list = field(default_factory=list)
 
-    def walk(self):
-        for x in self.inside:
+    def walk(self) -> Iterator[Node]:
+        """All nodes within, in document order. No walk recurses, so pages may be nested as deep as they are."""
+        rest = self.inside[::-1]
+        while rest:
+            x = rest.pop()
             if isinstance(x, Node):
                 yield x
-                yield from x.walk()
+                rest += x.inside[::-1]
 
     def text(self) -> str:
-        return "".join(x if isinstance(x, str) else x.text() for x in self.inside)
+        out, rest = [], self.inside[::-1]
+        while rest:
+            x = rest.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                rest += x.inside[::-1]
+        return "".join(out)
 
 
 class Builder(HTMLParser):
@@ -52,32 +64,35 @@ class Builder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Node("", {})]
+        self.open, self.n_open = [Node("", {})], Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].inside.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].inside.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if not self.n_open[tag]:
+            return
+        while (closed := self.open.pop()).tag != tag:
+            self.n_open[closed.tag] -= 1
+        self.n_open[tag] -= 1
 
     def handle_data(self, data):
         self.open[-1].inside.append(data)
 
 
-def _prune(node: Node, gone) -> None:
-    node.inside = [x for x in node.inside if isinstance(x, str) or not gone(x)]
-    for x in node.inside:
-        if isinstance(x, Node):
-            _prune(x, gone)
+def _prune(node: Node, gone: Callable[[Node], bool]) -> None:
+    rest = [node]
+    while rest:
+        n = rest.pop()
+        n.inside = [x for x in n.inside if isinstance(x, str) or not gone(x)]
+        rest += [x for x in n.inside if isinstance(x, Node)]
 
 
 def _is_interface(node: Node) -> bool:
@@ -122,13 +137,18 @@ def is_interface_text(text):
 def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, order, kind, text, heading_level: without blanks, interface texts and texts that repeat the one before."""
 
-    def run(frames):
-        for frame in frames:
-            rows = [(k, i, *e) for k, page in zip(frame[key], frame[html], strict=True) for i, e in enumerate(elements(page))]
-            yield pd.DataFrame(rows, columns=[key, "place", "kind", "text", "heading_level"]).astype({"heading_level": "Int32"})
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                found = [elements(page) for page in part.column(html).to_pylist()]
+                rows = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+                places, each = [i for own in found for i in range(len(own))], [e for own in found for e in own]
+                columns = [pa.array([e[k] for e in each], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(key).take(rows), pa.array(places, pa.int32()), *columns], names=[key, "place", "kind", "text", "heading_level"])
 
     kind = pages.schema[key].dataType.simpleString()
-    found = pages.select(key, html).mapInPandas(run, f"{key} {kind}, place int, kind string, text string, heading_level int")
+    found = pages.select(key, html).mapInArrow(run, f"{key} {kind}, place int, kind string, text string, heading_level int")
     found = found.filter((F.col("text") != "") & ~is_interface_text(F.col("text")))
     order = Window.partitionBy(key).orderBy("place")
     kept = found.withColumn("_before", F.lag("text").over(order)).filter(~F.col("text").eqNullSafe(F.col("_before")))

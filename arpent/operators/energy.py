@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arpent.functions.columns import building_type, district, first_reason, holds, label, population
 from arpent.policy import DEFAULT, Policy
 
+#: The columns of the source, and those of curated diagnostics.
 STRINGS = (
     "_id", "numero_dpe", "etiquette_dpe", "etiquette_ges", "type_batiment", "periode_construction", "code_postal_ban",
     "code_insee_ban", "code_departement_ban", "_geopoint",

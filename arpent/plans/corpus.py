@@ -117,9 +117,10 @@ def output_digests(chunks: DataFrame) -> DataFrame:
 
 def _stored_chunks(spark: SparkSession, root: str) -> DataFrame:
     try:
-        return spark.read.parquet(f"{root}/chunks")
+        found = spark.read.schema(f"{chunking.OUTCOME}, run long").parquet(f"{root}/chunks")
     except AnalysisException:  # nothing was stored so far
-        return spark.createDataFrame([], chunking.SCHEMA + ", run long")
+        found = spark.createDataFrame([], f"{chunking.OUTCOME}, run long")
+    return found.filter("error IS NULL").drop("error")
 
 
 def chunk_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -140,7 +141,8 @@ def configuration(sizes: Sizes) -> str:
 def chunking_run(spark: SparkSession, docs: DataFrame, root: str, sizes: Sizes = Sizes(), force: bool = False) -> DataFrame:
     """Chunks what is new or changed in `docs` (source_id, raw_sha256, elements), verifies what was stored by reading it
     again, and writes a manifest that keeps the entries of other sources. Status: chunked, updated, unchanged or failed.
-    A source without text fails alone, and so does one whose stored chunks have gaps. Returns the new manifest."""
+    A source without text fails alone, and so do one that cannot be chunked and one whose stored chunks have gaps. Returns
+    the new manifest."""
     run = time.time_ns()
     old = _last(spark, f"{root}/manifest", MANIFEST).drop("run")
     stored = _stored_chunks(spark, root).join(old.select("source_id", F.col("output_run").alias("run")), ["source_id", "run"], "left_semi")
@@ -149,13 +151,15 @@ def chunking_run(spark: SparkSession, docs: DataFrame, root: str, sizes: Sizes =
     now = work.drop("elements").join(output_digests(stored).select("source_id", "output_sha256"), "source_id", "left")
     same = unchanged_sources(now, old).select("source_id")
     todo = work if force else work.join(same, "source_id", "left_anti")
-    chunking.chunk_rows(todo, sizes).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{root}/chunks")
-    made = output_digests(_stored_chunks(spark, root).filter(F.col("run") == run))
-    before = old.select("source_id", F.lit(True).alias("_before"))
+    chunking.chunk_outcomes(todo, sizes).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{root}/chunks")
+    written = spark.read.schema(f"{chunking.OUTCOME}, run long").parquet(f"{root}/chunks").filter(F.col("run") == run)
+    made = output_digests(written.filter("error IS NULL"))
+    faults = written.filter("error IS NOT NULL").groupBy("source_id").agg(F.min("error").alias("_fault"))
+    before = old.filter("output_run IS NOT NULL").select("source_id", F.lit(True).alias("_before"))
     good = F.col("chunk_count").isNotNull() & F.coalesce("contiguous", F.lit(False))
-    entries = todo.drop("elements").join(made, "source_id", "left").join(before, "source_id", "left").select(
+    entries = todo.drop("elements").join(made, "source_id", "left").join(before, "source_id", "left").join(faults, "source_id", "left").select(
         "source_id", F.when(~good, "failed").when(F.col("_before"), "updated").otherwise("chunked").alias("status"),
-        F.when(F.col("chunk_count").isNull(), "no text").when(~good, "indexes have gaps").alias("error"),
+        F.when(F.col("chunk_count").isNull(), F.coalesce("_fault", F.lit("no text"))).when(~good, "indexes have gaps").alias("error"),
         *STATE, F.when(good, F.lit(run)).alias("output_run"), "chunk_count", "character_count", "minimum_chunk_size", "average_chunk_size", "maximum_chunk_size", "quality_flags",
     )
     if not force:

@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.text import area_name
-from arpent.operators import analytics
+from arpent.operators import analytics, conversation
 from arpent.policy import DEFAULT, InputError, Policy
 
 
@@ -43,8 +43,11 @@ def registry(sales: DataFrame, diagnostics: DataFrame, answer: Callable[[str, st
     scope, period = {"area": int, "start": int, "end": int}, {"start": int, "end": int}
 
     def energy(**x) -> DataFrame:
-        labels = analytics.poor_labels(diagnostics, policy=energy_policy, **x)
-        return labels.crossJoin(F.broadcast(analytics.intensity_summary(diagnostics, policy=energy_policy, **x)))
+        """A row for each label, with the numbers of the whole scope beside it."""
+        beside = lambda df, p: F.broadcast(df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)))
+        labels = analytics.label_distribution(diagnostics, policy=energy_policy, **x)
+        poor, intensity = analytics.poor_labels(diagnostics, policy=energy_policy, **x), analytics.intensity_summary(diagnostics, policy=energy_policy, **x)
+        return labels.crossJoin(beside(poor, "labels")).crossJoin(beside(intensity, "intensity")).orderBy("label")  # seven rows
 
     def documentary(question: str, style: str = "auto") -> DataFrame:
         if not 1 <= len(question.strip()) <= 2000 or style not in ("auto", "brief", "detailed"):
@@ -73,10 +76,27 @@ def call_signature(name: str, payload: dict) -> str:
     return name + ":" + json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def run_turn(model: Callable[[list], dict], tools: dict[str, Tool], message: str, rounds: int = 4, calls: int = 6, rows: int = 50) -> dict:
+#: Fixed values of the routes: what is said where a rule answers without the model.
+LOCAL = ("security", "clock", "weather", "location", "greeting", "thanks", "acknowledgement", "goodbye", "capability", "clarify_city", "out_of_scope")
+
+
+def settled_turn(spark: SparkSession, model: Callable[[list], dict], tools: dict[str, Tool], message: str, history: list[tuple[str, str]] = (), said: Callable[[str], str] = str, **bounds) -> dict:
+    """A turn with what comes before the model: of the history the last messages alone, the route, which may answer locally
+    by what `said` has for it, and the only tool that a question of its kind may use. Adds the route to what run_turn gives."""
+    turns = [*history, ("user", message)]
+    rows = spark.createDataFrame([("turn", i, role, text) for i, (role, text) in enumerate(turns)], "conv_id string, turn int, role string, text string")
+    settled = conversation.prepared_turns(rows).filter(F.col("turn") == len(turns) - 1).first()
+    if settled.route in LOCAL:
+        return {"text": said(settled.route), "tools": [], "route": settled.route}
+    allowed = tools if settled.allowed_tools is None else {settled.allowed_tools: tools[settled.allowed_tools]}
+    return run_turn(model, allowed, message, history=[(m.role, m.text) for m in settled.history], **bounds) | {"route": settled.route}
+
+
+def run_turn(model: Callable[[list], dict], tools: dict[str, Tool], message: str, rounds: int = 4, calls: int = 6, rows: int = 50, history: list[tuple[str, str]] = ()) -> dict:
     """Let a given model call tools until it answers: {"text"} or {"calls": [(name, payload)]} in each round, at most
-    `rounds` rounds of `calls` calls; repeated calls and errors are told to the model. Results are cut to `rows` rows."""
-    messages, seen, used = [("user", message)], set(), []
+    `rounds` rounds of `calls` calls; repeated calls and errors are told to the model. A result of more than `rows` rows
+    is an error that is told too, not cut."""
+    messages, seen, used = [*history, ("user", message)], set(), []
     for turn in range(rounds + 1):
         reply = model(messages)
         if "text" in reply:
@@ -90,7 +110,9 @@ def run_turn(model: Callable[[list], dict], tools: dict[str, Tool], message: str
                 continue
             seen.add(mark)
             try:
-                found = [json.loads(x) for x in execute(tools, name, payload).limit(rows).toJSON().collect()]
+                found = [json.loads(x) for x in execute(tools, name, payload).limit(rows + 1).toJSON().collect()]
+                if len(found) > rows:
+                    raise InputError(f"{name} has more than {rows} rows for this; ask for less")
                 used.append((name, True))
                 messages.append(("tool", json.dumps(found, ensure_ascii=False)))
             except InputError as problem:

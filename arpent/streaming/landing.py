@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,7 +18,3 @@ def ingest(spark: SparkSession, landing: str, schema: StructType, warehouse: War
 
     return spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def newest_by_key(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
-    """A stream's newest event time for each key, with a bound on how late rows may come."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, late), key).agg(F.max(time).alias("newest"), F.count("*").alias("n"))
