@@ -47,13 +47,13 @@ def may_be_like(word: Column, candidates: tuple[str, ...], least: float) -> Colu
     """Whether a word's ratio of matching blocks with any of the candidates can reach `least`: the letters that two words
     have in common, with repeats, are at least as many as those in matching blocks. Built-in expressions alone; what
     they let through has its ratio taken by `like_words`."""
-    size, any_of = F.length(word), F.lit(False)
-    for c in candidates:
-        shared = F.lit(0)
-        for letter in sorted(set(c)):
-            shared = shared + F.least(size - F.length(F.replace(word, F.lit(letter), F.lit(""))), F.lit(c.count(letter)))
-        any_of = any_of | (2.0 * shared / (size + len(c)) >= least)
-    return F.coalesce(any_of, F.lit(False))
+    shapes = F.array(*(F.struct(F.lit(len(c)).alias("size"), F.array(*(F.struct(F.lit(x).alias("letter"), F.lit(c.count(x)).alias("n")) for x in sorted(set(c)))).alias("letters")) for c in candidates))
+
+    def reaches(c: Column) -> Column:
+        shared = F.aggregate(c["letters"], F.lit(0), lambda n, x: n + F.least(F.length(word) - F.length(F.replace(word, x["letter"], F.lit(""))), x["n"]))
+        return 2.0 * shared / (F.length(word) + c["size"]) >= least
+
+    return F.coalesce(F.exists(shapes, reaches), F.lit(False))
 
 
 def like_words(words: DataFrame, column: str, candidates: tuple[str, ...], least: float) -> DataFrame:

@@ -106,7 +106,7 @@ def test_turns_are_settled_before_the_model(spark, known):
     asked = []
 
     def model(messages):
-        asked.append(messages)
+        asked.append(list(messages))
         return {"calls": [("get_market_overview", {})]} if len(asked) == 1 else {"text": "done"}
 
     local = tools.settled_turn(spark, model, known, "Bonjour", said=lambda route: f"<{route}>")
