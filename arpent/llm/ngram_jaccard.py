@@ -319,7 +319,7 @@ def _starts(table: pa.Table) -> np.ndarray:
 def _plausible(groups: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     """cls, root for classes that the bitmaps may link. groups: grp, many, cls; classes: cls, n, band, bits."""
     heavy = classes.filter(F.length("bits") > GROUP_BYTES // GROUP).select("cls")
-    heavy = groups.join(heavy, "cls", "left_semi").select("grp").distinct().withColumn("heavy", F.lit(True))
+    heavy = stored(groups.join(heavy, "cls", "left_semi").select("grp").distinct().withColumn("heavy", F.lit(True)), "heavy")  # so that groups can be split
     rows = groups.join(heavy, "grp", "left").join(classes, "cls")
     in_tiles = (F.col("many") > GROUP) | F.coalesce("heavy", F.lit(False))
     large = rows.filter(in_tiles)
