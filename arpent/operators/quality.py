@@ -182,6 +182,38 @@ def sample_profile(rows: DataFrame, key: str = "numero_dpe", most_invalid: int =
     return reduce(DataFrame.unionByName, parts)
 
 
+def exact_duplicates(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: exact_duplicates, by how much rows outnumber the different ones, and n. Only digests of the columns, all of
+    them if none are named, are shuffled; nulls equal nulls."""
+    whole = F.to_json(F.struct(*(columns or rows.columns)), {"ignoreNullFields": "false"})
+    different = rows.groupBy(F.sha2(whole, 256).alias("sha")).agg(F.count("*").alias("n"))
+    return different.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicates"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def equal_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n for each different text: the smallest key that has it, and how many rows do. Texts meet as digests; null is a
+    text of its own."""
+    return rows.groupBy(F.sha2(text, 256).alias("sha")).agg(F.min(key).alias(key), F.count("*").alias("n")).drop("sha")
+
+
+def raw_profile(sales: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """table, section, key, value: both raw tables in one report. Of sales the missing shares, the kinds, natures and codes, how
+    many rows mutations have and in how many their value or kind differs, and the spread of values and surfaces; of
+    diagnostics their profile. Shares and counts of a table's columns come from one pass each."""
+    row = lambda df, section, k, v: df.select(F.lit(section).alias("section"), k.alias("key"), v.cast("double").alias("value"))
+
+    def long(one: DataFrame, section: str) -> DataFrame:
+        each = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in one.columns))))
+        return row(each, section, F.col("k"), F.col("v"))
+
+    parts = [row(missing(sales), "missing_pct", F.col("column"), F.col("pct_missing")), long(exact_duplicates(sales), "duplicates")]
+    parts += [row(value_counts(sales, c), c, F.col("value"), F.col("n")) for c in ("nature_mutation", "type_local", "code_commune")]
+    parts.append(long(rows_per_key(sales, "id_mutation", "valeur_fonciere", "type_local"), "rows_per_mutation"))
+    parts += [long(describe(sales, c), c) for c in ("valeur_fonciere", "surface_reelle_bati", "nombre_pieces_principales")]
+    both = ((reduce(DataFrame.unionByName, parts), "sales"), (sample_profile(diagnostics), "diagnostics"))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("table"), "section", "key", "value") for df, name in both))
+
+
 def as_markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
     """A small report table as Markdown; `most` bounds what comes to the driver."""
     names = rows.columns

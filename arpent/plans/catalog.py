@@ -9,6 +9,7 @@ from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
 from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, reports, vectors
 from arpent.plans import answers, corpus, runs, tools
+from arpent.sources import files
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
 
 QUERIES: dict = {}
@@ -223,9 +224,7 @@ def ineligibility_counts(spark, sf_dir):
 
 @query("SELECT count(*) - count(DISTINCT (lang, source, text)) AS exact_duplicates, count(*) AS n FROM documents")
 def exact_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("sha"))
-    groups = docs.groupBy("lang", "source", "sha").agg(F.count("*").alias("n"))
-    return groups.agg((F.sum("n") - F.count("*")).alias("exact_duplicates"), F.sum("n").alias("n"))
+    return quality.exact_duplicates(table(spark, sf_dir, "documents"), "lang", "source", "text")
 
 
 @query(f"WITH {ENERGY_SQL} SELECT numero_dpe, _id, date_etablissement_dpe FROM dnew")
@@ -319,19 +318,48 @@ def global_metrics_rollup(spark, sf_dir):
     return quality.global_metrics(raw_sales(spark, sf_dir), sales(spark, sf_dir))
 
 
-@query(f"""WITH {ENERGY_SQL}, r AS (SELECT *, CASE WHEN user_id % 22 < 21 THEN '751' || lpad(CAST(user_id % 22 + 1 AS VARCHAR), 2, '0') END AS code FROM ev),
-d AS (SELECT draw0.*, r.code, '750' || lpad(CAST(r.user_id % 20 + 1 AS VARCHAR), 2, '0') AS pcode FROM draw0 JOIN r ON draw0._id = lpad(CAST(r.event_id AS VARCHAR), 12, '0'))
-SELECT 'repeated_keys' AS section, NULL AS key, CAST(count(*) - count(DISTINCT numero_dpe) AS DOUBLE) AS value FROM d
-UNION ALL SELECT 'etiquette_dpe', etiquette_dpe, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'etiquette_ges', etiquette_ges, count(*) FROM d GROUP BY 2
-UNION ALL SELECT 'code_insee_ban', code, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'code_postal_ban', pcode, count(*) FROM d GROUP BY 2
-UNION ALL SELECT 'invalid_code_insee_ban', code, count(*) FROM d WHERE NOT coalesce(CAST(substr(code, 4) AS INTEGER) BETWEEN 1 AND 20, false) GROUP BY 2
-UNION ALL SELECT 'surface_habitable_logement', unnest(['count', 'mean', 'min', 'p50', 'max']), unnest([count(surface), {r2("avg(surface)")}, min(surface), {r2("quantile_cont(surface, 0.5)")}, max(surface)]) FROM d""")
+RAW_DIAGNOSTICS = f"""{ENERGY_SQL}, d AS (SELECT draw0.*, CASE WHEN user_id % 22 < 21 THEN '751' || lpad(CAST(user_id % 22 + 1 AS VARCHAR), 2, '0') END AS code, '750' || lpad(CAST(user_id % 20 + 1 AS VARCHAR), 2, '0') AS pcode
+  FROM draw0 JOIN ev ON draw0._id = lpad(CAST(event_id AS VARCHAR), 12, '0'))"""
+
+
+def _described_sql(section: str, column: str, source: str) -> str:
+    each = {"count": f"count({column})", "mean": r2(f"avg({column})"), "std": r2(f"stddev_samp({column})"), "min": f"min({column})", "max": f"max({column})"} | {f"p{q}": r2(f"quantile_cont({column}, {q / 100})") for q in (25, 50, 75)}
+    return f"SELECT '{section}' AS section, unnest({list(each)}) AS key, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in each.values())}]) AS value FROM {source}"
+
+
+def _diagnostic_profile_sql() -> str:
+    full = ("_id", "numero_dpe", "date_etablissement_dpe", "date_reception_dpe", "etiquette_dpe", "etiquette_ges", "conso_5_usages_par_m2_ep", "emission_ges_5_usages_par_m2", "type_batiment", "code_postal_ban", "code_departement_ban", "_geopoint")
+    missing = {c: "0.0" for c in full} | {c: "100.0" for c in ("date_fin_validite_dpe", "periode_construction")} | {n: pct(f"count(*) FILTER (WHERE {c} IS NULL)", "count(*)") for n, c in (("code_insee_ban", "code"), ("surface_habitable_logement", "surface"))}
+    parts = [f"SELECT 'missing_pct' AS section, unnest({list(missing)}) AS key, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in missing.values())}]) AS value FROM d"]
+    parts.append("SELECT 'repeated_keys', NULL, CAST(count(*) - count(DISTINCT numero_dpe) AS DOUBLE) FROM d")
+    parts += [f"SELECT '{n}', {c}, CAST(count(*) AS DOUBLE) FROM d GROUP BY {c}" for n, c in (("etiquette_dpe", "etiquette_dpe"), ("etiquette_ges", "etiquette_ges"), ("code_insee_ban", "code"), ("code_postal_ban", "pcode"))]
+    parts.append("SELECT 'invalid_code_insee_ban', code, CAST(count(*) AS DOUBLE) FROM d WHERE NOT coalesce(CAST(substr(code, 4) AS INTEGER) BETWEEN 1 AND 20, false) GROUP BY code")
+    parts += [_described_sql(n, c, "d") for n, c in (("surface_habitable_logement", "surface"), ("conso_5_usages_par_m2_ep", "conso"), ("emission_ges_5_usages_par_m2", "emission"))]
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH {RAW_DIAGNOSTICS} {_diagnostic_profile_sql()}")
 def diagnostic_profile(spark, sf_dir):
-    """All counts of the profile, and of the descriptions that of the surface without its deviation and outer quartiles."""
-    found = quality.sample_profile(raw_diagnostics(spark, sf_dir))
-    described = (F.col("section") == "surface_habitable_logement") & F.col("key").isin("count", "mean", "min", "p50", "max")
-    counted = F.col("section").isin("repeated_keys", "etiquette_dpe", "etiquette_ges", "code_insee_ban", "code_postal_ban", "invalid_code_insee_ban")
-    return found.filter(counted | described)
+    return quality.sample_profile(raw_diagnostics(spark, sf_dir))
+
+
+def _raw_profile_sql() -> str:
+    full = ("id_mutation", "date_mutation", "nature_mutation", "valeur_fonciere", "code_commune", "code_departement", "id_parcelle", "surface_reelle_bati", "nombre_pieces_principales", "longitude", "latitude", "source_year", "source_file", "source_sha256")
+    missing = {c: "0.0" for c in full} | {"type_local": pct("count(*) FILTER (WHERE type_local IS NULL)", "count(*)")}
+    parts = [f"SELECT 'missing_pct' AS section, unnest({list(missing)}) AS key, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in missing.values())}]) AS value FROM raw"]
+    parts.append("SELECT 'duplicates', unnest(['exact_duplicates', 'n']), unnest([CAST(count(*) - (SELECT count(*) FROM dd) AS DOUBLE), CAST(count(*) AS DOUBLE)]) FROM raw")
+    parts += [f"SELECT '{c}', {c}, CAST(count(*) AS DOUBLE) FROM raw GROUP BY {c}" for c in ("nature_mutation", "type_local", "code_commune")]
+    keys = {"n_keys": "count(*)", "mean_rows": r2("avg(n)"), "max_rows": "max(n)", "multi_row_pct": pct("count(*) FILTER (WHERE n > 1)", "count(*)"), "n_mixed_value": "count(*) FILTER (WHERE a)", "n_mixed_kind": "count(*) FILTER (WHERE b)"}
+    of = "(SELECT count(*) AS n, min(valeur_fonciere) < max(valeur_fonciere) AS a, min(type_local) < max(type_local) AS b FROM raw GROUP BY id_mutation) k"
+    parts.append(f"SELECT 'rows_per_mutation', unnest({list(keys)}), unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in keys.values())}]) FROM {of}")
+    parts += [_described_sql(c, c, "raw") for c in ("valeur_fonciere", "surface_reelle_bati", "nombre_pieces_principales")]
+    return f"SELECT 'sales' AS \"table\", * FROM ({' UNION ALL '.join(parts)}) s UNION ALL SELECT 'diagnostics', * FROM ({_diagnostic_profile_sql()}) p"
+
+
+@query(f"WITH {SALES_SQL}, {RAW_DIAGNOSTICS} {_raw_profile_sql()}")
+def raw_profile(spark, sf_dir):
+    """Both raw tables in one profile."""
+    return quality.raw_profile(raw_sales(spark, sf_dir), raw_diagnostics(spark, sf_dir))
 
 
 @query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
@@ -569,9 +597,12 @@ def manifest_merge(spark, sf_dir):
     return loading.merge_manifest(old, new, "doc_id")
 
 
-@query("SELECT CAST(n AS INTEGER) AS arrondissement_number, '751' || lpad(CAST(n AS VARCHAR), 2, '0') AS insee_code, '750' || lpad(CAST(n AS VARCHAR), 2, '0') AS postal_code, 'Paris ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN 'er' ELSE 'e' END AS name FROM range(1, 21) t(n)")
+@query(f"""WITH {SALES_SQL} SELECT CAST(n AS INTEGER) AS arrondissement_number, '751' || lpad(CAST(n AS VARCHAR), 2, '0') AS insee_code, '750' || lpad(CAST(n AS VARCHAR), 2, '0') AS postal_code,
+  'Paris ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN 'er' ELSE 'e' END AS name, (SELECT count(*) FROM raw WHERE code_commune = '751' || lpad(CAST(n AS VARCHAR), 2, '0')) AS n_rows FROM range(1, 21) t(n)""")
 def district_dimension(spark, sf_dir):
-    return loading.dimension(spark)
+    """The dimension with how many raw rows have each code."""
+    codes = raw_sales(spark, sf_dir).groupBy(F.col("code_commune").alias("insee_code")).agg(F.count("*").alias("n_rows"))
+    return loading.dimension(spark).join(codes, "insee_code", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 @query("""SELECT 'quantity' AS rule, count(*) FILTER (WHERE NOT (l_quantity BETWEEN 1 AND 45)) AS n_broken FROM lineitem
@@ -591,7 +622,7 @@ def text_stats(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY sha256(text)")
 def content_hash_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("sha")
+    return quality.equal_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, length(text) >= 200 AS enough FROM documents")
@@ -599,12 +630,14 @@ def short_documents(spark, sf_dir):
     return corpus.enough_content(table(spark, sf_dir, "documents"), key="doc_id")
 
 
-@query("""SELECT doc_id, 'S' || CAST(doc_id % 4 AS VARCHAR) AS first_source, doc_id % 4 BETWEEN 1 AND 2 AS valid FROM documents""")
+@query("""WITH a AS (SELECT doc_id, coalesce(text, '') || ' [S' || CAST(doc_id % 4 AS VARCHAR) || ']' AS t FROM documents),
+c AS (SELECT doc_id, list_distinct(regexp_extract_all(t, '\\[S(\\d{1,9})\\]', 1)) AS refs, regexp_extract(t, '\\[S(\\d{1,9})\\]', 1) AS first FROM a)
+SELECT doc_id, 'S' || first AS first_source, CAST(len(refs) AS INTEGER) AS n_cited, len(list_filter(refs, lambda x: CAST(x AS INTEGER) < 1 OR CAST(x AS INTEGER) > 2)) = 0 AS valid FROM c""")
 def citation_refs(spark, sf_dir):
-    made = F.concat(F.lit("See [S"), F.col("doc_id") % 4, F.lit("] and again [S"), F.col("doc_id") % 4, F.lit("]."))
-    answers = table(spark, sf_dir, "documents").select("doc_id", made.alias("answer"), F.lit(2).alias("n_hits"))
-    found = vectors.citations(answers, "answer", "n_hits")
-    return found.select("doc_id", F.concat(F.lit("S"), F.get("cited", F.lit(0)).cast("string")).alias("first_source"), "valid")
+    """Whole texts as answers, each with a reference at its end, of which every fourth does not exist."""
+    answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" [S"), F.col("doc_id") % 4, F.lit("]"))
+    found = vectors.citations(table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"), F.lit(2).alias("n_hits")), "answer", "n_hits")
+    return found.select("doc_id", F.concat(F.lit("S"), F.get("cited", F.lit(0)).cast("string")).alias("first_source"), F.size("cited").alias("n_cited"), "valid")
 
 
 def _redacted_sql(x: str) -> str:
@@ -826,8 +859,41 @@ def warehouse_validation(spark, sf_dir):
 
 @query(f"""WITH {SALES_SQL}, {ENERGY_SQL}, {LABELS}, o AS ({overview_sql('')}), t AS (SELECT sum(n) AS total FROM lab)
 SELECT 'market_eligible_total' AS rule, market_count <= eligible_count AND eligible_count <= total_count AS passed FROM o
+UNION ALL SELECT 'defaults_exclude_partial_years', NOT includes_partial_year AND total_count = (SELECT count(*) FROM mut WHERE source_year BETWEEN {Y0} AND {Y1} AND source_year <> 2001) FROM o
 UNION ALL SELECT 'ranked_districts', NOT EXISTS (SELECT 1 FROM mut WHERE arrondissement NOT BETWEEN 1 AND 20)
 UNION ALL SELECT 'percentages', coalesce(abs(sum({pct('n', 'total')}) - 100) < 0.5, false) OR sum(n) = 0 FROM lab, t
 UNION ALL SELECT 'poor_labels', sum(n) FILTER (WHERE label IN ('F', 'G')) <= sum(n) FROM lab""")
 def analytics_invariants(spark, sf_dir):
     return runs.answer_checks(sales(spark, sf_dir), diagnostics(spark, sf_dir), SALES_POLICY, ENERGY_POLICY)
+
+
+BROKEN = """broken AS (SELECT id_mutation, arrondissement FROM mut UNION ALL SELECT id_mutation, 99 FROM mut WHERE source_year = (SELECT min(source_year) FROM mut)),
+short AS (SELECT range AS n FROM range(1, 20))"""
+
+
+@query(f"""WITH {SALES_SQL}, {BROKEN}
+SELECT 'districts' AS dataset, 'expected_districts' AS rule, (SELECT count(*) = 20 FROM short) AS passed
+UNION ALL SELECT 'sales', 'unique_keys', count(*) = count(DISTINCT id_mutation) FROM broken
+UNION ALL SELECT 'sales', 'rows_match_source', count(*) = (SELECT count(*) FROM mut) FROM broken
+UNION ALL SELECT 'sales', 'districts_known', count(*) FILTER (WHERE arrondissement IS NOT NULL AND arrondissement NOT IN (SELECT n FROM short)) = 0 FROM broken
+UNION ALL SELECT 'sales', 'no_address_columns', false
+UNION ALL SELECT 'diagnostics', unnest(['unique_keys', 'rows_match_source', 'districts_known', 'no_address_columns']), unnest([count(*) = count(DISTINCT id_mutation), count(*) = (SELECT count(*) FROM mut), count(*) FILTER (WHERE arrondissement > 19) = 0, true]) FROM mut""")
+def warehouse_validation_of_broken(spark, sf_dir):
+    """The checks of a table that was broken on purpose: repeated keys, unknown districts, more rows than its source, an
+    address column and a dimension without its last district; and of the same table unbroken but for the dimension."""
+    good = sales(spark, sf_dir).select("source_year", "id_mutation", "arrondissement")
+    first = good.agg(F.min("source_year").alias("_first"))
+    extra = good.join(F.broadcast(first), F.col("source_year") == F.col("_first")).select("source_year", "id_mutation", F.lit(99).alias("arrondissement"))
+    broken = good.unionByName(extra).withColumn(loading.FORBIDDEN[0], F.lit("1"))
+    short = loading.dimension(spark, 19)
+    return runs.warehouse_checks(broken, good, good.withColumnRenamed("id_mutation", "numero_dpe"), good, short)
+
+
+SCOPE_SQL = """SELECT arrondissement, count(*) AS n, count_if(is_price_per_m2_eligible AND price_per_m2_raw BETWEEN :least AND :most) AS market_count
+FROM {facts} WHERE source_year BETWEEN :start AND :end AND arrondissement IS NOT NULL GROUP BY arrondissement"""
+
+
+@query(f"WITH {SALES_SQL} SELECT arrondissement, count(*) AS n, count(*) FILTER (WHERE {M}) AS market_count FROM mut WHERE source_year BETWEEN {Y0} AND {Y1} AND arrondissement IS NOT NULL GROUP BY arrondissement")
+def scope_by_parameters(spark, sf_dir):
+    """An answer asked in SQL with bound values."""
+    return files.asked(SCOPE_SQL, {"start": Y0, "end": Y1, "least": SALES_POLICY.least_price, "most": SALES_POLICY.most_price}, facts=sales(spark, sf_dir))

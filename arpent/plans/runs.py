@@ -125,8 +125,11 @@ def answer_checks(sales: DataFrame, diagnostics: DataFrame, policy: Policy = DEF
     ranked = analytics.rankings(sales, policy=policy).agg(F.count_if(~F.col("arrondissement").between(1, policy.districts)).alias("n"))
     labels = analytics.label_distribution(diagnostics, policy=energy_policy).agg(F.sum("n").alias("n"), F.sum("pct").alias("pct"))
     poor = analytics.poor_labels(diagnostics, policy=energy_policy)
+    years = sales.filter(F.col("source_year").between(policy.first_year, policy.last_year)).agg(F.count_if(F.col("source_year").isin(*policy.partial_years)).alias("partial"), F.count("*").alias("n"))
+    whole = analytics.market_overview(sales, policy=policy).select("total_count", "includes_partial_year").crossJoin(F.broadcast(years))  # two frames of one row
+    apart = {"defaults_exclude_partial_years": ~F.col("includes_partial_year") & (F.col("partial") == 0) & (F.col("total_count") == F.col("n"))}
     return (
-        total.unionByName(_listed(ranked, {"ranked_districts": F.col("n") == 0}))
+        total.unionByName(_listed(whole, apart)).unionByName(_listed(ranked, {"ranked_districts": F.col("n") == 0}))
         .unionByName(_listed(labels, {"percentages": (F.abs(F.col("pct") - 100) < 0.5) | (F.col("n") == 0)}))
         .unionByName(_listed(poor, {"poor_labels": F.col("fg_count") <= F.col("total")}))
     )

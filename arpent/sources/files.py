@@ -4,7 +4,7 @@ Schemas are always given, never inferred; bad numbers and dates become null."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -64,6 +64,20 @@ def profile(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def asked(sql: str, values: dict, **views: DataFrame) -> DataFrame:
+    """The answer to a SQL text over the given frames, which it names in braces, with values bound to its markers: `:name`.
+    Values are never part of the text, so none can change what is asked."""
+    return next(iter(views.values())).sparkSession.sql(sql, args=values, **views)
+
+
+def footer_count(spark: SparkSession, path: str) -> int:
+    """The number of rows of Parquet files as their footers tell it; no column is read."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).count()
+
+
 DOCUMENT = (
     "source_id string, title string, raw_sha256 string, total_characters int, "
     "elements array<struct<order:int,kind:string,text:string,page_number:int,heading_level:int>>"
@@ -89,16 +103,31 @@ CHUNK = (
 
 
 def chunk_corpus(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
-    """Chunks from JSON lines, all or those of the given sources; raises for sources without chunks and repeated ids."""
-    chunks = spark.read.schema(CHUNK).json(path)
+    """Chunks from JSON lines, all or those of the given sources. Reading checks them: a source without chunks is an error
+    at once; a file of several sources or without any, and chunks of a source that do not follow each other from 0, repeat
+    an id or say more or fewer characters than they have, are errors with the source's name of whoever reads its rows."""
+    chunks = spark.read.schema(CHUNK).json(path).withColumn("_file", F.input_file_name())
     if sources is not None:
-        asked = spark.createDataFrame([(s,) for s in sources], "source_id string")
-        if gone := [r[0] for r in asked.join(chunks, "source_id", "left_anti").collect()]:
+        wanted = spark.createDataFrame([(s,) for s in sources], "source_id string")
+        if gone := [r[0] for r in wanted.join(chunks, "source_id", "left_anti").collect()]:
             raise ValueError(f"no chunks of {sorted(gone)}")
         chunks = chunks.filter(F.col("source_id").isin(sources))
-    if not (twice := chunks.groupBy("chunk_id").count().filter("count > 1").limit(1)).isEmpty():
-        raise ValueError(f"chunk id {twice.first()[0]} occurs twice")
-    return chunks
+    by_file = chunks.groupBy("_file").agg(F.min("source_id").alias("_low"), F.max("source_id").alias("_high"))
+    mixed = by_file.filter(~F.col("_low").eqNullSafe(F.col("_high"))).select(F.col("_file").alias("_mixed"))
+    twice = chunks.groupBy("chunk_id").agg((F.count("*") > 1).alias("_twice")).filter("_twice")
+    order = Window.partitionBy("source_id").orderBy("chunk_index")
+    checked = chunks.withColumn("_place", F.row_number().over(order) - 1)  # a source's chunks are those of one document
+    checked = checked.join(twice, "chunk_id", "left").join(mixed, F.col("_file") == F.col("_mixed"), "left")
+    problem = (
+        F.when(F.col("source_id").isNull(), "a chunk without a source")
+        .when(F.col("_mixed").isNotNull(), F.concat(F.lit("several sources in one file: "), F.col("_file")))
+        .when(F.coalesce("_twice", F.lit(False)), F.concat(F.lit("chunk id twice: "), F.col("chunk_id")))
+        .when(~F.col("chunk_index").eqNullSafe(F.col("_place")), F.concat(F.lit("chunk indexes do not run from 0 without gaps at "), F.coalesce(F.col("chunk_index").cast("string"), F.lit("null"))))
+        .when(~F.col("character_count").eqNullSafe(F.length("text")), F.concat(F.lit("other text than its count says: "), F.col("chunk_id")))
+    )
+    fails = F.raise_error(F.concat_ws(": ", F.coalesce("source_id", F.lit("?")), problem)).cast("string")
+    checked = checked.withColumn("source_id", F.when(problem.isNotNull(), fails).otherwise(F.col("source_id")))
+    return checked.select(*(c.split()[0] for c in CHUNK.split(", ")))
 
 
 REGISTRY = (

@@ -1,0 +1,109 @@
+"""Checked chunk files, counts from footers, bound parameters, and what plans do."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from arpent.operators import analytics
+from arpent.plans import catalog, probe
+from arpent.policy import Policy
+from arpent.sources import files
+
+
+def chunk(source="s", n=0, **more):
+    text = f"text {n}"
+    row = {"source_id": source, "chunk_index": n, "chunk_id": f"{source}{n}", "text": text, "character_count": len(text), "word_count": 2, "content_sha256": "x", "heading_path": [], "quality_flags": []}
+    return row | more
+
+
+def stored(tmp_path, **named):
+    (tmp_path / "c").mkdir()
+    for name, rows in named.items():
+        (tmp_path / f"c/{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    return f"{tmp_path}/c"
+
+
+def test_good_chunks(spark, tmp_path):
+    path = stored(tmp_path, s=[chunk("s", 1), chunk("s", 0)], t=[chunk("t")], none=[])
+    assert {(r.source_id, r.chunk_index) for r in files.chunk_corpus(spark, path).collect()} == {("s", 0), ("s", 1), ("t", 0)}
+    assert [r.chunk_id for r in files.chunk_corpus(spark, path, ["t"]).collect()] == ["t0"]
+    with pytest.raises(ValueError, match="no chunks of \\['none'\\]"):
+        files.chunk_corpus(spark, path, ["t", "none"])
+    assert files.chunk_corpus(spark, path).columns == [c.split()[0] for c in files.CHUNK.split(", ")]
+
+
+def test_an_empty_folder_of_files(spark, tmp_path):
+    path = stored(tmp_path, none=[])
+    assert files.chunk_corpus(spark, path).count() == 0
+    with pytest.raises(ValueError, match="no chunks"):
+        files.chunk_corpus(spark, path, ["none"])
+
+
+@pytest.mark.parametrize(
+    "rows, said",
+    [
+        ([chunk("gap", 0), chunk("gap", 2)], "gap: chunk indexes do not run from 0 without gaps at 2"),
+        ([chunk("late", 1)], "late: chunk indexes"),
+        ([chunk("null", None, text="x", character_count=1)], "null: chunk indexes.*null"),
+        ([chunk("a"), chunk("b")], "several sources in one file.*f.jsonl"),
+        ([chunk("twice", 0), chunk("twice", 1, chunk_id="twice0")], "twice: chunk id twice: twice0"),
+        ([chunk("short", character_count=3)], "short: other text than its count says"),
+        ([chunk(None)], "a chunk without a source"),
+    ],
+)
+def test_faulty_chunks_are_errors_with_their_source(spark, tmp_path, rows, said):
+    path = stored(tmp_path, f=rows, good=[chunk("good")])
+    with pytest.raises(Exception, match=said):
+        files.chunk_corpus(spark, path).collect()
+
+
+#: The exchanges of a trend: years are aggregated, joined to the few of the period, and put in order.
+TREND = ["broadcast exchange", "hash exchange", "single exchange"]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def test_counts_from_footers(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        assert files.footer_count(spark, path) == spark.read.parquet(path).count()
+    spark.range(1000).repartition(5).write.parquet(f"{tmp_path}/many")
+    assert files.footer_count(spark, f"{tmp_path}/many") == 1000
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    plan = own.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "text" not in plan  # as footer_count asks: no column is read
+
+
+def test_values_are_bound(spark):
+    facts = spark.createDataFrame([(1, "a"), (2, "b' OR true")], "n int, s string")
+    ask = lambda s: [r.n for r in files.asked("SELECT n FROM {facts} WHERE s = :s", {"s": s}, facts=facts).collect()]
+    assert ask("a") == [1] and ask("b' OR true") == [2] and ask("x' OR 'x' = 'x") == []
+
+
+@pytest.fixture
+def facts(spark, sf_dir, tmp_path):
+    catalog.sales(spark, sf_dir).write.parquet(f"{tmp_path}/sales")
+    return spark.read.parquet(f"{tmp_path}/sales")
+
+
+def test_steps_of_the_headline_answers(facts):
+    """An exchange more, a filter that is not pushed or a column more in an answer fails here."""
+    policy = Policy(1995, 2000, (1995, 1996, 1997, 1998, 1999, 2000), (2001,))
+    kinds = lambda df: sorted(k for k, _, _, _ in probe.steps(df) if k != "scan")
+    scans = lambda df: [(set(columns), pushed) for k, _, pushed, columns in probe.steps(df) if k == "scan"]
+    trend, compared, ranked = analytics.price_trend(facts, policy=policy), analytics.compare_areas(facts, [13, 20], policy=policy), analytics.rankings(facts, policy=policy)
+    assert kinds(trend) == TREND
+    assert kinds(compared) == ["broadcast exchange", "hash exchange"] and kinds(ranked) == ["hash exchange", "hash exchange"]
+    for df in (trend, compared, ranked):
+        for columns, pushed in scans(df):
+            assert "source_year" in columns and columns <= {"source_year", "arrondissement", "is_price_per_m2_eligible", "price_per_m2_raw", "residential_surface"}
+            assert {"GreaterThanOrEqual(source_year,1995)", "LessThanOrEqual(source_year,2000)"} <= set(pushed)
+    assert any("In(arrondissement, [13,20])" in p for _, pushed in scans(compared) for p in pushed)
+    overview = kinds(analytics.market_overview(facts, policy=policy))
+    assert overview.count("single exchange") == 1 and overview.count("broadcast exchange") == 1 and overview.count("hash exchange") <= 6
+    rows = {r.kind for r in probe.plan_steps(compared).collect()}
+    assert rows == {"scan", "broadcast exchange", "hash exchange"}
+    worse = compared.repartition(3, "median")
+    assert kinds(worse) != kinds(compared) and ("hash exchange", "median", [], []) in probe.steps(worse)
