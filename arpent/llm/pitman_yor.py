@@ -1,21 +1,22 @@
 """Scoring text by a hierarchical Pitman-Yor model with Chinese-restaurant seating sampled by Gibbs.
 
-Restaurants: every token eats in the restaurant of its context, the class of the word before it; FINE such classes share
-COARSE parents by the ends of those words, and these share the root, whose base is uniform over the training words and
-one unknown. Each table of a restaurant is a customer of its parent.
+Restaurants: every token eats in the restaurant of its context, the class of the word before it; FINE such classes - so
+many that a frequent word mostly has one with rare words alone - share COARSE parents by the ends of those words, and
+these share the root, whose base is uniform over the training words and one unknown. Each table of a restaurant is a
+customer of its parent.
 
 The corpus is dealt by word. All customers of one word, in all restaurants, lie in one partition's state; only the
 restaurants' totals of customers and tables, FINE + COARSE + 1 pairs of numbers, go through the driver. A sweep reseats
 every dish of every restaurant given the totals of the sweep before: the number of tables is drawn from its exact
 conditional, by generalized Stirling numbers, for dishes of up to EXACT customers, and by seating in growing blocks
-beyond. Discounts come from the counts of ones and twos on each level; after each sweep the concentrations of the three
+beyond. What is drawn for a dish depends on its word, its restaurant and the sweep, not on how the words are dealt. Discounts come from the counts of ones and twos on each level; after each sweep the concentrations of the three
 levels are drawn on a grid given the totals of all restaurants. After `burn_in` sweeps the predictive probabilities
 of `samples` sweeps are averaged.
 
 Two passes read the texts. The first counts words and contexts in each task before they are dealt. The second deals the
 tokens of all documents to the words' states, packed by task and partition, and adds the logarithms up by document.
-Words that make up a 512th of the corpus or more - so at most 512 - are scored where the text is read, from a table that
-is broadcast, so no frequent word gathers in one task.
+Words of more than a partition's share of all tokens, the HOT_WORDS most frequent at most, are scored where the text is
+read, from a table that is broadcast, so that no frequent word gathers in one task.
 
 Defined results: null and empty texts are the end token alone; repeated rows are each scored, and learned from, on their
 own; a null id counts as the empty text in the choice of held-out rows; without training rows the model is the uniform
@@ -37,19 +38,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices
-from arpent.llm.common import LONG_WORD, Memo, drop, stored
+from arpent.llm.common import LONG_WORD, Memo, drop, mix64, stored
 
 #: Context classes and their parents; the class of a word is kept in the low bits of its hash.
-FINE, COARSE = 4096, 64
+BITS, COARSE = 18, 64
+FINE = 1 << BITS
 PER_COARSE = FINE // COARSE
-BURN_IN, SAMPLES, EXACT = 1, 2, 48
+BURN_IN, SAMPLES, EXACT = 1, 2, 256
 #: The concentrations that are drawn from.
 STRENGTHS = np.geomspace(0.1, 1e6, 57)
 ADD = 0.1
 #: Tokens that are packed together, and documents at most.
 TOKENS_AT_ONCE, DOCS_AT_ONCE = 1_000_000, 20_000
 REMEMBERED = 500_000
-HOT_SHARE = 512
+HOT_WORDS = 32
+#: Numbers of a block of dishes that are drawn together.
+DRAWN = 2_400_000
 _words = Memo(REMEMBERED)
 
 
@@ -62,9 +66,9 @@ def unpack(data: bytes) -> tuple:
 
 
 def _hash(word: bytes) -> int:
-    """52 bits of the word's hash, then its context class: six bits of its last two bytes' hash and six of its own."""
+    """46 bits of the word's hash, then its context class: six bits of its last two bytes' hash and the rest of its own."""
     own = xxhash.xxh3_64_intdigest(word)
-    return (own & ~0xFFF) | (xxhash.xxh3_64_intdigest(word[-2:], seed=1) & 63) << 6 | (own & 63)
+    return (own & ~(FINE - 1)) | (xxhash.xxh3_64_intdigest(word[-2:], seed=1) % COARSE) * PER_COARSE | (own % PER_COARSE)
 
 
 END = _hash(b"")
@@ -100,7 +104,7 @@ def held_out(key) -> bool:
 
 
 def partition_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(12)) % np.uint64(parts)).astype(np.int64)
+    return ((h >> np.uint64(BITS)) % np.uint64(parts)).astype(np.int64)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -149,7 +153,7 @@ def counted(docs: DataFrame, parts: int, key: str, text: str) -> DataFrame:
             h, c = h[order], c[order]
             at = _starts(h, c)
             n = np.diff(np.append(at, len(h)))
-            h, c = h[at], c[at].astype(np.uint16)
+            h, c = h[at], c[at].astype(np.uint32)
             cuts = _cut(partition_of(h, parts))
             blobs = []
             for _, lo, hi in cuts:
@@ -179,7 +183,7 @@ class State:
     def merged(blobs: list[bytes]) -> "State":
         found = [unpack(b) for b in blobs]
         h = np.concatenate([np.repeat(w, k) for w, k, _, _ in found]) if found else np.zeros(0, np.uint64)
-        c = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint16)
+        c = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint32)
         n = np.concatenate([x[3] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
         order = np.lexsort((c, h))
         h, c, n = h[order], c[order], n[order]
@@ -228,13 +232,15 @@ class State:
         fine = (self.count - t.d[2] * self.tables + t.open_fine[self.ctx] * up) / (t.s[2] + t.fine[0][self.ctx])
         return root, coarse, fine
 
-    def sweep(self, t: "Totals", rng: np.random.Generator) -> None:
+    def sweep(self, t: "Totals", seed: int) -> None:
         """Reseat all dishes from the contexts up to the root."""
         root, coarse, _ = self.probabilities(t)
         up = np.repeat(coarse, np.diff(np.append(self.coarse_at, len(self.ctx))))
-        self.tables = draw_tables(self.count, self.tables, t.fine[1][self.ctx], up, t.d[2], t.s[2], rng)
-        self.coarse_tables = draw_tables(self.coarse_count, self.coarse_tables, t.coarse[1][self.coarse], root[self.coarse_word], t.d[1], t.s[1], rng)
-        self.root_tables = draw_tables(self.root_count, self.root_tables, np.full(len(self.words), t.root[1]), np.full(len(self.words), t.base), t.d[0], t.s[0], rng)
+        dish = lambda word, restaurant: mix64(self.words[word] ^ mix64(restaurant.astype(np.uint64) + np.uint64(seed << 32)))
+        every = np.arange(len(self.words))
+        self.tables = draw_tables(self.count, self.tables, t.fine[1][self.ctx], up, t.d[2], t.s[2], dish(self.word, self.ctx))
+        self.coarse_tables = draw_tables(self.coarse_count, self.coarse_tables, t.coarse[1][self.coarse], root[self.coarse_word], t.d[1], t.s[1], dish(self.coarse_word, FINE + self.coarse))
+        self.root_tables = draw_tables(self.root_count, self.root_tables, np.full(len(self.words), t.root[1]), np.full(len(self.words), t.base), t.d[0], t.s[0], dish(every, np.full(len(every), FINE + COARSE)))
 
     def keep_sample(self) -> None:
         self.samples.append((self.tables[self.count > 1].astype(np.int32), self.coarse_tables.astype(np.int32), self.root_tables.astype(np.int32)))
@@ -279,9 +285,12 @@ _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 def draw_strength(customers: np.ndarray, tables: np.ndarray, d: float, rng: np.random.Generator) -> float:
     """A concentration for restaurants of these totals, from its conditional on the grid."""
     some = customers > 0
-    c, t, s = customers[some][:, None], tables[some][:, None], STRENGTHS[None, :]
     g = lambda x: _lgamma(x).astype(float)
-    log = (g(s / d + t) - g(s / d + 1) - g(s + c) + g(s + 1)).sum(0)
+    n, s = int(some.sum()), STRENGTHS[None, :]
+    log = n * (g(STRENGTHS + 1) - g(STRENGTHS / d + 1))
+    for total, first, sign in ((tables[some], s / d, 1), (customers[some], s, -1)):  # few totals differ
+        value, times = np.unique(total, return_counts=True)
+        log = log + sign * (times[:, None] * g(first + value[:, None])).sum(0)
     return float(STRENGTHS[int((log + rng.gumbel(size=len(STRENGTHS))).argmax())])
 
 
@@ -292,16 +301,21 @@ def stirling(d: float) -> np.ndarray:
     """Logarithms of the generalized Stirling numbers of discount d for up to EXACT customers and tables."""
     if d not in _stirling:
         s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-        s[1, 1] = 0
+        s[1, 1], m = 0, np.arange(EXACT + 1)
         for n in range(1, EXACT):
-            for m in range(1, n + 2):
-                stay = s[n, m] + np.log(n - m * d) if m <= n else -np.inf
-                s[n + 1, m] = np.logaddexp(s[n, m - 1], stay)
+            stay = s[n] + np.log(np.maximum(n - m * d, 1e-300))
+            s[n + 1, 1:] = np.logaddexp(s[n, :-1], stay[1:])
         _stirling[d] = s
     return _stirling[d]
 
 
-def draw_tables(count, tables, total_tables, up, d, strength, rng) -> np.ndarray:
+def uniform(dish: np.ndarray, n: int) -> np.ndarray:
+    """n numbers between 0 and 1 for each dish, of its own and without a generator's state."""
+    bits = mix64(dish[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def draw_tables(count, tables, total_tables, up, d, strength, dish) -> np.ndarray:
     """The number of tables of each dish, drawn given its customers, the restaurant's other tables and the parent's
     probability of the dish."""
     out = np.minimum(count, 1)
@@ -311,20 +325,21 @@ def draw_tables(count, tables, total_tables, up, d, strength, rng) -> np.ndarray
     exact = np.flatnonzero((count > 1) & (count <= EXACT))
     exact = exact[np.argsort(count[exact], kind="stable")]
     for n, lo, hi in _cut(count[exact]):
-        for a in range(lo, hi, 50_000):
-            rows = exact[a : min(hi, a + 50_000)]
+        step = max(1, DRAWN // n)
+        for a in range(lo, hi, step):
+            rows = exact[a : min(hi, a + step)]
             opening = np.log(strength + d * (others[rows, None] + np.arange(n)))
             weight = s[n, 1 : n + 1] + np.cumsum(opening + log_up[rows, None], 1)
-            out[rows] = 1 + (weight + rng.gumbel(size=weight.shape)).argmax(1)
+            out[rows] = 1 + (weight - np.log(-np.log(uniform(dish[rows], n)))).argmax(1)
     many = np.flatnonzero(count > EXACT)
-    if len(many):
-        t, seated, n = np.ones(len(many), np.int64), np.ones(len(many), np.int64), count[many]
-        while (seated < n).any():
-            block = np.minimum(np.maximum(seated // 8, 1), n - seated)
-            new = (strength + d * (others[many] + t)) * up[many]
-            t = t + rng.binomial(block, np.clip(new / (new + np.maximum(seated - d * t, 1e-9)), 0, 1))
-            seated = seated + block
-        out[many] = t
+    for k in many.tolist():
+        rng, n, t, seated = np.random.default_rng(int(dish[k])), int(count[k]), 1, 1
+        while seated < n:
+            block = min(max(seated // 8, 1), n - seated)
+            new = (strength + d * (others[k] + t)) * up[k]
+            t += int(rng.binomial(block, min(1.0, new / (new + max(seated - d * t, 1e-9)))))
+            seated += block
+        out[k] = t
     return out
 
 
@@ -360,7 +375,7 @@ def fit(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", se
             for batch in batches:
                 for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
                     state = State.unpack(data)
-                    state.sweep(known, np.random.default_rng([seed, k, part]))
+                    state.sweep(known, seed * 1000 + k)
                     if keep:
                         state.keep_sample()
                     yield from _row(part, state).to_batches()
@@ -373,22 +388,34 @@ def fit(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", se
     return states, kept
 
 
-def _hot(states: DataFrame, totals: list[Totals]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and log10 probabilities in all contexts of the words that are a HOT_SHARE-th of the corpus or more."""
-    least = max(1, totals[0].n // HOT_SHARE)
+def _hot(states: DataFrame, totals: list[Totals], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and log10 probabilities in all contexts of the words that have more than a partition's share of all
+    tokens, the HOT_WORDS most frequent of them at most."""
+
+    def often(batches):
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                count = State.unpack(data).word_count()
+                top = count[count >= max(1, totals[0].n // parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.sort(top)[-HOT_WORDS:], pa.int64())], names=["n"])
+
+    found = states.select("data").mapInArrow(often, "n long").orderBy(F.desc("n")).limit(HOT_WORDS).collect()
+    least = min((r["n"] for r in found), default=totals[0].n + 1)
 
     def run(batches):
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                model = Model(State.unpack(data), totals)
-                count = model.state.word_count()
-                for w in np.flatnonzero(count >= least):
-                    p = model.log10(np.full(FINE, w), np.arange(FINE)).astype(np.float64)
+                state = State.unpack(data)
+                count = state.word_count()
+                chosen = np.flatnonzero(count >= least)
+                model = Model(state, totals) if len(chosen) else None
+                for w in chosen:
+                    p = model.log10(np.full(FINE, w), np.arange(FINE)).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([pack(model.state.words[w], count[w], p)], pa.binary())], names=["data"])
 
     found = sorted((unpack(r["data"]) for r in states.select("data").mapInArrow(run, "data binary").collect()), key=lambda x: x[0])
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, FINE))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, FINE), np.float32)
     return np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.stack([x[2] for x in found])
 
 
@@ -431,7 +458,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     states, totals = fit(docs, parts, key, text, burn_in=burn_in, samples=samples)
     n, v = totals[0].n, totals[0].v
-    hot = spark.sparkContext.broadcast(_hot(states, totals))
+    hot = spark.sparkContext.broadcast(_hot(states, totals, parts))
     shared = spark.sparkContext.broadcast(totals)
 
     def base(count):
@@ -450,7 +477,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: in
             out = [(-1, name, 0, pack(keys, sizes, *own))]
             h, c, doc = h[~often], c[~often], doc[~often]
             order = np.lexsort((c, h, partition_of(h, parts)))
-            h, c, doc = h[order], c[order].astype(np.uint16), doc[order]
+            h, c, doc = h[order], c[order].astype(np.uint32), doc[order]
             for p, lo, hi in _cut(partition_of(h, parts)):
                 first = _starts(h[lo:hi])
                 out.append((p, name, 2, pack(h[lo:hi][first], np.diff(np.append(first, hi - lo)).astype(np.int32), c[lo:hi], doc[lo:hi], len(keys))))
@@ -467,7 +494,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: in
                     continue
                 if kind == 2:
                     if own != part:
-                        model, own = Model(State(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64), samples=[(np.zeros(0, np.int32),) * 3] * len(shared.value)), shared.value), part
+                        model, own = Model(State(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), samples=[(np.zeros(0, np.int32),) * 3] * len(shared.value)), shared.value), part
                         count = np.zeros(0, np.int64)
                     words, per_word, c, doc, docs_in = unpack(data)
                     at = np.minimum(np.searchsorted(model.state.words, words), max(len(model.state.words) - 1, 0))

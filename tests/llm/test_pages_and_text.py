@@ -305,12 +305,12 @@ def test_pitman_yor_is_a_distribution():
     h = rng.choice(words, 3000)
     c = (h[np.arange(3000) - 1] & np.uint64(pitman_yor.FINE - 1)).astype(np.int64)
     order = np.lexsort((c, h))
-    blob = pitman_yor.pack(*(lambda a, b: (a, np.ones(len(a), np.int32), b.astype(np.uint16), np.ones(len(a), np.int32)))(h[order], c[order]))
+    blob = pitman_yor.pack(*(lambda a, b: (a, np.ones(len(a), np.int32), b.astype(np.uint32), np.ones(len(a), np.int32)))(h[order], c[order]))
     state = pitman_yor.State.merged([blob])
     assert state.count.sum() == 3000 and len(state.words) == 40
     totals = []
-    for _ in range(2):
-        state.sweep(pitman_yor.Totals(state.totals()), rng)
+    for k in range(2):
+        state.sweep(pitman_yor.Totals(state.totals()), k)
         assert (state.tables >= 1).all() and (state.tables <= state.count).all() and (state.coarse_tables <= state.coarse_count).all()
         state.keep_sample()
         totals.append(pitman_yor.Totals(state.totals()))
@@ -323,6 +323,115 @@ def test_pitman_yor_is_a_distribution():
 def test_stirling_numbers():
     s = pitman_yor.stirling(0.5)
     assert np.allclose(np.exp(s[3, 1:4]), [0.5 * 1.5, 1.5, 1])
+    n, d, table = 60, 0.7, [[0.0] * 62 for _ in range(62)]  # the recurrence in plain numbers
+    table[1][1] = 1.0
+    for i in range(1, n):
+        for m in range(1, i + 2):
+            table[i + 1][m] = table[i][m - 1] + (i - m * d) * table[i][m]
+    assert np.allclose(pitman_yor.stirling(d)[n, 1 : n + 1], np.log(table[n][1 : n + 1]))
+
+
+class Seating:
+    """The same hierarchy by a sampler that reseats one customer after the other, with tables of their own sizes."""
+
+    def __init__(self, d, s, base, r):
+        self.d, self.s, self.base, self.r = d, s, base, r
+        self.sizes, self.n, self.t = collections.defaultdict(list), collections.Counter(), collections.Counter()
+
+    def path(self, ctx):
+        return [(2, ctx), (1, ctx // pitman_yor.PER_COARSE), (0, 0)]
+
+    def p(self, path, w):
+        if not path:
+            return self.base
+        level, own = path[0][0], self.sizes[path[0], w]
+        n, t = self.n[path[0]], self.t[path[0]]
+        return (sum(own) - self.d[level] * len(own) + (self.s[level] + self.d[level] * t) * self.p(path[1:], w)) / (self.s[level] + n)
+
+    def add(self, path, w):
+        if not path:
+            return
+        level, own = path[0][0], self.sizes[path[0], w]
+        new = (self.s[level] + self.d[level] * self.t[path[0]]) * self.p(path[1:], w)
+        weights = [x - self.d[level] for x in own] + [new]
+        k = self.r.choices(range(len(weights)), weights)[0]
+        self.n[path[0]] += 1
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            self.t[path[0]] += 1
+            self.add(path[1:], w)
+
+    def remove(self, path, w):
+        if not path:
+            return
+        own = self.sizes[path[0], w]
+        k = self.r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        self.n[path[0]] -= 1
+        if not own[k]:
+            del own[k]
+            self.t[path[0]] -= 1
+            self.remove(path[1:], w)
+
+
+def test_scores_against_a_sequential_sampler(spark):
+    """The model's probabilities of held-out texts, to two hundredths of a digit a token on average."""
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(30)]
+    after = {w: r.choices(words, k=4) for w in words}
+
+    def made():
+        out = [r.choice(words)]
+        while len(out) < 25:
+            out.append(r.choice(after[out[-1]]) if r.random() < 0.8 else r.choice(words))
+        return " ".join(out)
+
+    rows = [(i, made()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in pitman_yor.scored(docs, burn_in=4, samples=8).collect()}
+    states, totals = pitman_yor.fit(docs, 4, burn_in=4, samples=8)
+    last, tokens = totals[-1], {}
+    for i, t in rows:
+        h, _ = pitman_yor.tokens([t])
+        tokens[i] = list(zip(pitman_yor.contexts(h).tolist(), h.tolist(), strict=True))
+    train = [x for i, _ in rows if not got[i].held_out for x in tokens[i]]
+    own = Seating(last.d, last.s, last.base, r)
+    for ctx, w in train:
+        own.add(own.path(ctx), w)
+    logs = []
+    for sweep in range(10):
+        for ctx, w in r.sample(train, len(train)):
+            own.remove(own.path(ctx), w)
+            own.add(own.path(ctx), w)
+        if sweep >= 4:
+            logs.append({i: [own.p(own.path(c), w) for c, w in tokens[i]] for i, _ in rows if got[i].held_out})
+    want = {i: sum(math.log10(sum(p) / len(p)) for p in zip(*(x[i] for x in logs), strict=True)) for i in logs[0]}
+    n = sum(got[i].n_tokens for i in want)
+    assert len(want) > 5 and abs(sum(want.values()) - sum(got[i].score for i in want)) / n < 0.02
+    assert all(abs(want[i] - got[i].score) / got[i].n_tokens < 0.06 for i in want)
+    base = sum(got[i].base_score for i in want)
+    assert sum(want.values()) > base + 0.1 * n  # the comparison is not of two models that learned nothing
+
+
+def test_pitman_yor_without_training_rows_and_long_texts(spark):
+    """Held-out rows alone, and a text of a million words with long ones, in any number of partitions."""
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    none = spark.createDataFrame([(i, "a b") for i in out], "doc_id long, text string")
+    got = pitman_yor.scored(none).collect()
+    assert [(x.held_out, x.n_tokens, x.n_known, x.train_tokens) for x in got] == [(True, 3, 0, 0)] * 3 and all(x.score == pytest.approx(0, abs=1e-9) for x in got)
+    long = " ".join(f"w{k % 5000}" for k in range(1_000_000)) + " " + "q" * 400_000
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: x for x in pitman_yor.scored(docs, burn_in=0, samples=1).collect()}
+    assert got[1].n_tokens == 1_000_002 and got[1].n_known == (0 if got[1].held_out else got[1].n_tokens) and got[3].n_tokens == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = {x.doc_id: x.score for x in pitman_yor.scored(docs, burn_in=0, samples=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(again[i] == pytest.approx(got[i].score, rel=1e-6) for i in again)
 
 
 @pytest.mark.parametrize("labels", [10, 2_000, 3_000, 100_000, 1_000_000])
