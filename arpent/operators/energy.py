@@ -30,11 +30,12 @@ PROCESSED = (
 
 
 def newest(rows: DataFrame, key: str = "numero_dpe", date: str = "date_etablissement_dpe", tie: str = "_id") -> DataFrame:
-    """Of rows of equal key the newest, of equal dates that of the least tie; rows without a key all stay."""
-    rows = rows.dropDuplicates()
-    order = Window.partitionBy(key).orderBy(F.col(date).desc_nulls_last(), F.col(tie).asc_nulls_last())
-    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return keyed.unionByName(rows.filter(F.col(key).isNull()))
+    """Of rows of equal key the newest, of equal dates that of the least tie; rows without a key all stay. Rows are dealt once,
+    by their key or, without one, each by itself; removing duplicates and ranking both keep to that."""
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
+    rows = rows.withColumn("_own", own).repartition("_own").dropDuplicates()
+    order = Window.partitionBy("_own").orderBy(F.col(date).desc_nulls_last(), F.col(tie).asc_nulls_last())
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col(key).isNull() | (F.col("_n") == 1)).drop("_own", "_n")
 
 
 def duplicate_counts(rows: DataFrame, key: str = "numero_dpe") -> DataFrame:

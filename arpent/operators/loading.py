@@ -74,7 +74,7 @@ ENERGY_RULES = [
 ]
 #: Address columns that must never be loaded.
 FORBIDDEN = (
-    "adresse_numero", "adresse_suffixe", "adresse_nom_voie", "adresse_code_voie", "adresse_ban", "numero_voie_ban", "nom_rue_ban",
+    "adresse_numero", "adresse_suffixe", "adresse_nom_voie", "adresse_code_voie", "adresse_ban", "adresse_brut", "numero_voie_ban", "numero_rue_ban", "nom_rue_ban",
 )
 
 

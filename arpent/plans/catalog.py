@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arpent.functions import text
 from arpent.functions.columns import cleaned_id, district, geopoint, rounded
 from arpent.functions.html_elements import page_elements
-from arpent.operators import analytics, chunking, conversation, energy, loading, market, quality, reports, vectors
+from arpent.operators import analytics, chunking, conversation, energy, loading, market, projection, quality, reports, vectors
 from arpent.plans import answers, corpus, runs, tools
 from arpent.sources import files
 from arpent.sources.adapters import ENERGY_POLICY, ENERGY_SQL, SALES_POLICY, SALES_SQL, raw_diagnostics, raw_sales, table
@@ -897,3 +897,34 @@ FROM {facts} WHERE source_year BETWEEN :start AND :end AND arrondissement IS NOT
 def scope_by_parameters(spark, sf_dir):
     """An answer asked in SQL with bound values."""
     return files.asked(SCOPE_SQL, {"start": Y0, "end": Y1, "least": SALES_POLICY.least_price, "most": SALES_POLICY.most_price}, facts=sales(spark, sf_dir))
+
+
+def _plain(df):
+    """Decimals as doubles, which every engine compares alike."""
+    return df.select(*(F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes))
+
+
+def _stored_as(x: str, kind: str) -> str:
+    return f"CAST(CAST({x} AS {kind}) AS DOUBLE)"
+
+
+LOADED_SALES = MUTATION.replace("residential_surface, residential_rooms, ", "").replace("mutation_value, ", "")
+
+
+@query(f"""WITH {SALES_SQL} SELECT {LOADED_SALES}, {_stored_as("mutation_value", "DECIMAL(14,2)")} AS mutation_value, {_stored_as("residential_surface", "DECIMAL(10,2)")} AS residential_surface,
+  {_stored_as("residential_rooms", "DECIMAL(5,1)")} AS residential_rooms, 'lineitem' AS source_file, 'deadbeef' AS source_sha256, is_price_per_m2_eligible, price_ineligibility_reason,
+  {_stored_as("price_per_m2_raw", "DECIMAL(14,2)")} AS price_per_m2_raw FROM mut""")
+def loaded_sales(spark, sf_dir):
+    return _plain(projection.sales(sales(spark, sf_dir)))
+
+
+@query(f"""WITH {ENERGY_SQL}, p AS (SELECT *, k - 5 AS lat, k * 3 AS lon FROM diag JOIN (SELECT event_id, k FROM ev) e ON diag._id = lpad(CAST(e.event_id AS VARCHAR), 12, '0'))
+SELECT numero_dpe, date_etablissement_dpe, CAST(NULL AS DATE) AS date_fin_validite_dpe, diagnostic_year, etiquette_dpe_norm, etiquette_ges_norm, {_stored_as("surface", "DECIMAL(10,2)")} AS surface_habitable_logement,
+  conso AS conso_5_usages_par_m2_ep, emission AS emission_ges_5_usages_par_m2, type_norm AS type_batiment_norm, analysis_population, CAST(NULL AS VARCHAR) AS periode_construction, arrondissement,
+  CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 THEN CAST(lat AS DOUBLE) END AS latitude, CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 THEN CAST(lon AS DOUBLE) END AS longitude,
+  arrondissement IS NOT NULL AS is_valid_arrondissement, is_geography_consistent, etiquette_dpe_norm IS NOT NULL AS is_valid_dpe_label, etiquette_ges_norm IS NOT NULL AS is_valid_ges_label,
+  coalesce(surface > 0, false) AS is_valid_surface, coalesce(conso >= 0, false) AS is_valid_consumption, coalesce(emission >= 0, false) AS is_valid_emission, coalesce(type_norm IN ('appartement', 'maison'), false) AS is_residential_unit_type,
+  is_label_analysis_eligible, intensity_exclusion_reason IS NULL AS is_intensity_analysis_eligible, coalesce(diagnostic_year BETWEEN 2021 AND 2025, false) AS is_complete_analysis_year,
+  coalesce(diagnostic_year = 2026, false) AS is_partial_year, label_exclusion_reason, intensity_exclusion_reason FROM p""")
+def loaded_diagnostics(spark, sf_dir):
+    return _plain(projection.diagnostics(diagnostics(spark, sf_dir)))
