@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices
-from arpent.llm.common import LONG_WORD, Memo, drop, mix64, stored
+from arpent.llm.common import LONG_WORD, Memo, drop, frugal, mix64, stored
 
 #: Context classes and their parents; the class of a word is kept in the low bits of its hash.
-BITS, COARSE = 18, 64
+BITS, COARSE = 17, 64
 FINE = 1 << BITS
 PER_COARSE = FINE // COARSE
 BURN_IN, SAMPLES, EXACT = 1, 2, 256
@@ -50,8 +50,8 @@ STRENGTHS = np.geomspace(0.1, 1e6, 57)
 ADD = 0.1
 #: Tokens that are packed together, and documents at most.
 TOKENS_AT_ONCE, DOCS_AT_ONCE = 1_000_000, 20_000
-REMEMBERED = 500_000
-HOT_WORDS = 32
+REMEMBERED = 250_000
+HOT_WORDS = 16
 #: Numbers of a block of dishes that are drawn together.
 DRAWN = 2_400_000
 _words = Memo(REMEMBERED)
@@ -66,7 +66,7 @@ def unpack(data: bytes) -> tuple:
 
 
 def _hash(word: bytes) -> int:
-    """46 bits of the word's hash, then its context class: six bits of its last two bytes' hash and the rest of its own."""
+    """47 bits of the word's hash, then its context class: six bits of its last two bytes' hash and the rest of its own."""
     own = xxhash.xxh3_64_intdigest(word)
     return (own & ~(FINE - 1)) | (xxhash.xxh3_64_intdigest(word[-2:], seed=1) % COARSE) * PER_COARSE | (own % PER_COARSE)
 
@@ -161,7 +161,7 @@ def counted(docs: DataFrame, parts: int, key: str, text: str) -> DataFrame:
                 blobs.append(pack(h[lo:hi][first], np.diff(np.append(first, hi - lo)).astype(np.int32), c[lo:hi], n[lo:hi].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
 
-    return docs.select(key, text).mapInArrow(run, "part int, data binary")
+    return docs.select(key, text).mapInArrow(frugal(run), "part int, data binary")
 
 
 class State:
@@ -380,7 +380,7 @@ def fit(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", se
                         state.keep_sample()
                     yield from _row(part, state).to_batches()
 
-        before, states = states, stored(states.mapInArrow(run, STATE), "seating")
+        before, states = states, stored(states.mapInArrow(frugal(run), STATE), "seating")
         drop(before)
         totals = _totals(states).with_discounts(discounts, np.random.default_rng([seed, k]))
         if keep:
@@ -399,7 +399,7 @@ def _hot(states: DataFrame, totals: list[Totals], parts: int) -> tuple[np.ndarra
                 top = count[count >= max(1, totals[0].n // parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.sort(top)[-HOT_WORDS:], pa.int64())], names=["n"])
 
-    found = states.select("data").mapInArrow(often, "n long").orderBy(F.desc("n")).limit(HOT_WORDS).collect()
+    found = states.select("data").mapInArrow(frugal(often), "n long").orderBy(F.desc("n")).limit(HOT_WORDS).collect()
     least = min((r["n"] for r in found), default=totals[0].n + 1)
 
     def run(batches):
@@ -413,7 +413,7 @@ def _hot(states: DataFrame, totals: list[Totals], parts: int) -> tuple[np.ndarra
                     p = model.log10(np.full(FINE, w), np.arange(FINE)).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([pack(model.state.words[w], count[w], p)], pa.binary())], names=["data"])
 
-    found = sorted((unpack(r["data"]) for r in states.select("data").mapInArrow(run, "data binary").collect()), key=lambda x: x[0])
+    found = sorted((unpack(r["data"]) for r in states.select("data").mapInArrow(frugal(run), "data binary").collect()), key=lambda x: x[0])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, FINE), np.float32)
     return np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.stack([x[2] for x in found])
@@ -519,8 +519,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: in
             "n_known": np.rint(sums[2]).astype(np.int64), "train_tokens": np.full(len(keys), n), "base_score": sums[1], "score": sums[0],
         })
 
-    dealt = docs.mapInArrow(deal, "part int, batch string, kind int, data binary")
+    dealt = docs.mapInArrow(frugal(deal), "part int, batch string, kind int, data binary")
     models = states.select("part", F.lit("").alias("batch"), F.lit(1).alias("kind"), "data")
     met = dealt.unionByName(models).repartition(parts, F.when(F.col("part") >= 0, F.col("part").cast("string")).otherwise(F.col("batch")))
-    looked_up = met.sortWithinPartitions("part", "kind").mapInArrow(look_up, "batch string, kind int, data binary")
+    looked_up = met.sortWithinPartitions("part", "kind").mapInArrow(frugal(look_up), "batch string, kind int, data binary")
     return looked_up.groupBy("batch").applyInArrow(add_up, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
