@@ -1,10 +1,21 @@
 """The queries on the smallest tables, and the pipeline stage by stage."""
 
+import collections
+import itertools
+import random
+import re
+import zlib
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from arpent.llm import queries
+from arpent.llm import pseudonyms, queries, toxicity
+from tests.llm.test_pages_and_text import feistel
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,8 +32,74 @@ def test_oracles(spark, sf_dir, name):
     assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == sorted(found.fetchall(), key=repr)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_the_whole_pipeline_against_brute_force(spark, sf_dir, tmp_path):
+    """run() over whole texts, with a very long one, near copies, mails and telephone numbers, against plain Python."""
+    other = re.compile("|".join((pseudonyms.NATIONAL, pseudonyms.IBAN, pseudonyms.IPV4, pseudonyms.DAY, pseudonyms.SOCIAL, pseudonyms.CARD)))
+    fine = lambda t: not other.search(t or "")
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if fine(r.text)]
+    n, r = max(x[0] for x in rows), random.Random(31)
+    base = " ".join(f"w{r.randrange(5000)}" for _ in range(60_000))
+    made = [base, base + " more", f"write to jane.doe42@example.org now {r.random()}", f"call +49 30 1234567 or +1 (415) 555-2671 {r.random()}", None, "", "x@b" + ".c" * 5000]
+    rows += [(n + 1 + i, t, "en", "made", len(t or "")) for i, t in enumerate(made)]
+    spark.createDataFrame(rows, DOC).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect())
+
+    model = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), F.lit(True))
+    docs = [(i, t) for (i, t, *_), s in zip(rows, toxicity.Scorer(model).scores([x[1] for x in rows]), strict=True) if s < 0.7]
+    sets, root = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    docs = [(i, t) for i, t in docs if top(i) == i]
+
+    def hidden(m):
+        x = m[0]
+        if "@" in x:
+            name, at, domain = x.partition("@")
+            return feistel("mail", name) + at + domain
+        digits = re.sub("[^0-9]", "", x)
+        if not 8 <= len(digits) <= 15:
+            return x
+        land = re.match(f"(?:{pseudonyms.LAND}|[0-9]{{3}})", digits)[0]
+        new = iter(land + feistel("phone", digits[len(land) :]))
+        return re.sub("[0-9]", lambda _: next(new), x)
+
+    either = re.compile(f"{pseudonyms.MAIL}|{pseudonyms.PHONE}")
+    tokenizer, want, total = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
+    tokenizer.encode_special_tokens = False
+    for i, t in docs:
+        ids = [*tokenizer.encode(either.sub(hidden, t or ""), add_special_tokens=False).ids, 1]
+        total += len(ids)
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            own = ids[start : start + 4096]
+            want.append((i, piece, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    assert [x[:5] for x in got] == sorted(want) and n + 2 not in {x[0] for x in got} and len(docs) < len(rows) - 3
+    places = collections.defaultdict(list)
+    for *_, length, _, sequence, offset in got:
+        places[sequence].append((offset, length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(places) <= 1 + 1.05 * total / 4096
 
 
 def test_stages_on_documents(spark, sf_dir):
