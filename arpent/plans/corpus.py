@@ -63,13 +63,15 @@ def raw_status(registered: DataFrame, manifest: DataFrame, files: DataFrame, pro
     return found.select("source_id", "sha256", status.alias("status"), error.alias("error"))
 
 
-def document_run(spark: SparkSession, registered: DataFrame, manifest: DataFrame, pages: DataFrame, out: str, least: int = LEAST_CHARACTERS) -> DataFrame:
+def document_run(spark: SparkSession, registered: DataFrame, manifest: DataFrame, pages: DataFrame, out: str, least: int = LEAST_CHARACTERS, force: bool = False) -> DataFrame:
     """Processes HTML pages (source_id, html as stored) into documents of elements below `out`; source_id, status
     (processed, unchanged, failed), error, characters of every registered source. Stored documents are those of the last
-    run for each source: `documents(spark, out)`."""
+    run for each source: `documents(spark, out)`. Forced, a run also processes what did not change."""
     run = time.time_ns()
     pages = pages.withColumn("sha256", F.sha2("html", 256))
     state = raw_status(registered, manifest, pages, documents(spark, out))
+    if force:
+        state = state.withColumn("status", F.when(F.col("status") != "unchanged", F.col("status")))
     todo = pages.join(state.filter("status IS NULL").select("source_id"), "source_id", "left_semi")
     found = page_elements(todo, "source_id")
     element = F.struct("order", "kind", "text", "heading_level", F.lit(None).cast("int").alias("page_number"))

@@ -75,8 +75,9 @@ def sales_run(spark: SparkSession, sources: dict[int, tuple[str, str]], out: str
 
 def acquired_sales_run(spark: SparkSession, transport: fetch.Transport, urls: dict[int, str], folder: str, out: str) -> DataFrame:
     """From the yearly files' urls to stored tables and reports. Files whose checksum is known are not fetched again, and
-    years whose files did not change are not curated again. `folder` is one that all machines share."""
-    found = fetch.acquired_years(transport, urls, folder, _known(spark, out))
+    years whose files did not change are not curated again. `folder` is one of a store that all machines share; files are
+    written to it through Spark's file systems."""
+    found = fetch.acquired_years(transport, urls, folder, _known(spark, out), files=fetch.Shared(spark))
     return sales_run(spark, {year: (path, sha256) for year, (path, sha256, _) in found.items()}, out)
 
 

@@ -14,6 +14,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+from pyspark.sql import SparkSession
+
 Transport = Callable[[str], tuple[int, dict, bytes]]
 
 
@@ -103,13 +105,51 @@ def _sha256(path: str) -> str | None:
         return None
 
 
-def acquired_years(transport: Transport, urls: dict[int, str], folder: str, known: dict[int, str] | None = None, sleep: Callable[[float], None] = lambda s: None) -> dict[int, tuple[str, str, str]]:
-    """(path, sha256, reused or downloaded) of each year's gzip file. A file whose checksum is the known one stays; another
+class Local:
+    """Files of this machine, for tests and single machines."""
+
+    kept, sha256 = staticmethod(_kept), staticmethod(_sha256)
+
+
+class Shared:
+    """Files of any store that Spark reads, by its own file systems: what a cluster's other machines can open."""
+
+    def __init__(self, spark: SparkSession):
+        self.path, self.conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def kept(self, path: str, body: bytes) -> str:
+        """Writes beside the file and puts it in place when whole; the checksum."""
+        where, beside = self.path(path), self.path(f"{path}.part")
+        files = where.getFileSystem(self.conf)
+        out = files.create(beside, True)
+        for lo in range(0, len(body), 1 << 22):
+            out.write(bytearray(body[lo : lo + (1 << 22)]))
+        out.close()
+        files.delete(where, False)
+        if not files.rename(beside, where):
+            raise FetchError(f"{path} could not be put in place")
+        return hashlib.sha256(body).hexdigest()
+
+    def sha256(self, path: str) -> str | None:
+        """The checksum of a file, None if there is none."""
+        where = self.path(path)
+        files, digest = where.getFileSystem(self.conf), hashlib.sha256()
+        if not files.exists(where):
+            return None
+        size, file = files.getFileStatus(where).getLen(), files.open(where)
+        for lo in range(0, size, 1 << 22):
+            digest.update(bytes(file.readNBytes(min(1 << 22, size - lo))))
+        file.close()
+        return digest.hexdigest()
+
+
+def acquired_years(transport: Transport, urls: dict[int, str], folder: str, known: dict[int, str] | None = None, sleep: Callable[[float], None] = lambda s: None, files: Local | Shared = Local()) -> dict[int, tuple[str, str, str]]:
+    """(path, sha256, reused or downloaded) of each year's gzip file, in the folder of a local or a shared store. A file whose checksum is the known one stays; another
     is fetched, read to its end as gzip, and only then put in place."""
     found = {}
     for year, url in sorted(urls.items()):
-        path = os.path.join(folder, f"{year}.csv.gz")
-        there = _sha256(path)
+        path = f"{folder.rstrip('/')}/{year}.csv.gz"
+        there = files.sha256(path)
         if there is not None and there == (known or {}).get(year):
             found[year] = path, there, "reused"
             continue
@@ -120,7 +160,7 @@ def acquired_years(transport: Transport, urls: dict[int, str], folder: str, know
                     pass
         except (OSError, EOFError, zlib.error) as problem:
             raise FetchError(f"{url} is no whole gzip file") from problem
-        found[year] = path, _kept(path, body), "downloaded"
+        found[year] = path, files.kept(path, body), "downloaded"
     return found
 
 

@@ -1,6 +1,7 @@
 """Runs over a corpus, evaluation runs, acquired files, and what stands beside answers."""
 
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -47,6 +48,8 @@ def test_document_run(spark, tmp_path):
     assert got == want
     again = {r.source_id: (r.status, r.error) for r in corpus.document_run(spark, registered, manifest, pages, f"{tmp_path}/out").collect()}
     assert again == want | {"a": ("unchanged", None)}
+    forced = {r.source_id: (r.status, r.error) for r in corpus.document_run(spark, registered, manifest, pages, f"{tmp_path}/out", force=True).collect()}
+    assert forced == want
     stored = corpus.documents(spark, f"{tmp_path}/out").collect()
     assert len(stored) == 1 and stored[0].elements[0].text == "Title" and stored[0].total_characters == sum(len(e.text) for e in stored[0].elements)
     assert chunking.chunk_rows(corpus.documents(spark, f"{tmp_path}/out")).count() >= 1
@@ -90,19 +93,23 @@ def test_evaluation_run(spark, tmp_path):
     assert results == {"good": (True, None), "fails": (False, "KeyError"), "wrong": (False, None)}
 
 
-def test_acquired_files(tmp_path):
+@pytest.mark.parametrize("shared", [False, True])
+def test_acquired_files(spark, tmp_path, shared):
+    store, folder = (fetch.Shared(spark), f"file://{tmp_path}") if shared else (fetch.Local(), f"{tmp_path}")
     body, calls = gzip.compress(b"a,b\n1,2\n"), []
 
     def transport(url):
         calls.append(url)
         return 200, {}, body if url != "bad" else body[:-9]
 
-    first = fetch.acquired_years(transport, {2021: "u"}, f"{tmp_path}")
-    again = fetch.acquired_years(transport, {2021: "u"}, f"{tmp_path}", {2021: first[2021][1]})
+    first = fetch.acquired_years(transport, {2021: "u"}, folder, files=store)
+    again = fetch.acquired_years(transport, {2021: "u"}, folder, {2021: first[2021][1]}, files=store)
     assert first[2021][2] == "downloaded" and again[2021][2] == "reused" and calls == ["u"]
     with pytest.raises(fetch.FetchError):
-        fetch.acquired_years(transport, {2022: "bad"}, f"{tmp_path}")
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["2021.csv.gz"]
+        fetch.acquired_years(transport, {2022: "bad"}, folder, files=store)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["2021.csv.gz"] and (tmp_path / "2021.csv.gz").read_bytes() == body
+    big = gzip.compress(bytes(range(256)) * 40_000, 0)  # several pieces
+    assert store.kept(f"{folder}/big", big) == store.sha256(f"{folder}/big") == hashlib.sha256(big).hexdigest() and store.sha256(f"{folder}/none") is None
 
 
 def test_acquired_snapshot(tmp_path):
