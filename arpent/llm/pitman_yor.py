@@ -27,18 +27,18 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arpent.llm.bpe import slices
-from arpent.llm.common import LONG_WORD, Memo, drop, frugal, mix64, stored
+from arpent.llm.common import drop, frugal, mix64, stored
 
 #: Context classes and their parents; the class of a word is kept in the low bits of its hash.
 BITS, COARSE = 17, 64
@@ -50,11 +50,11 @@ STRENGTHS = np.geomspace(0.1, 1e6, 57)
 ADD = 0.1
 #: Tokens that are packed together, and documents at most.
 TOKENS_AT_ONCE, DOCS_AT_ONCE = 1_000_000, 20_000
-REMEMBERED = 500_000
+#: Bytes of text whose words are hashed together.
+PART = 1 << 20
 HOT_WORDS = 16
 #: Numbers of a block of dishes that are drawn together.
 DRAWN = 2_400_000
-_words = Memo(REMEMBERED)
 
 
 def pack(*arrays) -> bytes:
@@ -65,31 +65,82 @@ def unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def _finished(sums: np.ndarray, sizes: np.ndarray, last: np.ndarray, last_but_one: np.ndarray) -> np.ndarray:
+    """47 bits of each word's hash, then its context class: six bits of a hash of its last two bytes and the rest of its own."""
+    own = mix64(sums ^ mix64(sizes.astype(np.uint64)))
+    ends = mix64(last.astype(np.uint64) << np.uint64(8) | last_but_one | np.uint64(1 << 20)) % np.uint64(COARSE)
+    return (own & ~np.uint64(FINE - 1)) | ends * np.uint64(PER_COARSE) | (own % np.uint64(PER_COARSE))
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte's place of each word: sums of its bytes, A-Z lower-cased, by powers of an odd number."""
+    raw = np.frombuffer(data, np.uint8)
+    gap = (raw == 32) | ((raw - np.uint8(9)) < 5)
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    low = raw + ((raw - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
+    size = end - start
+    power = np.cumprod(np.full(int(size.max()), MULTIPLIER, np.uint64))
+    within = np.arange(int(size.sum()), dtype=np.int64)
+    first = np.cumsum(size) - size
+    within -= np.repeat(first, size)
+    sums = np.add.reduceat(low[~gap] * power[within], first)
+    before = np.where(size > 1, low[np.maximum(end - 2, 0)], 0)
+    return _finished(sums, size, low[end - 1], before), start
+
+
 def _hash(word: bytes) -> int:
-    """47 bits of the word's hash, then its context class: six bits of its last two bytes' hash and the rest of its own."""
-    own = xxhash.xxh3_64_intdigest(word)
-    return (own & ~(FINE - 1)) | (xxhash.xxh3_64_intdigest(word[-2:], seed=1) % COARSE) * PER_COARSE | (own % PER_COARSE)
+    return int(_words(word)[0][0]) if word else int(END)
+
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+END = _finished(*(np.zeros(1, np.uint64),) * 4)[0]
+_gap = re.compile(rb"[ \t-\r]")
 
 
-END = _hash(b"")
+def _parts(raw: bytes) -> list[bytes]:
+    """A text in parts of about PART bytes, cut where words end."""
+    out, since = [], 0
+    while len(raw) - since > PART and (cut := _gap.search(raw, since + PART)):
+        out.append(raw[since : cut.start()])
+        since = cut.start()
+    return [*out, raw[since:]]
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' words, an end after each text, and the number of tokens of each text."""
-    out, sizes, get = [], [], _words.get
+    out, sizes, held, ends, n = [], [], [], [], 0
+
+    def flush() -> None:
+        nonlocal n
+        h, start = _words(b"".join(held))
+        of = np.searchsorted(np.array(ends), start, "right")
+        words = np.bincount(of, minlength=len(ends))[: len(ends)]
+        found = np.full(len(h) + len(ends), END, np.uint64)
+        found[np.arange(len(h)) + of] = h
+        out.append(found)
+        sizes.append(words + 1)
+        held.clear()
+        ends.clear()
+        n = 0
+
     for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        _words.room(len(words))
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = _hash(w)
-                if len(w) <= LONG_WORD:
-                    _words[w] = h
-            out.append(h)
-        out.append(END)
-        sizes.append(len(words) + 1)
-    return np.array(out, np.uint64), np.array(sizes, np.int64)
+        *first, last = _parts((text or "").encode("utf-8", "surrogatepass"))
+        if first:
+            flush()
+            found = [_words(p)[0] for p in first] + [_words(last)[0], np.array([END])]
+            out.append(np.concatenate(found))
+            sizes.append(np.array([len(out[-1])]))
+            continue
+        held.append(last + b"\n")
+        n += len(last) + 1
+        ends.append(n)
+        if n >= PART:
+            flush()
+    flush()
+    return np.concatenate(out), np.concatenate(sizes).astype(np.int64)
 
 
 def contexts(h: np.ndarray) -> np.ndarray:
@@ -104,7 +155,20 @@ def held_out(key) -> bool:
 
 
 def partition_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(BITS)) % np.uint64(parts)).astype(np.int64)
+    """The partition of each word: ranges of its hash, so that words in order are in order of partitions too."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _ordered(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The order by hash, then context; by two sorts of single numbers where they have room for all."""
+    bits = len(h).bit_length()
+    if 2 * bits + BITS > 63:
+        return np.lexsort((c, h))
+    first = np.argsort(h)
+    sorted_h = h[first]
+    word = np.cumsum(np.append(False, sorted_h[1:] != sorted_h[:-1])) if len(h) else first
+    key = np.sort(((word << BITS | c[first].astype(np.int64)) << bits) | first)
+    return key & ((1 << bits) - 1)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -149,7 +213,7 @@ def counted(docs: DataFrame, parts: int, key: str, text: str) -> DataFrame:
         for keys, h, c, sizes in _by_size(batches, key, text):
             learn = np.repeat(~np.array([held_out(k) for k in keys]), sizes)
             h, c = h[learn], c[learn]
-            order = np.lexsort((c, h, partition_of(h, parts)))
+            order = _ordered(h, c)
             h, c = h[order], c[order]
             at = _starts(h, c)
             n = np.diff(np.append(at, len(h)))
@@ -185,7 +249,7 @@ class State:
         h = np.concatenate([np.repeat(w, k) for w, k, _, _ in found]) if found else np.zeros(0, np.uint64)
         c = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint32)
         n = np.concatenate([x[3] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-        order = np.lexsort((c, h))
+        order = _ordered(h, c)
         h, c, n = h[order], c[order], n[order]
         at = _starts(h, c)
         n = np.add.reduceat(n, at) if len(at) else n
@@ -476,7 +540,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", burn_in: in
             own = (add(logs[a, c[often]]), add(base(counts[a])), add(np.ones(len(a)))) if len(words) else (np.zeros(len(keys)),) * 3
             out = [(-1, name, 0, pack(keys, sizes, *own))]
             h, c, doc = h[~often], c[~often], doc[~often]
-            order = np.lexsort((c, h, partition_of(h, parts)))
+            order = _ordered(h, c)
             h, c, doc = h[order], c[order].astype(np.uint32), doc[order]
             for p, lo, hi in _cut(partition_of(h, parts)):
                 first = _starts(h[lo:hi])

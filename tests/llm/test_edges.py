@@ -60,3 +60,24 @@ def test_toxicity_of_long_texts_and_few_labels(spark, kinds):
         assert {x.score for x in got.values()} == {0.0}
     else:
         assert min(got[i].score for i in range(12, 18)) > max(got[i].score for i in range(12))
+
+
+def test_words_are_hashed_alike_however_they_stand(monkeypatch):
+    """Whole batches, parts of texts and single words; case, odd blanks, nulls, and words of any length."""
+    from arpent.llm import pitman_yor
+
+    r = random.Random(43)
+    for part in (1 << 20, 7, 1):
+        monkeypatch.setattr(pitman_yor, "PART", part)
+        for _ in range(100):
+            texts = [r.choice([None, "", " ", "".join(r.choices("aB \t\n\x1céZ", k=r.randrange(40))), "Q" * 3000]) for _ in range(r.randrange(1, 8))]
+            words = [[*(t or "").encode().lower().split(), b""] for t in texts]
+            h, sizes = pitman_yor.tokens(texts)
+            assert h.tolist() == [pitman_yor._hash(w) for own in words for w in own] and sizes.tolist() == [len(own) for own in words]
+    many = [f"{a}{b}".encode() for a in ("w", "x" * 9, "é") for b in range(20_000)] + [bytes([i]) * n for i in range(97, 123) for n in range(1, 40)]
+    assert len({pitman_yor._hash(w) for w in many}) == len(set(many))
+    h = pitman_yor.tokens([" ".join(f"w{r.randrange(300)}" for _ in range(5000))])[0]
+    order = pitman_yor._ordered(h, pitman_yor.contexts(h))
+    pairs = list(zip(h[order].tolist(), pitman_yor.contexts(h)[order].tolist(), strict=True))
+    parts = pitman_yor.partition_of(h[order], 7)
+    assert pairs == sorted(pairs) and (parts[1:] >= parts[:-1]).all() and set(parts.tolist()) == set(range(7))
