@@ -9,7 +9,8 @@ at random, which hides what a dictionary knows.
 
 Fitting takes a bounded sample of the labelled rows, drawn by hash: documents up to SAMPLE_TOXIC and SAMPLE_PLAIN, and of
 two thirds of them windows up to WINDOWS_TOXIC and WINDOWS_PLAIN, whatever the texts' lengths; the other third calibrates
-by its whole texts. Windows come to the driver for the dictionaries, of the calibrating documents only the features.
+by its whole texts. Windows come to the driver for the dictionaries, of the calibrating documents only the features. What
+is hard is told by all windows of the ordinary documents that are learned from, drawn for the dictionary or not.
 Scoring takes whole texts of all rows.
 
 Defined results: null and empty texts have no windows and get the curve's score for none; equal texts get equal scores;
@@ -19,7 +20,10 @@ sample; without labels of both kinds every score is 0; other columns are left al
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,11 +108,35 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def dictionaries(toxic: list[bytes], plain: list[bytes]) -> Model:
-    """A model without a curve from windows of both kinds."""
-    model = Model(_dictionary(plain, PLAIN_BYTES), _dictionary(toxic, TOXIC_BYTES), 0.0, [])
-    press = _presser(model.plain)
-    model.hard = float(np.quantile([len(press(w)) / len(w) for w in plain[:4000]], HARD))
-    return model
+    """A model without hardness and curve from windows of both kinds."""
+    return Model(_dictionary(plain, PLAIN_BYTES), _dictionary(toxic, TOXIC_BYTES), 0.0, [])
+
+
+def quantile(counts: list[tuple[float, int]], at: float) -> float:
+    """The quantile of values that occur so often each, between the two neighbours of its rank; 0 of none."""
+    if not counts:
+        return 0.0
+    x, n = (np.array(c) for c in zip(*sorted(counts), strict=True))
+    upto = np.cumsum(n)
+    rank = (upto[-1] - 1) * at
+    low, high = (x[np.searchsorted(upto, r, side="right")] for r in (math.floor(rank), math.ceil(rank)))
+    return float(low + (high - low) * (rank - math.floor(rank)))
+
+
+def hardness(ordinary: DataFrame, plain: bytes) -> float:
+    """What a HARD share of all windows of the ordinary texts (t) stays below in compressed bytes a byte. Tasks count windows
+    by their two lengths, and these counts alone come to the driver."""
+
+    def run(batches):
+        press, found = presser_of(plain), Counter()
+        for batch in slices(batches, "t"):
+            found.update((len(press(w)), len(w)) for t in batch.column("t").to_pylist() for w in windows(t))
+        if found:
+            each = [pa.array(c, pa.int64()) for c in (*zip(*found, strict=True), found.values())]
+            yield pa.RecordBatch.from_arrays(each, names=["packed", "bytes", "n"])
+
+    counted = ordinary.select("t").mapInArrow(frugal(run), "packed long, bytes long, n long").groupBy("packed", "bytes").agg(F.sum("n").alias("n"))
+    return quantile([(r["packed"] / r["bytes"], r["n"]) for r in counted.collect()], HARD)
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -160,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
     learn, held = (sample.filter("NOT held"), sample.filter("held")) if enough else (sample, sample)
     bad, good = _windows_of(learn, True, WINDOWS_TOXIC), _windows_of(learn, False, WINDOWS_PLAIN)
     model = dictionaries(bad, good or [b" "])
+    model.hard = hardness(learn.filter("NOT y"), model.plain)
 
     def run(batches):
         own = scorer_of(model)
@@ -174,6 +203,17 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
     return model
 
 
+_pressers: dict[bytes, Callable[[bytes], bytes]] = {}
+
+
+def presser_of(dictionary: bytes) -> Callable[[bytes], bytes]:
+    """One compressor for each worker process and dictionary."""
+    if dictionary not in _pressers:
+        _pressers.clear()
+        _pressers[dictionary] = _presser(dictionary)
+    return _pressers[dictionary]
+
+
 _scorers: dict[tuple, Scorer] = {}
 
 
