@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import building_type, district, first_reason, holds, label, population
+from arpent.operators.dealing import dealt
 from arpent.policy import DEFAULT, Policy
 
 #: The columns of the source, and those of curated diagnostics.
@@ -33,7 +34,7 @@ def newest(rows: DataFrame, key: str = "numero_dpe", date: str = "date_etablisse
     """Of rows of equal key the newest, of equal dates that of the least tie; rows without a key all stay. Rows are dealt once,
     by their key or, without one, each by itself; removing duplicates and ranking both keep to that."""
     own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
-    rows = rows.withColumn("_own", own).repartition("_own").dropDuplicates()
+    rows = dealt(rows.withColumn("_own", own), "_own").dropDuplicates()
     order = Window.partitionBy("_own").orderBy(F.col(date).desc_nulls_last(), F.col(tie).asc_nulls_last())
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col(key).isNull() | (F.col("_n") == 1)).drop("_own", "_n")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arpent.functions.columns import at_most_one, district, exactly_one, first_reason, holds, only_value, rounded
+from arpent.operators.dealing import dealt
 
 #: Fixed values of the sales data.
 SALE = "Vente"
@@ -63,7 +64,7 @@ KEY = ("source_year", "id_mutation")
 
 def without_duplicates(rows: DataFrame) -> DataFrame:
     """Exact duplicates once; nulls equal nulls. Rows are dealt by the key of mutations, which all that follows can keep."""
-    return rows.repartition(*KEY).dropDuplicates()
+    return dealt(rows, *KEY).dropDuplicates()
 
 
 #: How often a row without duplicates was there.
@@ -72,7 +73,7 @@ COPIES = "n_copies"
 
 def counted_rows(rows: DataFrame) -> DataFrame:
     """Exact duplicates once, with how often each row was there; dealt by the key of mutations as well."""
-    return rows.repartition(*KEY).groupBy(*rows.columns).agg(F.count("*").alias(COPIES))
+    return dealt(rows, *KEY).groupBy(*rows.columns).agg(F.count("*").alias(COPIES))
 
 
 def is_residential() -> Column:
