@@ -4,6 +4,7 @@ answer."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", e
 
 #: Bytes of a block of vectors and of a block of questions; a pair of blocks is one matrix product.
 VECTOR_BYTES, QUESTION_BYTES = 4_000_000, 250_000
+#: Rows that are Python's lists at a time while blocks are packed.
+SLICE = 500
 #: By how much two ways to sum a product may differ.
 NEAR = 1e-9
 
@@ -46,20 +49,21 @@ def _blocks(rows: DataFrame, key: str, embedding: str, dimensions: int, most: in
         keys, held = [], []
 
         def out(n: int) -> pa.RecordBatch:
-            data = np.array(held[:n], np.float64).tobytes()
-            batch = pa.RecordBatch.from_arrays([pa.array([keys[:n]], kind), pa.array([data], pa.binary())], names=list(names))
+            batch = pa.RecordBatch.from_arrays([pa.array([keys[:n]], kind), pa.array([b"".join(held[:n])], pa.binary())], names=list(names))
             del keys[:n], held[:n]
             return batch
 
         for batch in batches:
             kind = pa.list_(batch.schema.field(0).type)
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if v is None or len(v) != dimensions or None in v or not all(map(math.isfinite, v)) or not any(v):
-                    continue
-                keys.append(k)
-                held.append(v)
-            while len(held) >= size:
-                yield out(size)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if v is None or len(v) != dimensions or None in v or not all(map(math.isfinite, v)) or not any(v):
+                        continue
+                    keys.append(k)
+                    held.append(np.array(v, np.float64).tobytes())
+                while len(held) >= size:
+                    yield out(size)
         if held:
             yield out(size)
 
@@ -67,6 +71,25 @@ def _blocks(rows: DataFrame, key: str, embedding: str, dimensions: int, most: in
     return rows.select(key, F.col(embedding).cast("array<double>")).mapInArrow(run, schema)
 
 
+#: Questions whose products with a block of vectors are held at a time.
+TOGETHER = 32
+
+
+def nearest(names: list, q: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int, but_itself: bool = False) -> Iterator[tuple]:
+    """name, key, cosine: for each of the questions q its k nearest of a block of vectors v."""
+    q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+    unit = v / v_norm[:, None]
+    for lo in range(0, len(names), TOGETHER):
+        near = (q[lo : lo + TOGETHER] / q_norm[lo : lo + TOGETHER, None]) @ unit.T
+        for j, name in enumerate(names[lo : lo + TOGETHER]):
+            row = np.where(keys == name, -np.inf, near[j]) if but_itself else near[j]
+            least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            rows = np.flatnonzero((row >= least - NEAR) & (row > -np.inf))
+            cosine = np.clip((v[rows] * q[lo + j]).sum(1) / (v_norm[rows] * q_norm[lo + j]), -1.0, 1.0)
+            order = np.lexsort((keys[rows], -cosine))[:k]
+            yield from ((name, x, c) for x, c in zip(keys[rows][order].tolist(), cosine[order].tolist(), strict=True))
+
+
 def top_k_of_many(questions: DataFrame, vectors: DataFrame, k: int, dimensions: int, question: str = "question_id", key: str = "vec_id", embedding: str = "embedding", but_itself: bool = False) -> DataFrame:
     """question, key, similarity, rank: for every question the k rows most similar to it; ties by key. Questions and rows
     meet in blocks, by one matrix product each, of which every question keeps its own k; the blocks' choices are ranked
@@ -80,21 +103,10 @@ def top_k_of_many(questions: DataFrame, vectors: DataFrame, k: int, dimensions:
 
     def best(batches):
         for batch in batches:
-            for pair in batch.to_pylist():
-                q, v = (np.frombuffer(pair[c], np.float64).reshape(-1, dimensions) for c in ("q_data", "v_data"))
-                q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
-                near = (v / v_norm[:, None]) @ (q / q_norm[:, None]).T
-                keys = np.array(pair["v_keys"])
-                out = []
-                for j, name in enumerate(pair["q_keys"]):
-                    column = near[:, j]
-                    if but_itself:
-                        column = np.where(keys == name, -np.inf, column)
-                    least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                    rows = np.flatnonzero((column >= least - NEAR) & (column > -np.inf))
-                    cosine = np.clip((v[rows] * q[j]).sum(1) / (v_norm[rows] * q_norm[j]), -1.0, 1.0)
-                    order = np.lexsort((keys[rows], -cosine))[:k]
-                    out += [(name, x, c) for x, c in zip(keys[rows][order].tolist(), cosine[order].tolist(), strict=True)]
+            for at in range(batch.num_rows):  # a pair at a time, its vectors where they lie in the batch
+                pair = {c: batch.column(c)[at] for c in batch.schema.names}
+                q, v = (np.frombuffer(pair[c].as_buffer(), np.float64).reshape(-1, dimensions) for c in ("q_data", "v_data"))
+                out = list(nearest(pair["q_keys"].as_py(), q, np.array(pair["v_keys"].as_py()), v, k, but_itself))
                 if out:
                     names, found, cosines = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found), pa.array(cosines, pa.float64())], names=[question, key, "similarity"])

@@ -3,7 +3,9 @@
 import json
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,20 @@ def test_questions_are_embedded_by_the_given_model(spark):
     embed = lambda texts: [[1.0, 0.0, 0.0] if "first" in t else [0.0, 1.0, 0.0] for t in texts]
     found = answers.answered(rows, passages(spark, "a", "b", "c"), lambda inputs: ["x [S1]"] * len(inputs), 3, embed, k=1)
     assert {r.question_id: r.citations[0].of.chunk_id for r in found.collect()} == {1: "c0", 2: "c2"}
+
+
+def test_a_pair_of_blocks_takes_little_memory():
+    """What is held for a pair of blocks does not grow with its questions."""
+    r = np.random.default_rng(3)
+    v, q = r.normal(size=(6000, 16)), r.normal(size=(480, 16))
+    v[7] = v[5]  # equal vectors, told apart by key
+    q[3] = v[5]
+    tracemalloc.start()
+    got = list(vectors.nearest(list(range(480)), q, np.arange(6000), v, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # all products at once are 23 MB
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit(q) @ unit(v).T
+    want = [(j, int(i)) for j in range(480) for i in np.lexsort((np.arange(6000), -near[j].round(12)))[:5]]
+    assert [(n, i) for n, i, _ in got] == want and [i for n, i, _ in got if n == 3][:2] == [5, 7]
