@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of files for a partition, and the fewest that a small input is split for, up to one partition for each core.
 PARTITION_BYTES, LEAST_BYTES = 4_000_000, 1_000_000
+#: Bytes of files up to which a join is left to Spark, which may broadcast its smaller side.
+JOIN_BYTES = 64_000_000
 
 
 def source_bytes(rows: DataFrame) -> int | None:
@@ -25,3 +27,13 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.repartition(*keys)
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(max(1, -(-size // PARTITION_BYTES), min(cores, -(-size // LEAST_BYTES))), *keys)
+
+
+def dealt_alike(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by hash of their keys, over as many partitions as both call for together, so that the join takes
+    them as they are. Sides of no known size, and small ones, stay as they were."""
+    sizes = source_bytes(left), source_bytes(right)
+    if None in sizes or sum(sizes) <= JOIN_BYTES:
+        return left, right
+    n = -(-sum(sizes) // PARTITION_BYTES)
+    return left.repartition(n, left_key), right.repartition(n, right_key)

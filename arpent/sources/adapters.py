@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arpent.operators.dealing import dealt_alike
 from arpent.operators.market import APARTMENT, COMMERCIAL, DEPENDENCY, HOUSE, SALE
 from arpent.policy import Policy
 
@@ -24,11 +25,10 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_type", " ", 1).alias("kind"))
-    rows = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    )
+    line = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    order = order.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")  # each side's own first, while rows are few and narrow
+    line, order = dealt_alike(line, order, "l_orderkey", "o_orderkey")
+    rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.col("kind")
     kinds = F.when(kind == "ECONOMY", APARTMENT).when(kind == "STANDARD", HOUSE).when(kind == "SMALL", DEPENDENCY).when(kind == "LARGE", COMMERCIAL)
     code = F.when(F.col("c_nationkey") < 20, F.format_string("751%02d", F.col("c_nationkey") + 1)).otherwise("92050")

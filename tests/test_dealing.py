@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from arpent.operators import dealing, energy, market
+from arpent.sources.adapters import raw_sales
 
 
 def test_partitions_follow_the_files(spark, tmp_path, monkeypatch):
@@ -26,3 +27,36 @@ def test_rows_of_no_known_size(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "source_year int, id_mutation string")
     assert dealing.source_bytes(rows) is None and market.without_duplicates(rows).count() == 2
     assert dealing.dealt(spark.range(0), "id").count() == 0
+
+
+def test_joins_follow_the_files(spark, sf_dir, monkeypatch):
+    plain = raw_sales(spark, sf_dir)
+    size = dealing.source_bytes(plain)
+    monkeypatch.setattr(dealing, "JOIN_BYTES", 0)
+    for wanted in (9, 31):
+        monkeypatch.setattr(dealing, "PARTITION_BYTES", size // wanted)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            rows = raw_sales(spark, sf_dir)
+            assert abs(rows.rdd.getNumPartitions() - wanted) <= 1  # the session's number is 4
+            assert rows.exceptAll(plain).count() == 0 and rows.count() == plain.count()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    ids, none = spark.range(3), spark.createDataFrame([(1,)], "id long")
+    assert dealing.dealt_alike(ids, none, "id", "id") == (ids, none)  # no size is known
+
+
+def test_joins_keep_what_has_no_partner(spark, tmp_path):
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double", [(1, 1, 1, 1, 5.0), (1, 9, 1, 2, 5.0), (2, 1, 1, 1, 5.0), (3, 1, 1, 1, 5.0), (None, 1, 1, 1, 5.0), (1, None, 1, 3, 5.0)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string", [(1, 1, "F", 10.0, "1996-01-01"), (2, 7, "F", 10.0, "1996-01-01"), (4, 1, "F", 10.0, "1996-01-01"), (None, 1, "F", 10.0, "1996-01-01")]),
+        "customer": ("c_custkey long, c_nationkey int", [(1, 3), (1, 4), (None, 5)]),
+        "part": ("p_partkey long, p_type string", [(1, "ECONOMY TIN"), (None, "SMALL TIN")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = raw_sales(spark, str(tmp_path)).collect()
+    keys = sorted((r.id_mutation, r.code_commune, r.type_local or "", r.nombre_pieces_principales) for r in found)
+    of_one = sorted(("1", c, t, n) for c in ("75104", "75105") for t, n in (("Appartement", 1.0), ("", 2.0), ("", 3.0)))
+    assert keys == [*of_one, ("2", "92050", "Appartement", 1.0)]  # repeated and unknown customers and parts, orders that are not there
