@@ -20,13 +20,14 @@ def source_bytes(rows: DataFrame) -> int | None:
     return None if any(s >= unknown for s in sizes) else sum(sizes)
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows by hash of the keys; those of no known size over the session's number of partitions."""
+def dealt(rows: DataFrame, *keys: str, finer: int = 1) -> DataFrame:
+    """rows by hash of the keys; those of no known size over the session's number of partitions. finer: how many times less of
+    the files a partition takes, for rows that are wide against them."""
     size = source_bytes(rows)
     if size is None:
         return rows.repartition(*keys)
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(1, -(-size // PARTITION_BYTES), min(cores, -(-size // LEAST_BYTES))), *keys)
+    return rows.repartition(max(1, -(-size * finer // PARTITION_BYTES), min(cores, -(-size // LEAST_BYTES))), *keys)
 
 
 def dealt_alike(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:

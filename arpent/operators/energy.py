@@ -16,6 +16,8 @@ STRINGS = (
 )
 NUMBERS = ("conso_5_usages_par_m2_ep", "emission_ges_5_usages_par_m2", "surface_habitable_logement")
 DATES = ("date_etablissement_dpe", "date_reception_dpe", "date_fin_validite_dpe")
+#: Diagnostics are wide, and are told apart by all of their columns: so many times less of the files is a task's share.
+FINER = 4
 REQUIRED = ("numero_dpe", "date_etablissement_dpe", "etiquette_dpe", "etiquette_ges", "code_insee_ban", "surface_habitable_logement")
 PROCESSED = (
     "numero_dpe", "date_etablissement_dpe", "date_reception_dpe", "date_fin_validite_dpe", "diagnostic_year",
@@ -34,7 +36,7 @@ def newest(rows: DataFrame, key: str = "numero_dpe", date: str = "date_etablisse
     """Of rows of equal key the newest, of equal dates that of the least tie; rows without a key all stay. Rows are dealt once,
     by their key or, without one, each by itself; removing duplicates and ranking both keep to that."""
     own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
-    rows = dealt(rows.withColumn("_own", own), "_own").dropDuplicates()
+    rows = dealt(rows.withColumn("_own", own), "_own", finer=FINER).dropDuplicates()
     order = Window.partitionBy("_own").orderBy(F.col(date).desc_nulls_last(), F.col(tie).asc_nulls_last())
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col(key).isNull() | (F.col("_n") == 1)).drop("_own", "_n")
 

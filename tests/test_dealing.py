@@ -23,6 +23,24 @@ def test_partitions_follow_the_files(spark, tmp_path, monkeypatch):
     assert newest.rdd.getNumPartitions() >= 9 and newest.count() == newest.select("id_mutation").distinct().count() == 3000
 
 
+def test_a_diagnostics_task_takes_as_much_of_large_files_as_of_small_ones(spark, tmp_path, monkeypatch):
+    """Small inputs are split for each core down to LEAST_BYTES; large ones no coarser."""
+    spark.range(30_000).select(
+        F.concat(F.lit("d"), F.col("id") % 9000).alias("numero_dpe"), F.expr("date_add(date'2024-01-01', cast(id % 700 as int))").alias("date_etablissement_dpe"),
+        F.sha2(F.col("id").cast("string"), 256).alias("_id"),
+    ).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    size = dealing.source_bytes(rows)
+    share = {}
+    for parts in (3, 40):  # a session of 4 cores: fewer and many more than those
+        monkeypatch.setattr(dealing, "LEAST_BYTES", size // parts)
+        monkeypatch.setattr(dealing, "PARTITION_BYTES", 4 * (size // parts))
+        found = energy.newest(rows)
+        share[parts] = (size / found.rdd.getNumPartitions()) / (size / parts)
+        assert found.count() == 9000
+    assert all(x <= 1.1 for x in share.values()), share
+
+
 def test_rows_of_no_known_size(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "source_year int, id_mutation string")
     assert dealing.source_bytes(rows) is None and market.without_duplicates(rows).count() == 2
