@@ -26,12 +26,17 @@ def _market(policy: Policy) -> Column:
     return F.col("is_price_per_m2_eligible") & F.col("price_per_m2_raw").between(policy.least_price, policy.most_price)
 
 
-def _quantile(x: Column, at: float, where: Column | None = None) -> Column:
-    return F.percentile(x if where is None else F.when(where, x), at)
+QUARTILES = {"p50": 0.5, "q1": 0.25, "q3": 0.75}
 
 
-def _price(at: float, policy: Policy) -> Column:
-    return _quantile(F.col("price_per_m2_raw"), at, _market(policy))
+def _prices(policy: Policy) -> Column:
+    """The quartiles of prices as one array, so that a group has one map of its prices and not one for each quartile. It
+    holds the different prices within the band at most, which have two places."""
+    return F.percentile(F.when(_market(policy), F.col("price_per_m2_raw")), list(QUARTILES.values())).alias("_prices")
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    return found.withColumns({n: F.col("_prices")[i] for i, n in enumerate(QUARTILES)}).drop("_prices")
 
 
 def spine(spark: SparkSession, start: int, end: int, name: str) -> DataFrame:
@@ -66,9 +71,7 @@ def price_trend(facts: DataFrame, start: int | None = None, end: int | None = No
     """A row for each year of the period, also of those without sales. The change compares the rounded median with the
     unrounded one of the year before; the first year has none."""
     start, end = _scope(start, end, area, policy)
-    years = _in_scope(facts, "source_year", start, end, area).groupBy("source_year").agg(
-        F.count("*").alias("n"), F.count_if(_market(policy)).alias("m"), *(_price(q, policy).alias(n) for n, q in (("p50", 0.5), ("q1", 0.25), ("q3", 0.75)))
-    )
+    years = _apart(_in_scope(facts, "source_year", start, end, area).groupBy("source_year").agg(F.count("*").alias("n"), F.count_if(_market(policy)).alias("m"), _prices(policy)))
     years = spine(facts.sparkSession, start, end, "source_year").join(years, "source_year", "left")
     before = F.lag("p50").over(Window.orderBy("source_year"))  # as many rows as the period has years
     change = F.when(before != 0, rounded((rounded(F.col("p50")) - before) / before * 100))
@@ -79,11 +82,10 @@ def price_trend(facts: DataFrame, start: int | None = None, end: int | None = No
 
 
 def _by_area(facts: DataFrame, policy: Policy) -> DataFrame:
-    return facts.groupBy("arrondissement").agg(
-        F.count("*").alias("n"), F.count_if(_market(policy)).alias("m"),
-        *(_price(q, policy).alias(n) for n, q in (("p50", 0.5), ("q1", 0.25), ("q3", 0.75))),
-        _quantile(F.col("residential_surface").cast("double"), 0.5).alias("surface"),
+    found = facts.groupBy("arrondissement").agg(
+        F.count("*").alias("n"), F.count_if(_market(policy)).alias("m"), _prices(policy), F.percentile(F.col("residential_surface").cast("double"), 0.5).alias("surface")
     )
+    return _apart(found)
 
 
 def compare_areas(facts: DataFrame, areas: list[int], start: int | None = None, end: int | None = None, policy: Policy = DEFAULT, most: int | None = None) -> DataFrame:

@@ -44,6 +44,16 @@ def test_trend(spark):
     assert [r.transaction_count for r in rows] == [1, 1, 0]
 
 
+def test_one_map_of_prices_a_group(spark):
+    facts = sales(spark, [8000.0, 12000.0, 16000.0, 4000.0, 20000.0, 999999.0, None], 2022).union(sales(spark, [500.0], 2023, 16))
+    trend, areas = analytics.price_trend(facts, 2022, 2024), analytics.compare_areas(facts, [15, 16, 17])
+    for found, maps in ((trend, {"price_per_m2_raw": 1}), (areas, {"price_per_m2_raw": 1, "residential_surface": 1})):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" partial_percentile(") + plan.count("[partial_percentile(") == sum(maps.values())  # an aggregate lists its functions once
+    assert [(r["median"], r.p25, r.p75) for r in trend.orderBy("source_year").collect()] == [(12000, 8000, 16000), (None, None, None), (None, None, None)]
+    assert [(r["median"], r.p25, r.p75, r.median_surface) for r in areas.orderBy("position").collect()] == [(12000, 8000, 16000, 50), (None, None, None, 50), (None, None, None, None)]
+
+
 def test_compare(spark):
     facts = sales(spark, [10000.0], area=20).union(sales(spark, [8000.0], area=13))
     rows = analytics.compare_areas(facts, [13, 20, 13, 5]).orderBy("position").collect()
