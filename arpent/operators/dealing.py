@@ -1,6 +1,10 @@
 """How many partitions rows are dealt over: as many as the files they come from call for, so that what a task holds does not
 grow with the input. Spark's own number is fixed, and adaptive execution joins partitions by their compressed bytes in the
-shuffle, which for rows of repeated values are many times fewer than the bytes in memory."""
+shuffle, which for rows of repeated values are many times fewer than the bytes in memory.
+
+Up to so many partitions as `spark.shuffle.sort.bypassMergeThreshold` says, a task that deals rows writes each to its
+partition's file at once. Above it, it first holds all it deals in memory, up to a whole split of the files, which is far more than
+what a partition takes; so that number is not left before partitions are large themselves."""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of files for a partition, and the fewest that a small input is split for, up to one partition for each core.
 PARTITION_BYTES, LEAST_BYTES = 4_000_000, 1_000_000
+#: Bytes of files from which on a partition takes no more, though rows are then held in memory while they are dealt.
+MOST_BYTES = 40_000_000
 #: Bytes of files up to which a join is left to Spark, which may broadcast its smaller side.
 JOIN_BYTES = 64_000_000
 
@@ -20,6 +26,12 @@ def source_bytes(rows: DataFrame) -> int | None:
     return None if any(s >= unknown for s in sizes) else sum(sizes)
 
 
+def partitions(rows: DataFrame, size: int) -> int:
+    """Over how many partitions files of so many bytes are dealt."""
+    written_at_once = int(rows.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(1, -(-size // MOST_BYTES), min(written_at_once, -(-size // PARTITION_BYTES)))
+
+
 def dealt(rows: DataFrame, *keys: str, finer: int = 1) -> DataFrame:
     """rows by hash of the keys; those of no known size over the session's number of partitions. finer: how many times less of
     the files a partition takes, for rows that are wide against them."""
@@ -27,7 +39,7 @@ def dealt(rows: DataFrame, *keys: str, finer: int = 1) -> DataFrame:
     if size is None:
         return rows.repartition(*keys)
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(1, -(-size * finer // PARTITION_BYTES), min(cores, -(-size // LEAST_BYTES))), *keys)
+    return rows.repartition(max(partitions(rows, size * finer), min(cores, -(-size // LEAST_BYTES))), *keys)
 
 
 def dealt_alike(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
@@ -36,5 +48,5 @@ def dealt_alike(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     sizes = source_bytes(left), source_bytes(right)
     if None in sizes or sum(sizes) <= JOIN_BYTES:
         return left, right
-    n = -(-sum(sizes) // PARTITION_BYTES)
+    n = partitions(left, sum(sizes))
     return left.repartition(n, left_key), right.repartition(n, right_key)

@@ -41,6 +41,29 @@ def test_a_diagnostics_task_takes_as_much_of_large_files_as_of_small_ones(spark,
     assert all(x <= 1.1 for x in share.values()), share
 
 
+def test_rows_are_not_held_in_memory_while_they_are_dealt(spark, sf_dir, tmp_path, monkeypatch):
+    """Above 200 partitions Spark's writer keeps a whole split of the files in memory; partitions grow instead, up to MOST_BYTES."""
+    spark.range(20_000).select((F.col("id") % 5).cast("int").alias("source_year"), F.col("id").cast("string").alias("id_mutation")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    size, join_size = dealing.source_bytes(rows), dealing.source_bytes(raw_sales(spark, sf_dir))
+    monkeypatch.setattr(dealing, "JOIN_BYTES", 0)
+    for share, expected in ((501, 200), (1990, 200), (2400, 240)):  # as many shares of PARTITION_BYTES as the files have
+        monkeypatch.setattr(dealing, "PARTITION_BYTES", size / share)
+        monkeypatch.setattr(dealing, "MOST_BYTES", 10 * size / share)
+        assert abs(dealing.partitions(rows, size) - expected) <= 1
+    monkeypatch.setattr(dealing, "PARTITION_BYTES", size // 501)
+    monkeypatch.setattr(dealing, "MOST_BYTES", size // 40)
+    assert market.without_duplicates(rows).rdd.getNumPartitions() == 200 and market.without_duplicates(rows).count() == 20_000
+    assert energy.newest(rows, "id_mutation", "source_year", "source_year").rdd.getNumPartitions() == 200
+    monkeypatch.setattr(dealing, "PARTITION_BYTES", join_size // 501)
+    monkeypatch.setattr(dealing, "MOST_BYTES", join_size // 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert raw_sales(spark, sf_dir).rdd.getNumPartitions() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rows_of_no_known_size(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "source_year int, id_mutation string")
     assert dealing.source_bytes(rows) is None and market.without_duplicates(rows).count() == 2
